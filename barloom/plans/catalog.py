@@ -8,8 +8,10 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.config import DAY, HOUR
+from barloom.config import HOUR
+from barloom.functions.scalar import high_spread, low_spread
 from barloom.operators.align import wide_panel
+from barloom.operators.blocks import over_blocks
 from barloom.session import prepare
 from barloom.sources.ticks import bars
 
@@ -122,3 +124,53 @@ def query(name: str, sql: str | None = None, *, doubles: str = "", digits: int =
         return run
 
     return register
+
+
+# --- predictions with a closed form, so that errors can be checked before any model exists --------------------------
+
+TARGETS = ["close", "high_spread", "low_spread"]
+SIMPLE_MODELS = {"last": 1, "season": 24}
+
+
+def with_spreads(df: DataFrame) -> DataFrame:
+    return df.withColumns({"high_spread": high_spread(), "low_spread": low_spread()})
+
+
+def scored(t: Tables) -> DataFrame:
+    """(symbol, model, target, ts, actual, predicted): each value predicted by the one 1 and 24 rows before."""
+
+    def build(d: DataFrame, w) -> DataFrame:
+        pairs = [
+            F.struct(
+                F.lit(m).alias("model"), F.lit(c).alias("target"), F.col(c).alias("actual"),
+                F.lag(c, k).over(w).alias("predicted"),
+            )
+            for m, k in SIMPLE_MODELS.items()
+            for c in TARGETS
+        ]
+        return d.withColumn("pairs", F.array(*pairs))
+
+    rows = over_blocks(with_spreads(t.hourly()), build, step_seconds=HOUR, halo=max(SIMPLE_MODELS.values()))
+    return rows.select("symbol", "ts", F.inline("pairs")).dropna(subset=["actual", "predicted"])
+
+
+SPREADS = """spreads AS (SELECT *, greatest(high - close, 0) AS high_spread, greatest(close - low, 0) AS low_spread FROM hb)"""
+SCORED = HB + ", " + SPREADS + ", scored AS (" + " UNION ALL ".join(
+    f"SELECT * FROM (SELECT symbol, ts, '{m}' AS model, '{c}' AS target, {c} AS actual,"
+    f" lag({c}, {k}) OVER (PARTITION BY symbol ORDER BY ts) AS predicted FROM spreads) AS x{m}{c} WHERE predicted IS NOT NULL"
+    for m, k in SIMPLE_MODELS.items()
+    for c in TARGETS
+) + ")"
+HITS = SCORED + """, moves AS (SELECT *, lag(actual) OVER w AS a0, lag(predicted) OVER w AS p0 FROM scored
+  WINDOW w AS (PARTITION BY symbol, model, target ORDER BY ts)),
+hits AS (SELECT *, actual - predicted AS e,
+  (coalesce(CASE WHEN a0 = 0 THEN actual > 0 ELSE actual / a0 - 1 > 0 END, false)
+   = coalesce(CASE WHEN p0 = 0 THEN predicted > 0 ELSE predicted / p0 - 1 > 0 END, false)) AS hit FROM moves)"""
+MAE = "avg(abs(e))"
+RMSE = "sqrt(avg(e * e))"
+MAPE = "avg(abs(e) / greatest(abs(actual), 2.220446049250313e-16))"
+SMAPE = "100 * avg(CASE WHEN abs(actual) + abs(predicted) = 0 THEN 0.0 ELSE 2 * abs(e) / (abs(actual) + abs(predicted)) END)"
+SCORE_KEYS = ["symbol", "model", "target"]
+EVAL_SQL = f"""CAST(count(*) AS BIGINT) AS n, {MAE} AS mae, {RMSE} AS rmse,
+  CASE WHEN target NOT LIKE '%spread%' THEN {MAPE} END AS mape,
+  CASE WHEN target LIKE '%spread%' THEN {SMAPE} END AS smape, avg(CAST(hit AS DOUBLE)) AS dir_acc"""

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from barloom.config import Horizon
 from barloom.functions.scalar import with_calendar
 from barloom.operators.blocks import over_blocks
-from barloom.operators.toplists import tail_rows
 
 # Name parts that decide how a feature moves on, tested in this order.
 FAMILIES = [
@@ -63,20 +62,23 @@ def future_regressors(
     """
     keys = [*by, "feature", "family"]
     long = melt(table, features, by)
-    moved = over_blocks(
-        long,
-        lambda d, w: d.withColumn("_ret", F.try_divide(F.col("value"), F.lag("value").over(w)) - 1),
-        by=keys,
-        step_seconds=horizon.step_seconds,
-        halo=1,
-    )
-    facts = moved.groupBy(*keys).agg(
-        F.max_by("value", "ts").alias("last"), F.count(F.lit(1)).alias("n"), F.avg("_ret").alias("drift")
+
+    def moves(d: DataFrame, w) -> DataFrame:
+        newest = w.rowsBetween(-(horizon.recent_rows - 1), 0)
+        back = F.try_divide(F.col("value"), F.lag("value").over(w)) - 1
+        return d.withColumn("_ret", back).withColumn("_recent", F.avg("value").over(newest))
+
+    facts = (
+        over_blocks(long, moves, by=keys, step_seconds=horizon.step_seconds, halo=horizon.recent_rows)
+        .groupBy(*keys)
+        .agg(
+            F.max_by("value", "ts").alias("last"), F.count(F.lit(1)).alias("n"), F.avg("_ret").alias("drift"),
+            F.max_by("_recent", "ts").alias("recent"),
+        )
     )
-    recent = tail_rows(long, horizon.recent_rows, by=keys).groupBy(*keys).agg(F.avg("value").alias("recent"))
     ends = table.groupBy(*by).agg(F.max("ts").alias("_end"))
     steps = F.explode(F.sequence(F.lit(1), F.lit(horizon.steps))).alias("step")
-    grown = facts.join(recent, keys).join(ends, list(by)).select(*keys, "last", "n", "drift", "recent", "_end", steps)
+    grown = facts.join(ends, list(by)).select(*keys, "last", "n", "drift", "recent", "_end", steps)
     return grown.select(
         *by, "feature", "family", "step",
         F.timestamp_add("SECOND", F.col("step") * horizon.step_seconds, F.col("_end")).alias("ts"),

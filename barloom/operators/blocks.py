@@ -52,6 +52,12 @@ def number_rows(
     )
 
 
+def calendar_pos(order: str, step_seconds: int) -> Column:
+    """Positions of a series without gaps in time: the number of its step since 1970."""
+    seconds = F.unix_seconds(F.col(order).cast("timestamp"))
+    return F.floor(seconds / F.lit(step_seconds)).cast("long") + 1
+
+
 def to_blocks(numbered: DataFrame, *, halo: int = 0, rows: int = BLOCK_ROWS) -> DataFrame:
     """Add `_block` and `_halo`; a row is copied into each later block that starts within `halo` rows after it."""
     own = F.floor((F.col(POS) - 1) / rows).cast("long")
@@ -74,10 +80,14 @@ def over_blocks(
     step_seconds: int,
     halo: int,
     rows: int = BLOCK_ROWS,
-    keep_pos: bool = False,
 ) -> DataFrame:
-    """Run `build(df, window)` over blocks with a halo and drop the copied rows afterwards."""
-    numbered = df if POS in df.columns else number_rows(df, by=by, order=order, step_seconds=step_seconds)
+    """Run `build(df, window)` over blocks with a halo and drop the copied rows afterwards.
+
+    A frame that already has `_pos` keeps it: numbered once, it can pass through any number of operators. Its
+    positions must be consecutive within each series of `by`; where they start does not matter.
+    """
+    known = POS in df.columns
+    numbered = df if known else number_rows(df, by=by, order=order, step_seconds=step_seconds)
     built = build(to_blocks(numbered, halo=halo, rows=rows), block_window(by))
     out = built.filter(~F.col(HALO)).drop(BLOCK, HALO)
-    return out if keep_pos else out.drop(POS)
+    return out if known else out.drop(POS)

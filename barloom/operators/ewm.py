@@ -97,7 +97,9 @@ def ewm(
 
     if not gaps:
         return over_blocks(df, build, by=by, order=order, step_seconds=step_seconds, halo=halo, rows=rows)
-    numbered = number_rows(df, by=by, order=order, step_seconds=step_seconds)
-    out = over_blocks(numbered, build, by=by, step_seconds=step_seconds, halo=halo, rows=rows, keep_pos=True)
+    given = POS in df.columns
+    numbered = df if given else number_rows(df, by=by, order=order, step_seconds=step_seconds)
+    out = over_blocks(numbered, build, by=by, step_seconds=step_seconds, halo=halo, rows=rows)
     known = out.withColumn(name, F.when(F.col(source).isNotNull(), F.col(name)))
-    return fill_rows(known, [name], by=by, step_seconds=step_seconds, how="forward").drop(POS)
+    filled = fill_rows(known, [name], by=by, step_seconds=step_seconds, how="forward")
+    return filled if given else filled.drop(POS)

@@ -18,7 +18,7 @@ from barloom.functions.scalar import (
     with_envelope,
 )
 from barloom.operators.align import calendar_reindex
-from barloom.operators.blocks import over_blocks
+from barloom.operators.blocks import POS, calendar_pos, number_rows, over_blocks
 from barloom.operators.fill import fill_rows
 
 
@@ -35,13 +35,15 @@ def candle_table(forecast: DataFrame, *, by: Sequence[str] = ("model",), long: b
         )
 
     rows = forecast.select(*by, "ts", "close", "high", "low")
+    rows = number_rows(rows, by=by, step_seconds=step_seconds)
     rows = opened(rows).dropna(subset=["ts", "open", "high", "low", "close"]).drop("open")
     if long:
         cells = ["close", "high", "low"]
         rows = calendar_reindex(rows, cells, by=by, step_seconds=step_seconds)
+        rows = rows.withColumn(POS, calendar_pos("ts", step_seconds))
         rows = fill_rows(rows, cells, by=by, step_seconds=step_seconds, how="forward")
     rows = with_envelope(opened(rows)).dropna(subset=["open", "high", "low", "close"])
-    return change_columns(rows).withColumn("label", time_label(F.col("ts"), long=long))
+    return change_columns(rows.drop(POS)).withColumn("label", time_label(F.col("ts"), long=long))
 
 
 def tagged_history(history: DataFrame) -> DataFrame:

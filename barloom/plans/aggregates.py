@@ -93,7 +93,7 @@ def smape(t: Tables) -> DataFrame:
 
 @query("direction_accuracy", f"WITH {HITS} SELECT symbol, model, target, avg(CAST(hit AS DOUBLE)) AS dir_acc FROM hits {_GROUP}", doubles="dir_acc")
 def direction_accuracy(t: Tables) -> DataFrame:
-    return metrics.direction_accuracy(scored(t), by=SCORE_KEYS, step_seconds=HOUR)
+    return metrics.direction_accuracy(scored(t, positions=True), by=SCORE_KEYS, step_seconds=HOUR)
 
 
 @query("corr_actual_pred", f"WITH {SCORED} SELECT symbol, model, target, corr(actual, predicted) AS r FROM scored {_GROUP}", doubles="r")
@@ -103,7 +103,7 @@ def corr_actual_pred(t: Tables) -> DataFrame:
 
 @query("evaluate", f"WITH {HITS} SELECT symbol, model, target, {EVAL_SQL} FROM hits {_GROUP}", doubles="mae rmse mape smape dir_acc")
 def evaluate(t: Tables) -> DataFrame:
-    return metrics.evaluate(scored(t), by=SCORE_KEYS, step_seconds=HOUR)
+    return metrics.evaluate(scored(t, positions=True), by=SCORE_KEYS, step_seconds=HOUR)
 
 
 # --- walk-forward folds of the simple predictions -------------------------------------------------------------------

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from barloom.config import HOUR
 from barloom.functions.scalar import high_spread, low_spread
 from barloom.operators.align import wide_panel
-from barloom.operators.blocks import over_blocks
+from barloom.operators.blocks import POS, number_rows, over_blocks
 from barloom.session import prepare
 from barloom.sources.ticks import bars
 
@@ -136,8 +136,11 @@ def with_spreads(df: DataFrame) -> DataFrame:
     return df.withColumns({"high_spread": high_spread(), "low_spread": low_spread()})
 
 
-def scored(t: Tables) -> DataFrame:
-    """(symbol, model, target, ts, actual, predicted): each value predicted by the one 1 and 24 rows before."""
+def scored(t: Tables, *, positions: bool = False) -> DataFrame:
+    """(symbol, model, target, ts, actual, predicted): each value predicted by the one 1 and 24 rows before.
+
+    Only the first rows of a series lack a prediction, so positions stay consecutive and can be kept.
+    """
 
     def build(d: DataFrame, w) -> DataFrame:
         pairs = [
@@ -150,8 +153,10 @@ def scored(t: Tables) -> DataFrame:
         ]
         return d.withColumn("pairs", F.array(*pairs))
 
-    rows = over_blocks(with_spreads(t.hourly()), build, step_seconds=HOUR, halo=max(SIMPLE_MODELS.values()))
-    return rows.select("symbol", "ts", F.inline("pairs")).dropna(subset=["actual", "predicted"])
+    numbered = number_rows(with_spreads(t.hourly()), by=["symbol"], step_seconds=HOUR)
+    rows = over_blocks(numbered, build, step_seconds=HOUR, halo=max(SIMPLE_MODELS.values()))
+    pairs = rows.select("symbol", "ts", POS, F.inline("pairs")).dropna(subset=["actual", "predicted"])
+    return pairs if positions else pairs.drop(POS)
 
 
 SPREADS = """spreads AS (SELECT *, greatest(high - close, 0) AS high_spread, greatest(close - low, 0) AS low_spread FROM hb)"""

@@ -15,6 +15,7 @@ from barloom.plans.catalog import (
     CELLS, DAILY_SYMBOLS, DB, DIRTY, EVAL_SQL, HB, HITS, PRICES, SPREADS, TARGETS, THIN, Tables, query, scored, with_spreads,
 )
 from barloom.operators import metrics
+from barloom.operators.blocks import number_rows
 from barloom.sources.ticks import feed
 
 _W = "PARTITION BY symbol ORDER BY ts"
@@ -80,7 +81,7 @@ def rank_forecasts(t: Tables) -> DataFrame:
 @query("model_selection", f"""WITH {HITS}, e AS (SELECT symbol, model, target, {EVAL_SQL} FROM hits GROUP BY symbol, model, target)
   SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY symbol, target ORDER BY mae, dir_acc DESC, model) AS rn FROM e) WHERE rn = 1""", doubles="mae rmse mape smape dir_acc")
 def model_selection(t: Tables) -> DataFrame:
-    return toplists.select_model(metrics.evaluate(scored(t), by=["symbol", "model", "target"], step_seconds=HOUR), by=["symbol", "target"])
+    return toplists.select_model(metrics.evaluate(scored(t, positions=True), by=["symbol", "model", "target"], step_seconds=HOUR), by=["symbol", "target"])
 
 
 # --- unions ---------------------------------------------------------------------------------------------------------
@@ -348,7 +349,8 @@ _FUTURE_SQL = f"""{HB}, steps AS (SELECT *, close - lag(close) OVER ({_W}) AS st
 
 
 def _future(t: Tables) -> DataFrame:
-    b = indicators.sma(t.hourly(), n=14, name="sma14", step_seconds=HOUR, full=False)
+    b = number_rows(t.hourly(), by=["symbol"], step_seconds=HOUR)
+    b = indicators.sma(b, n=14, name="sma14", step_seconds=HOUR, full=False)
     b = indicators.rsi(b, name="rsi14", step_seconds=HOUR, full=False)
     b = indicators.rate_of_change(b, step_seconds=HOUR)
     return future_regressors(b.withColumnRenamed("close", "x_close"), _FUTURE, SHORT)

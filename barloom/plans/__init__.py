@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 from types import ModuleType
 
-FAMILIES = ["inputs", "rows", "joins", "windows", "aggregates", "charts", "streams"]
+FAMILIES = ["inputs", "rows", "joins", "windows", "aggregates", "charts", "models", "streams"]
 
 
 def load() -> ModuleType:

@@ -221,8 +221,8 @@ def var_forecast(sums: DataFrame, ends: DataFrame, design: Design, size: int, *,
 def sequence_regression(
     end_sums: np.ndarray, valid_from: np.ndarray, layout: Layout, targets: Sequence[str], features: list[str],
     low: np.ndarray, span: np.ndarray,
-) -> tuple[np.ndarray, float]:
-    """Coefficients (1 + steps * features) x targets on scaled values, and the ridge chosen on the last fifth."""
+) -> tuple[np.ndarray, list[float]]:
+    """Coefficients (1 + steps * features) x targets on scaled values, and each target's ridge, chosen on the last fifth."""
     x = [0] + [i for lag in range(layout.lags, 0, -1) for i in layout.many(features, lag)]
     y = layout.many(targets, 0)
     used = x + y
@@ -241,13 +241,15 @@ def sequence_regression(
     whole, train = scaled(end_sums), scaled(valid_from)
     valid = whole - train
     nx = len(x)
-    best, chosen = np.inf, RIDGES[-1]
+    weights = np.ones(nx)
+    weights[0] = 0.0  # the intercept is free
+    losses = []
     for ridge in RIDGES:
-        b = solve(train[:nx, :nx], train[:nx, nx:], ridge=ridge)
-        loss = np.trace(valid[nx:, nx:] - 2 * b.T @ valid[:nx, nx:] + b.T @ valid[:nx, :nx] @ b)
-        if loss < best:
-            best, chosen = loss, ridge
-    return solve(whole[:nx, :nx], whole[:nx, nx:], ridge=chosen), chosen
+        b = solve(train[:nx, :nx], train[:nx, nx:], ridge=ridge * weights)
+        losses.append(np.diag(valid[nx:, nx:] - 2 * b.T @ valid[:nx, nx:] + b.T @ valid[:nx, :nx] @ b))
+    chosen = [RIDGES[i] for i in np.argmin(np.stack(losses), axis=0)]
+    fits = {r: solve(whole[:nx, :nx], whole[:nx, nx:], ridge=r * weights) for r in set(chosen)}
+    return np.column_stack([fits[r][:, i] for i, r in enumerate(chosen)]), chosen
 
 
 def window_scalers(rows: DataFrame, design: Design, windows: DataFrame, cutter: Cutter) -> DataFrame:
@@ -287,7 +289,7 @@ def sequence_fit(sums: DataFrame, state: DataFrame, design: Design, size: int, s
         low, high = (np.asarray(one[c].iloc[0], dtype=float) for c in ("low", "high"))
         span = np.where(high == low, 1.0, high - low)
         features = _features_of(one, design)
-        b, ridge = sequence_regression(whole, train, layout, design.targets, features, low, span)
+        b, ridges = sequence_regression(whole, train, layout, design.targets, features, low, span)
         at = [layout.index[f] for f in features]
         head = {k: one[k].iloc[0] for k in keys}
         out = []
@@ -297,7 +299,7 @@ def sequence_fit(sums: DataFrame, state: DataFrame, design: Design, size: int, s
             intercept = b[0, i] * span[y] + low[y] - float((grid * low[at]).sum())
             full = np.zeros((steps, len(design.features)))
             full[:, [design.features.index(f) for f in features]] = grid
-            out.append(head | {"target": t, "intercept": intercept, "coef": full.ravel().tolist(), "ridge": ridge})
+            out.append(head | {"target": t, "intercept": intercept, "coef": full.ravel().tolist(), "ridge": ridges[i]})
         return pd.DataFrame(out)[schema.names]
 
     return per_window(sums, state, keys, fit, schema)

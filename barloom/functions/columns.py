@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # Accepted date and value column names, in order of preference.
 DATE_NAMES = [
     "Date", "date", "Datetime", "datetime", "timestamp", "time", "Time", "ds", "Index", "index", "Unnamed: 0", "_c0",
@@ -40,6 +43,15 @@ def split_xy(columns: Sequence[str], targets: Sequence[str], exclude: Sequence[s
     return [c for c in columns if c not in out], [c for c in targets if c in columns]
 
 
-def quoted(name: str) -> str:
-    """A name safe for `F.col` when it holds dots or signs."""
-    return f"`{name}`"
+def cells_where(key: str, values: Sequence[str], inner: Sequence[str], name: str = "{value}_{inner}") -> list[Column]:
+    """Aggregates that turn rows into columns: the value of each inner column where `key` has each value.
+
+    Written as SQL text, because a panel has hundreds of them and a parsed text is built faster than a tree of calls.
+    """
+    out = []
+    for v in values:
+        literal = v.replace("\\", "\\\\").replace("'", "\\'")
+        for c in inner:
+            label = name.format(value=v, inner=c)
+            out.append(F.expr(f"max(CASE WHEN `{key}` = '{literal}' THEN `{c}` END) AS `{label}`"))
+    return out

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +39,7 @@ def low_spread() -> Column:
 
 def missing_cells(cols: list[str]) -> Column:
     """How many of the columns are NULL in this row."""
-    return reduce(lambda a, b: a + b, [F.col(f"`{c}`").isNull().cast("int") for c in cols])
+    return F.expr(" + ".join(f"CAST(`{c}` IS NULL AS INT)" for c in cols))
 
 
 def with_calendar(df: DataFrame, ts: str = "ts", *, hours: bool = False) -> DataFrame:

@@ -8,11 +8,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.scalar import missing_cells, with_calendar
+from barloom.functions.columns import cells_where
+from barloom.functions.scalar import with_calendar
 from barloom.operators.align import wide_panel
 from barloom.operators.blocks import POS, number_rows, over_blocks
+from barloom.operators.clean import filter_missing
 from barloom.operators.fill import fill_rows, interpolate_rows
 from barloom.operators.indicators import INDICATORS, add_volatility, change, indicator_set
+from barloom.session import written
 
 OHLCV = ["open", "high", "low", "close", "volume"]
 TARGETS = ["close", "high_spread", "low_spread"]
@@ -43,23 +46,28 @@ def fill_panel(panel: DataFrame, cols: Sequence[str], *, step_seconds: int, past
     the last value forward instead and so uses nothing that was not known at the time.
     """
     numbered = number_rows(panel.select("ts", *[F.col(f"`{c}`") for c in cols]), step_seconds=step_seconds)
-    long = numbered.unpivot(["ts", POS], [F.col(f"`{c}`") for c in cols], "name", "value")
+    values = F.expr("array(" + ", ".join(f"`{c}`" for c in cols) + ")")
+    long = numbered.select("ts", POS, F.posexplode(values).alias("place", "value"))
     if past_only:
-        filled = fill_rows(long, ["value"], by=["name"], step_seconds=step_seconds, how="forward")
+        filled = fill_rows(long, ["value"], by=["place"], step_seconds=step_seconds, how="forward")
     else:
-        filled = interpolate_rows(long, ["value"], by=["name"], step_seconds=step_seconds)
-    cells = [F.coalesce(F.max(F.when(F.col("name") == c, F.col("value"))), F.lit(0.0)).alias(c) for c in cols]
-    return filled.groupBy("ts", POS).agg(*cells)
+        filled = interpolate_rows(long, ["value"], by=["place"], step_seconds=step_seconds)
+    # every time has a row for every column, so a sorted list puts each value back into its place
+    rows = filled.groupBy("ts", POS).agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("_row"))
+    return rows.select("ts", POS, *[F.expr(f"coalesce(_row[{i}].value, 0D) AS `{c}`") for i, c in enumerate(cols)])
 
 
 def features_then_fill(
     bars: DataFrame, symbols: Sequence[str], *, max_missing: float, step_seconds: int, past_only: bool = False
 ) -> DataFrame:
-    """Training order: indicators per symbol, merged on time, sparse times dropped, gaps filled."""
+    """Training order: indicators per symbol, merged on time, sparse times dropped, gaps filled.
+
+    The merged panel is written out before it is filled, since filling reads it several times.
+    """
     names = [*OHLCV, *INDICATORS]
     panel = wide_panel(indicator_set(bars, step_seconds=step_seconds), symbols, names)
     cols = [c for c in panel.columns if c != "ts"]
-    kept = panel.filter(missing_cells(cols) <= (max_missing * len(cols) if max_missing < 1 else max_missing))
+    kept = written(filter_missing(panel, cols, max_missing), "panel")
     return fill_panel(kept, cols, step_seconds=step_seconds, past_only=past_only)
 
 
@@ -67,7 +75,7 @@ def fill_then_features(bars: DataFrame, symbols: Sequence[str], *, max_missing:
     """Prediction order: bars merged on time, sparse times dropped, gaps filled, then indicators per symbol."""
     panel = wide_panel(bars, symbols, OHLCV)
     cols = [c for c in panel.columns if c != "ts"]
-    kept = panel.filter(missing_cells(cols) <= (max_missing * len(cols) if max_missing < 1 else max_missing))
+    kept = written(filter_missing(panel, cols, max_missing), "panel")
     filled = fill_panel(kept, cols, step_seconds=step_seconds)
     rows = F.array(
         *[F.struct(F.lit(s).alias("symbol"), *[F.col(f"`{s}_{f}`").alias(f) for f in OHLCV]) for s in symbols]
@@ -78,8 +86,7 @@ def fill_then_features(bars: DataFrame, symbols: Sequence[str], *, max_missing:
 
 
 def wide_panel_with_pos(rows: DataFrame, symbols: Sequence[str], features: Sequence[str]) -> DataFrame:
-    cells = [F.max(F.when(F.col("symbol") == s, F.col(f))).alias(f"{s}_{f}") for s in symbols for f in features]
-    return rows.groupBy("ts", POS).agg(*cells)
+    return rows.groupBy("ts", POS).agg(*cells_where("symbol", symbols, features))
 
 
 def training_table(panel: DataFrame, target: str, *, step_seconds: int) -> tuple[DataFrame, Design]:
@@ -101,7 +108,7 @@ def training_table(panel: DataFrame, target: str, *, step_seconds: int) -> tuple
     )
     own = {f"{target}_{c}" for c in ("close", "high", "low")}
     features = [c for c in panel.columns if c not in {"ts", POS, *own}] + [*CALENDAR, "target_returns_30", "target_volatility_30"]
-    cells = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(c) for c in [*TARGETS, *features]]
+    cells = [F.expr(f"coalesce(CAST(`{c}` AS DOUBLE), 0D) AS `{c}`") for c in [*TARGETS, *features]]
     return rows.select("ts", POS, *cells), Design(tuple(TARGETS), tuple(features), step_seconds)
 
 

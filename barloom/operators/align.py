@@ -7,15 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.columns import cells_where
 from barloom.operators.blocks import chunk_of, over_blocks
 
 
 def wide_panel(bars: DataFrame, symbols: Sequence[str], features: Sequence[str]) -> DataFrame:
     """Outer merge of all symbols on time: one row per timestamp, one column per symbol and feature, one shuffle."""
-    cells = [
-        F.max(F.when(F.col("symbol") == s, F.col(f))).alias(f"{s}_{f}") for s in symbols for f in features
-    ]
-    return bars.filter(F.col("symbol").isin(list(symbols))).groupBy("ts").agg(*cells)
+    wanted = bars.filter(F.col("symbol").isin(list(symbols)))
+    return wanted.groupBy("ts").agg(*cells_where("symbol", symbols, features))
 
 
 def merge_frames(frames: Sequence[DataFrame], on: str = "ts") -> DataFrame:
@@ -98,18 +97,18 @@ def nearest_rows(
         F.max_by("_bar", "ts").alias("_last"), F.min_by("_bar", "ts").alias("_first")
     )
     chunks = line.select(*keys).distinct().join(ends, keys, "left")
-    w = Window.partitionBy(*by).orderBy("_chunk")
+    series, inner = Window.partitionBy(*by), Window.partitionBy(*keys)
+    earlier, so_far = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, 0)
     carry = chunks.select(
         *keys,
-        F.last("_last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_back"),
-        F.first("_first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_ahead"),
+        F.last("_last", ignorenulls=True).over(series.orderBy("_chunk").rowsBetween(*earlier)).alias("_back"),
+        F.last("_first", ignorenulls=True).over(series.orderBy(F.col("_chunk").desc()).rowsBetween(*earlier)).alias("_ahead"),
     )
-    inner = Window.partitionBy(*keys).orderBy("ts", "_probe")
-    upto = inner.rowsBetween(Window.unboundedPreceding, 0)
-    onward = inner.rowsBetween(0, Window.unboundedFollowing)
+    upto = inner.orderBy("ts", "_probe").rowsBetween(*so_far)
+    onward = inner.orderBy(F.col("ts").desc(), "_probe").rowsBetween(*so_far)
     found = (
         line.withColumn("_l", F.last("_bar", ignorenulls=True).over(upto))
-        .withColumn("_r", F.first("_bar", ignorenulls=True).over(onward))
+        .withColumn("_r", F.last("_bar", ignorenulls=True).over(onward))
         .filter(F.col("_probe") == 1)
         .join(carry, keys)
         .withColumn("_l", F.coalesce("_l", "_back"))

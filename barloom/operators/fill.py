@@ -34,18 +34,19 @@ def _with_neighbours(
     summary = blocked.groupBy(*keys).agg(*ends)
     series = Window.partitionBy(*by).orderBy(BLOCK)
     before = series.rowsBetween(Window.unboundedPreceding, -1)
-    after = series.rowsBetween(1, Window.unboundedFollowing)
+    # looking ahead is looking back in the opposite order: a frame open to the end is rebuilt for every row
+    after = Window.partitionBy(*by).orderBy(F.col(BLOCK).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carried: list[Column] = []
     for i in range(len(cols)):
         if back:
             carried += [F.last(f"_l{k}{i}", ignorenulls=True).over(before).alias(f"_cl{k}{i}") for k in "vp"]
         if ahead:
-            carried += [F.first(f"_f{k}{i}", ignorenulls=True).over(after).alias(f"_cf{k}{i}") for k in "vp"]
+            carried += [F.last(f"_f{k}{i}", ignorenulls=True).over(after).alias(f"_cf{k}{i}") for k in "vp"]
     carry = summary.select(*keys, *carried)
 
     w = block_window(by)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    onward = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    onward = Window.partitionBy(*by, BLOCK).orderBy(F.col(POS).desc()).rowsBetween(Window.unboundedPreceding, 0)
     local: list[Column] = []
     for i, c in enumerate(cols):
         value = F.col(f"`{c}`")
@@ -55,9 +56,9 @@ def _with_neighbours(
             if positions:
                 local.append(F.last(known, ignorenulls=True).over(upto).alias(f"_pp{i}"))
         if ahead:
-            local.append(F.first(value, ignorenulls=True).over(onward).alias(f"_nv{i}"))
+            local.append(F.last(value, ignorenulls=True).over(onward).alias(f"_nv{i}"))
             if positions:
-                local.append(F.first(known, ignorenulls=True).over(onward).alias(f"_np{i}"))
+                local.append(F.last(known, ignorenulls=True).over(onward).alias(f"_np{i}"))
     return blocked.select("*", *local).join(carry, keys)
 
 

@@ -204,18 +204,63 @@ INDICATORS = [
 
 
 def indicator_set(bars: DataFrame, *, step_seconds: int, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """All indicators of a symbol behind one shuffle and one sort."""
+    """All indicators of a symbol behind one shuffle, one sort and two window passes.
+
+    The first pass holds every window over the bars themselves, the second every window over its results.
+    """
+
+    def mean(c: str, span: int, w: WindowSpec) -> Column:
+        return ewm.ewm_adjusted(F.col(c), span, w, _MACD_ROWS, _MACD_HALO)
 
     def build(d: DataFrame, w: WindowSpec) -> DataFrame:
-        d = _add_macd(d, w)
-        d = add_bollinger(d, w)
-        d = d.withColumn("sma_20", F.col("bb_middle"))
-        d = add_rsi(d, w, "close", "rsi")
-        d = add_atr(d, w)
-        d = add_stochastic(d, w)
-        d = add_volume_ratio(d, w)
-        d = d.withColumn("roc", change(F.col("close"), 10, w))
-        return add_volatility(d, w, "volatility")
+        close, high, low = F.col("close"), F.col("high"), F.col("low")
+        d = d.withColumns(
+            {
+                "ema_12": mean("close", 12, w),
+                "ema_26": mean("close", 26, w),
+                "sma_20": strict(F.avg, close, 20, w),
+                "_std": strict(F.stddev_samp, close, 20, w),
+                "_low": strict(F.min, low, 14, w),
+                "_high": strict(F.max, high, 14, w),
+                "volume_sma": strict(F.avg, F.col("volume"), 20, w),
+                "_before": F.lag(close).over(w),
+                "_before10": F.lag(close, 10).over(w),
+            }
+        )
+        step = close - F.col("_before")
+        d = d.withColumns(
+            {
+                "macd": F.col("ema_12") - F.col("ema_26"),
+                "_up": F.coalesce(F.greatest(step, F.lit(0.0)), F.lit(0.0)),
+                "_down": F.coalesce(F.greatest(-step, F.lit(0.0)), F.lit(0.0)),
+                "_range": F.greatest(high - low, F.abs(high - F.col("_before")), F.abs(low - F.col("_before"))),
+                "stoch_k": 100 * F.try_divide(close - F.col("_low"), F.col("_high") - F.col("_low")),
+                "_ret": F.try_divide(close, F.col("_before")) - 1,
+                "roc": F.try_divide(close, F.col("_before10")) - 1,
+                "volume_ratio": F.try_divide(F.col("volume"), F.col("volume_sma")),
+                "bb_middle": F.col("sma_20"),
+                "bb_upper": F.col("sma_20") + 2.0 * F.col("_std"),
+                "bb_lower": F.col("sma_20") - 2.0 * F.col("_std"),
+            }
+        )
+        d = d.withColumns(
+            {
+                "macd_signal": mean("macd", 9, w),
+                "_gain": strict(F.avg, F.col("_up"), 14, w),
+                "_loss": strict(F.avg, F.col("_down"), 14, w),
+                "atr": strict(F.avg, F.col("_range"), 14, w),
+                "stoch_d": strict(F.avg, F.col("stoch_k"), 3, w),
+                "volatility": strict(F.stddev_samp, F.col("_ret"), 20, w),
+            }
+        )
+        index = 100 - F.try_divide(F.lit(100.0), 1 + F.try_divide(F.col("_gain"), F.col("_loss")))
+        return d.withColumns(
+            {
+                "macd_hist": F.col("macd") - F.col("macd_signal"),
+                "rsi": F.when((F.col("_loss") == 0) & (F.col("_gain") > 0), 100.0).otherwise(index),
+                "bb_width": F.col("bb_upper") - F.col("bb_lower"),
+            }
+        )
 
     out = over_blocks(bars, build, by=by, step_seconds=step_seconds, halo=_MACD_HALO, rows=_MACD_ROWS)
     return out.select(*bars.columns, *INDICATORS)

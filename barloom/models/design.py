@@ -58,20 +58,23 @@ def fill_panel(panel: DataFrame, cols: Sequence[str], *, step_seconds: int, past
 
 
 def features_then_fill(
-    bars: DataFrame, symbols: Sequence[str], *, max_missing: float, step_seconds: int, past_only: bool = False
+    bars: DataFrame, symbols: Sequence[str], *, max_missing: float, step_seconds: int, past_only: bool = False,
+    names: Sequence[str] = (*OHLCV, *INDICATORS),
 ) -> DataFrame:
     """Training order: indicators per symbol, merged on time, sparse times dropped, gaps filled.
 
     The merged panel is written out before it is filled, since filling reads it several times.
     """
-    names = [*OHLCV, *INDICATORS]
     panel = wide_panel(indicator_set(bars, step_seconds=step_seconds), symbols, names)
     cols = [c for c in panel.columns if c != "ts"]
     kept = written(filter_missing(panel, cols, max_missing), "panel")
     return fill_panel(kept, cols, step_seconds=step_seconds, past_only=past_only)
 
 
-def fill_then_features(bars: DataFrame, symbols: Sequence[str], *, max_missing: float, step_seconds: int) -> DataFrame:
+def fill_then_features(
+    bars: DataFrame, symbols: Sequence[str], *, max_missing: float, step_seconds: int,
+    names: Sequence[str] = (*OHLCV, *INDICATORS),
+) -> DataFrame:
     """Prediction order: bars merged on time, sparse times dropped, gaps filled, then indicators per symbol."""
     panel = wide_panel(bars, symbols, OHLCV)
     cols = [c for c in panel.columns if c != "ts"]
@@ -82,7 +85,7 @@ def fill_then_features(bars: DataFrame, symbols: Sequence[str], *, max_missing:
     )
     long = filled.select("ts", POS, F.inline(rows))
     full = indicator_set(long, step_seconds=step_seconds)
-    return wide_panel_with_pos(full, symbols, [*OHLCV, *INDICATORS])
+    return wide_panel_with_pos(full, symbols, names)
 
 
 def wide_panel_with_pos(rows: DataFrame, symbols: Sequence[str], features: Sequence[str]) -> DataFrame:

@@ -48,6 +48,15 @@ def gram(rows: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
     cells = (upper[0] * size + upper[1]).astype("int32")
     schema = T.StructType([rows.schema[k] for k in keys] + [T.StructField("cell", T.IntegerType()), T.StructField("value", T.DoubleType())])
 
+    def groups(batch: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray | slice]]:
+        """Key values and row numbers of the groups in a batch."""
+        if not keys:
+            yield (), slice(None)
+            return
+        labels = batch.select(keys).to_pandas()
+        for index in labels.groupby(keys, sort=False, dropna=False).indices.values():
+            yield tuple(batch.column(k)[int(index[0])].as_py() for k in keys), index
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
         types: list[pa.DataType] = []
@@ -63,10 +72,8 @@ def gram(rows: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
                 continue
             types = [batch.column(k).type for k in keys]
             x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-            names = list(zip(*[batch.column(k).to_pylist() for k in keys])) if keys else [()] * len(x)
-            for key, index in pd.Series(range(len(names))).groupby(pd.factorize(pd.Series(names, dtype=object))[0]).indices.items():
+            for label, index in groups(batch):
                 part = x[index]
-                label = names[index[0]]
                 total = sums.get(label)
                 sums[label] = part.T @ part if total is None else total + part.T @ part
             if len(sums) * size * size * 8 > _FLUSH_BYTES:

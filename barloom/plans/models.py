@@ -82,6 +82,60 @@ def sequence_regression(t: Tables) -> DataFrame:
     return _series(t).sequence(SEQUENCE_STEPS)
 
 
+# --- the two orders of filling and indicators -----------------------------------------------------------------------
+
+_KEPT = ["close", "sma_20", "roc"]
+_KEPT_COLS = [f"{s}_{f}" for s in HOURLY_SYMBOLS for f in _KEPT]
+_BY_SYMBOL = "PARTITION BY symbol ORDER BY ts"
+_CALC = f"""CASE WHEN count(close) OVER f20 = 20 THEN avg(close) OVER f20 END AS sma_20, close / nullif(lag(close, 10) OVER ({_BY_SYMBOL}), 0) - 1 AS roc"""
+_F20 = f"WINDOW f20 AS ({_BY_SYMBOL} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
+
+
+def _filled_sql(c: str) -> str:
+    back, ahead = "ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW", "ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
+    at = f"CASE WHEN {c} IS NOT NULL THEN pos END"
+    left, right = f"last_value({c} IGNORE NULLS) OVER ({back})", f"first_value({c} IGNORE NULLS) OVER ({ahead})"
+    left_at, right_at = f"last_value({at} IGNORE NULLS) OVER ({back})", f"first_value({at} IGNORE NULLS) OVER ({ahead})"
+    return f"coalesce({c}, {left} + ({right} - {left}) / nullif({right_at} - {left_at}, 0) * (pos - {left_at}), {left}, {right}, 0) AS {c}"
+
+
+def _missing_sql(cols: list[str]) -> str:
+    return " + ".join(f"CAST({c} IS NULL AS INT)" for c in cols)
+
+
+@query(
+    "features_then_fill",
+    f"""WITH {HB}, ind AS (SELECT *, {_CALC} FROM hb {_F20}), {panel_sql('ind', 'panel', HOURLY_SYMBOLS, _KEPT)},
+    numbered AS (SELECT *, row_number() OVER (ORDER BY ts) AS pos FROM panel WHERE {_missing_sql(_KEPT_COLS)} <= 9)
+    SELECT ts, CAST(pos AS BIGINT) AS pos, {", ".join(_filled_sql(c) for c in _KEPT_COLS)} FROM numbered""",
+    doubles=" ".join(_KEPT_COLS),
+)
+def features_then_fill_query(t: Tables) -> DataFrame:
+    """Indicators on each symbol's own bars, then one timeline without gaps."""
+    out = features_then_fill(t.hourly(), HOURLY_SYMBOLS, max_missing=9, step_seconds=HOUR, names=_KEPT)
+    return out.withColumnRenamed("_pos", "pos")
+
+
+_CELLS = ["open", "high", "low", "close", "volume"]
+_CELL_COLS = [f"{s}_{f}" for s in HOURLY_SYMBOLS for f in _CELLS]
+
+
+@query(
+    "fill_then_features",
+    f"""WITH {HB}, {panel_sql('hb', 'panel', HOURLY_SYMBOLS, _CELLS)},
+    numbered AS (SELECT *, row_number() OVER (ORDER BY ts) AS pos FROM panel WHERE {_missing_sql(_CELL_COLS)} <= 15),
+    filled AS (SELECT ts, pos, {", ".join(_filled_sql(c) for c in _CELL_COLS)} FROM numbered),
+    long AS ({" UNION ALL ".join(f"SELECT ts, pos, '{s}' AS symbol, {s}_close AS close FROM filled" for s in HOURLY_SYMBOLS)}),
+    ind AS (SELECT *, {_CALC} FROM long {_F20})
+    SELECT ts, CAST(pos AS BIGINT) AS pos, {", ".join(f"max(CASE WHEN symbol = '{s}' THEN {f} END) AS {s}_{f}" for s in HOURLY_SYMBOLS for f in _KEPT)} FROM ind GROUP BY ts, pos""",
+    doubles=" ".join(_KEPT_COLS),
+)
+def fill_then_features_query(t: Tables) -> DataFrame:
+    """One timeline without gaps, then indicators on the filled bars."""
+    out = fill_then_features(t.hourly(), HOURLY_SYMBOLS, max_missing=0.6, step_seconds=HOUR, names=_KEPT)
+    return out.withColumnRenamed("_pos", "pos")
+
+
 def _training(t: Tables) -> tuple[DataFrame, object]:
     panel = features_then_fill(t.hourly(), HOURLY_SYMBOLS, max_missing=SHORT.max_missing_train, step_seconds=HOUR)
     return training_table(panel, HOURLY_TARGET, step_seconds=HOUR)

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import cells_where
 from barloom.functions.scalar import with_calendar
 from barloom.operators.align import wide_panel
-from barloom.operators.blocks import POS, number_rows, over_blocks
+from barloom.operators.blocks import POS, over_blocks
 from barloom.operators.clean import filter_missing
-from barloom.operators.fill import fill_rows, interpolate_rows
+from barloom.operators.fill import fill_panel
 from barloom.operators.indicators import INDICATORS, add_volatility, change, indicator_set
 from barloom.session import written
 
@@ -39,36 +39,19 @@ class Design:
         return Design(self.targets, tuple(features), self.step_seconds, self.by)
 
 
-def fill_panel(panel: DataFrame, cols: Sequence[str], *, step_seconds: int, past_only: bool = False) -> DataFrame:
-    """Interpolate all columns of a panel by position, nearest value at the ends, 0 where a column has none.
-
-    The panel is filled in long form, so the plan stays the same for ten columns or for hundreds. `past_only` carries
-    the last value forward instead and so uses nothing that was not known at the time.
-    """
-    numbered = number_rows(panel.select("ts", *[F.col(f"`{c}`") for c in cols]), step_seconds=step_seconds)
-    values = F.expr("array(" + ", ".join(f"`{c}`" for c in cols) + ")")
-    long = numbered.select("ts", POS, F.posexplode(values).alias("place", "value"))
-    if past_only:
-        filled = fill_rows(long, ["value"], by=["place"], step_seconds=step_seconds, how="forward")
-    else:
-        filled = interpolate_rows(long, ["value"], by=["place"], step_seconds=step_seconds)
-    # every time has a row for every column, so a sorted list puts each value back into its place
-    rows = filled.groupBy("ts", POS).agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("_row"))
-    return rows.select("ts", POS, *[F.expr(f"coalesce(_row[{i}].value, 0D) AS `{c}`") for i, c in enumerate(cols)])
-
-
 def features_then_fill(
     bars: DataFrame, symbols: Sequence[str], *, max_missing: float, step_seconds: int, past_only: bool = False,
     names: Sequence[str] = (*OHLCV, *INDICATORS),
 ) -> DataFrame:
     """Training order: indicators per symbol, merged on time, sparse times dropped, gaps filled.
 
-    The merged panel is written out before it is filled, since filling reads it several times.
+    The merged panel is written out before it is filled, since filling reads it several times. `past_only` carries the
+    last value forward instead of interpolating, and so uses nothing that was not known at the time.
     """
     panel = wide_panel(indicator_set(bars, step_seconds=step_seconds), symbols, names)
     cols = [c for c in panel.columns if c != "ts"]
     kept = written(filter_missing(panel, cols, max_missing), "panel")
-    return fill_panel(kept, cols, step_seconds=step_seconds, past_only=past_only)
+    return fill_panel(kept, cols, step_seconds=step_seconds, how="forward" if past_only else "linear")
 
 
 def fill_then_features(
@@ -79,7 +62,7 @@ def fill_then_features(
     panel = wide_panel(bars, symbols, OHLCV)
     cols = [c for c in panel.columns if c != "ts"]
     kept = written(filter_missing(panel, cols, max_missing), "panel")
-    filled = fill_panel(kept, cols, step_seconds=step_seconds)
+    filled = fill_panel(kept, cols, step_seconds=step_seconds, how="linear").fillna(0.0)
     rows = F.array(
         *[F.struct(F.lit(s).alias("symbol"), *[F.col(f"`{s}_{f}`").alias(f) for f in OHLCV]) for s in symbols]
     )
@@ -99,7 +82,7 @@ def training_table(panel: DataFrame, target: str, *, step_seconds: int) -> tuple
         d = d.withColumn("target_returns_30", change(F.col(f"`{target}_close`"), 30, w))
         return add_volatility(d, w, "target_volatility_30", n=30, x=f"`{target}_close`")
 
-    rows = over_blocks(panel, macro, by=[], step_seconds=step_seconds, halo=31)
+    rows = over_blocks(panel.fillna(0.0), macro, by=[], step_seconds=step_seconds, halo=31)
     rows = with_calendar(rows)
     high, low, close = (F.col(f"`{target}_{c}`") for c in ("high", "low", "close"))
     rows = rows.withColumns(

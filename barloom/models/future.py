@@ -78,7 +78,8 @@ def future_regressors(
     )
     ends = table.groupBy(*by).agg(F.max("ts").alias("_end"))
     steps = F.explode(F.sequence(F.lit(1), F.lit(horizon.steps))).alias("step")
-    grown = facts.join(ends, list(by)).select(*keys, "last", "n", "drift", "recent", "_end", steps)
+    placed = facts.join(ends, list(by)) if by else facts.withColumn("_end", ends.scalar())
+    grown = placed.select(*keys, "last", "n", "drift", "recent", "_end", steps)
     return grown.select(
         *by, "feature", "family", "step",
         F.timestamp_add("SECOND", F.col("step") * horizon.step_seconds, F.col("_end")).alias("ts"),

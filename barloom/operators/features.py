@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.blocks import over_blocks
+from barloom.operators.metrics import correlation
 
 
 def feature_scores(panel: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:
@@ -18,7 +19,7 @@ def feature_scores(panel: DataFrame, features: Sequence[str], targets: Sequence[
     """
     mean = reduce(lambda a, b: a + b, [F.col(f"`{t}`") for t in targets]) / len(targets)
     base = panel.withColumn("_mean", mean)
-    stats = [F.corr(F.col(f"`{f}`"), F.col("_mean")).alias(f"r{i}") for i, f in enumerate(features)]
+    stats = [correlation(F.col(f"`{f}`"), F.col("_mean")).alias(f"r{i}") for i, f in enumerate(features)]
     row = base.agg(F.count(F.lit(1)).alias("n"), *stats)
     items = [F.struct(F.lit(i).alias("pos"), F.lit(f).alias("feature"), F.col(f"r{i}").alias("r")) for i, f in enumerate(features)]
     scored = row.select("n", F.explode(F.array(*items)).alias("s")).select("s.pos", "s.feature", "s.r", "n")
@@ -57,7 +58,10 @@ def apply_minmax(
     df: DataFrame, scaler: DataFrame, cols: Sequence[str], by: Sequence[str], *, inverse: bool = False
 ) -> DataFrame:
     """Scale to [0, 1] by a fitted table, or back; a constant column maps to 0."""
-    joined = df.join(scaler, list(by))
+    if by:
+        joined = df.join(scaler, list(by))
+    else:
+        joined = df.withColumns({c: scaler.select(F.col(f"`{c}`")).scalar() for c in scaler.columns})
     expr = _unscaled if inverse else _scaled
     return joined.withColumns({c: expr(c) for c in cols}).select(*df.columns)
 

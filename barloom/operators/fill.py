@@ -112,3 +112,20 @@ def interpolate_rows(
 
     extra = [POS] if POS in df.columns else []
     return near.select(*[filled(c) for c in _plain(df)], *extra)
+
+
+def fill_panel(panel: DataFrame, cols: Sequence[str], *, step_seconds: int, how: str = "both") -> DataFrame:
+    """Fill all columns of a wide panel, `how` as in `fill_rows` or `linear`; the result has positions.
+
+    The panel is filled in long form, one series per column, so the plan stays the same for ten columns or hundreds.
+    """
+    numbered = number_rows(panel.select("ts", *[F.col(f"`{c}`") for c in cols]), step_seconds=step_seconds)
+    values = F.expr("array(" + ", ".join(f"`{c}`" for c in cols) + ")")
+    long = numbered.select("ts", POS, F.posexplode(values).alias("place", "value"))
+    if how == "linear":
+        filled = interpolate_rows(long, ["value"], by=["place"], step_seconds=step_seconds)
+    else:
+        filled = fill_rows(long, ["value"], by=["place"], step_seconds=step_seconds, how=how)
+    # every time has a row for every column, so a sorted list puts each value back into its place
+    rows = filled.groupBy("ts", POS).agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("_row"))
+    return rows.select("ts", POS, *[F.expr(f"_row[{i}].value AS `{c}`") for i, c in enumerate(cols)])

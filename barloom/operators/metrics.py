@@ -35,6 +35,13 @@ def smape() -> Column:
     return 100 * F.avg(F.when(size == 0, 0.0).otherwise(F.try_divide(2 * F.abs(error()), size)))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation over complete pairs, NULL where one side is constant (the built-in one raises there)."""
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
 def is_spread(target: Column) -> Column:
     return F.contains(target, F.lit("spread"))
 

@@ -98,7 +98,7 @@ def direction_accuracy(t: Tables) -> DataFrame:
 
 @query("corr_actual_pred", f"WITH {SCORED} SELECT symbol, model, target, corr(actual, predicted) AS r FROM scored {_GROUP}", doubles="r")
 def corr_actual_pred(t: Tables) -> DataFrame:
-    return scored(t).groupBy(*SCORE_KEYS).agg(F.corr("actual", "predicted").alias("r"))
+    return scored(t).groupBy(*SCORE_KEYS).agg(metrics.correlation(F.col("actual"), F.col("predicted")).alias("r"))
 
 
 @query("evaluate", f"WITH {HITS} SELECT symbol, model, target, {EVAL_SQL} FROM hits {_GROUP}", doubles="mae rmse mape smape dir_acc")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.config import DAY, HOUR, SHORT
-from barloom.operators import fill, indicators
+from barloom.operators import etl, fill, indicators
 from barloom.operators.ewm import ewm
 from barloom.operators.features import sequence_windows
 from barloom.operators.toplists import last_values
@@ -325,3 +325,33 @@ def ema_with_gaps(t: Tables) -> DataFrame:
     """A missing value keeps the mean and decays the weights of what came before."""
     b = t.thin().select("symbol", "ts", "close")
     return ewm(b, "close", "ema", span=12, step_seconds=HOUR)
+
+
+# --- the batch steps before training --------------------------------------------------------------------------------
+
+_ETL_COLS = [f"{s}_{f}" for s in HOURLY_SYMBOLS for f in etl.PANEL_FEATURES]
+_ETL_KEPT = " + ".join(f"CAST({c} IS NULL AS INT)" for c in _ETL_COLS)
+_ETL_SQL = f"""WITH {HB}, moves AS {_MOVES},
+  base AS (SELECT *, {_part('avg', 'close', 14)} AS sma14, {_ewm_recursive_sql('close', 14)} AS ema14, {_part('avg', 'up', 14)} AS gain, {_part('avg', 'down', 14)} AS loss FROM moves),
+  ind AS (SELECT symbol, ts, open, high, low, close, volume, sma14, ema14, {_RSI_ETL} AS rsi14 FROM base),
+  {panel_sql('ind', 'panel', HOURLY_SYMBOLS, etl.PANEL_FEATURES)},
+  kept AS (SELECT * FROM panel WHERE ts <= TIMESTAMP '2024-01-25' AND {_ETL_KEPT} <= 0.2 * {len(_ETL_COLS)})
+  SELECT ts, {", ".join(f"coalesce(last_value({c} IGNORE NULLS) OVER b, first_value({c} IGNORE NULLS) OVER a) AS {c}" for c in _ETL_COLS)} FROM kept
+  WINDOW b AS (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"""
+
+
+@query("etl_panel", _ETL_SQL, doubles=" ".join(_ETL_COLS))
+def etl_panel(t: Tables) -> DataFrame:
+    return etl.etl_panel(t.hourly(), HOURLY_SYMBOLS, SHORT, end=F.lit("2024-01-25").cast("timestamp_ntz"))
+
+
+@query("feature_table", _bars(f"{_part('avg', 'close', 20)} AS sma20, {_part('stddev_samp', 'close', 20)} AS rolling_vol20"), doubles="sma20 rolling_vol20")
+def feature_table(t: Tables) -> DataFrame:
+    return etl.feature_table(t.hourly(), step_seconds=HOUR)
+
+
+@query("validation_record", f"""WITH {HB} SELECT epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(max(ts)) <= 21600 AS freshness_ok,
+  (SELECT bool_and(n > 100) FROM (SELECT count(close) AS n FROM hb GROUP BY symbol)) AS missing_rate_ok, CAST(NULL AS DOUBLE) AS last_mape FROM hb""")
+def validation_record(t: Tables) -> DataFrame:
+    as_of = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+    return etl.validation_record(t.hourly(), as_of=as_of, limit_seconds=SHORT.fresh_seconds)

@@ -9,10 +9,9 @@ from barloom.config import HOUR, SHORT
 from barloom.models import folds
 from barloom.operators import clean, features, metrics, quality, views
 from barloom.operators.quantiles import box_statistics
-from barloom.operators.toplists import last_values
 from barloom.plans.catalog import (
-    CELLS, DB, DIRTY, EVAL_SQL, HB, HITS, HOURLY_SYMBOLS, MAE, MAPE, PRICES, RMSE, SCORE_KEYS, SCORED, SMAPE, SPREADS, TARGETS,
-    THIN, Tables, panel_sql, query, scored, with_spreads,
+    CELLS, DB, DIRTY, EVAL_SQL, HB, HITS, HOURLY_SYMBOLS, MAE, MAPE, PRICES, RMSE, SCORE_KEYS, SCORED, SMAPE,
+    THIN, Tables, panel_sql, query, scored,
 )
 from barloom.plans.rows import REASON
 

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from barloom.config import DAY, HOUR, LONG, SHORT
 from barloom.functions import scalar
-from barloom.models.future import FAMILIES, family, future_frame, future_regressors
+from barloom.models.future import family, future_frame, future_regressors
 from barloom.models.naive import naive_forecast
 from barloom.models.panel import forecast_panel
 from barloom.operators import indicators, toplists, views
 from barloom.plans.catalog import (
-    CELLS, DAILY_SYMBOLS, DB, DIRTY, EVAL_SQL, HB, HITS, PRICES, SPREADS, TARGETS, THIN, Tables, query, scored, with_spreads,
+    DAILY_SYMBOLS, DB, EVAL_SQL, HB, HITS, PRICES, SPREADS, TARGETS, THIN, Tables, query, scored, with_spreads,
 )
 from barloom.operators import metrics
 from barloom.operators.blocks import number_rows

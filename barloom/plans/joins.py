@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barloom.config import DAY, HOUR
 from barloom.operators import align
 from barloom.plans.catalog import (
-    CELLS, DAILY_SYMBOLS, DB, HB, HOURLY_SYMBOLS, SCORED, SPREADS, TARGETS, Tables, panel_sql, query, scored, with_spreads,
+    CELLS, DAILY_SYMBOLS, DB, HB, HOURLY_SYMBOLS, SCORED, TARGETS, Tables, panel_sql, query, scored, with_spreads,
 )
 
 

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-import pandas as pd
-from pyspark.sql import types as T
 
 from barloom.config import DAY, HOUR, LONG, SHORT
 from barloom.models import backtest as bt

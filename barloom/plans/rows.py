@@ -12,7 +12,7 @@ from barloom.operators import align, clean
 from barloom.operators.fill import fill_rows
 from barloom.operators.views import rebuild_high_low
 from barloom.plans.catalog import (
-    CELLS, DB, DIRTY, HB, HOURLY_SYMBOLS, PRICES, SCORED, SPREADS, TARGETS, THIN, Tables, panel_sql, query, scored, with_spreads,
+    CELLS, DIRTY, HB, HOURLY_SYMBOLS, PRICES, SCORED, SPREADS, TARGETS, THIN, Tables, panel_sql, query, scored, with_spreads,
 )
 
 _THIN_COLS = [f"{s}_{f}" for s in HOURLY_SYMBOLS for f in PRICES]

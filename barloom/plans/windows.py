@@ -10,7 +10,7 @@ from barloom.operators import etl, fill, indicators
 from barloom.operators.ewm import ewm
 from barloom.operators.features import sequence_windows
 from barloom.operators.toplists import last_values
-from barloom.plans.catalog import DB, DIRTY, HB, HOURLY_SYMBOLS, HOURLY_TARGET, THIN, Tables, panel_sql, query
+from barloom.plans.catalog import DB, HB, HOURLY_SYMBOLS, HOURLY_TARGET, THIN, Tables, panel_sql, query
 
 _W = "PARTITION BY symbol ORDER BY ts"
 

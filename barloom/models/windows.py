@@ -51,9 +51,14 @@ class Folds:
     step: int
 
     @property
-    def rows(self) -> int:
-        """Rows per piece: every window ends at a piece."""
-        return math.gcd(self.min_train, self.step)
+    def first_pieces(self) -> int:
+        """Pieces of the first window. A piece has `step` rows, the very first one what is left over, so that every
+        window ends with a piece and a series has few pieces."""
+        return math.ceil(self.min_train / self.step)
+
+    def _rows(self, count: Column) -> Column:
+        """Rows of the first `count` pieces."""
+        return F.lit(self.min_train) - (F.lit(self.first_pieces) - count) * self.step
 
     def windows(self, rows: DataFrame, by: Sequence[str]) -> DataFrame:
         """(by, fold, train_rows): the folds each series is long enough for."""
@@ -65,13 +70,14 @@ class Folds:
         )
 
     def cut(self, rows: DataFrame, windows: DataFrame, by: Sequence[str]) -> DataFrame:
-        return rows.withColumn("piece", F.floor((F.col(POS) - 1) / self.rows).cast("long"))
+        piece = F.floor((F.col(POS) - 1 - self.min_train) / self.step) + self.first_pieces
+        return rows.withColumn("piece", piece.cast("long"))
 
     def places(self, windows: DataFrame, by: Sequence[str]) -> DataFrame:
         """(by, fold, slot, piece, at): the last piece before each place and the number of rows up to there."""
-        each = F.explode(_places(F.floor(F.col("train_rows") / self.rows))).alias("s")
+        each = F.explode(_places(F.col("fold") + self.first_pieces)).alias("s")
         return windows.select(*by, "fold", each).select(
-            *by, "fold", "s.slot", (F.col("s.count") - 1).alias("piece"), (F.col("s.count") * self.rows).alias("at")
+            *by, "fold", "s.slot", (F.col("s.count") - 1).alias("piece"), self._rows(F.col("s.count")).alias("at")
         )
 
     def tests(self, rows: DataFrame, windows: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,13 +15,14 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@cache
+def _fallback_folder() -> str:
+    return tempfile.mkdtemp(prefix="barloom-")
+
+
 def work_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="barloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return spark.conf.get("spark.checkpoint.dir", None) or _fallback_folder()
 
 
 def work_path(spark: SparkSession, label: str) -> str:

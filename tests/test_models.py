@@ -238,3 +238,43 @@ def test_backtest_metrics(result):
         assert (r["mape"] is None) == ("spread" in r["target"]) and 0 <= r["dir_acc"] <= 1 and r["rmse"] >= r["mae"] - 1e-12
     arimax = [r["mae"] for r in table if r["model"] == "arimax" and r["target"] == "close"]
     assert np.mean(arimax) < 2.0
+
+
+@pytest.mark.parametrize("m, step", [(300, 60), (250, 60), (50, 70), (61, 60)])
+def test_sums_of_growing_windows(spark, m, step):
+    """Windows end with a piece whether or not their length is a multiple of the step."""
+    from barloom.models.gram import running_gram
+    from barloom.models.windows import END, pick
+
+    data = simulate(n=420)
+    folds = Folds(m, 60, step)
+    rows = frame(spark, data)
+    windows = folds.windows(rows, ["symbol"])
+    cut = folds.cut(rows, windows, ["symbol"])
+    sums = running_gram(gram(vectors(cut, list(FEATURES), ["symbol", "piece"]), ["symbol", "piece"], 3), ["symbol"])
+    got = pick(sums, folds.places(windows, ["symbol"]), ["symbol"]).toPandas()
+    assert sorted(got["fold"].unique()) == [f for f in range(50) if m + f * step < 420]
+    x = np.column_stack([np.ones(420), *[data[f] for f in FEATURES]])
+    for (fold, slot), part in got.groupby(["fold", "slot"]):
+        upto = int(part["at"].iloc[0])
+        assert upto == m + fold * step if slot == END else upto <= m + fold * step
+        np.testing.assert_allclose(matrix(part, 3), x[:upto].T @ x[:upto], rtol=1e-9)
+
+
+def test_places_of_a_whole_window(spark):
+    from barloom.models.gram import running_gram
+    from barloom.models.windows import END, VALID, pick
+
+    for n in (7, 130, 419):
+        data = simulate(n=n)
+        whole = Whole()
+        rows = frame(spark, data)
+        windows = whole.windows(rows, ["symbol"])
+        cut = whole.cut(rows, windows, ["symbol"])
+        sums = running_gram(gram(vectors(cut, list(FEATURES), ["symbol", "piece"]), ["symbol", "piece"], 3), ["symbol"])
+        got = pick(sums, whole.places(windows, ["symbol"]), ["symbol"]).toPandas()
+        x = np.column_stack([np.ones(n), *[data[f] for f in FEATURES]])
+        at = {slot: int(part["at"].iloc[0]) for slot, part in got.groupby("slot")}
+        for slot, part in got.groupby("slot"):
+            np.testing.assert_allclose(matrix(part, 3), x[: at[slot]].T @ x[: at[slot]], rtol=1e-9)
+        assert at[END] == n and 0 < at[VALID] < n and len(at) == 2 + min(25, int(min(n, 125) * 0.8))

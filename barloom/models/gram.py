@@ -63,7 +63,7 @@ def gram(rows: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             for key, total in sums.items():
-                columns = [pa.array([part] * len(cells), type=t) for part, t in zip(key, types)]
+                columns = [pa.repeat(pa.scalar(part, type=t), len(cells)) for part, t in zip(key, types)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(cells), pa.array(total[upper])], names=[*keys, "cell", "value"])
             sums.clear()
 

@@ -1,7 +1,8 @@
 """Forward fill, backward fill and positional interpolation of long series.
 
 Each block fills itself with a window. What lies outside the block comes from a table with one row per block: the
-last and first known value of each column, carried over the blocks of the series and joined back.
+last and first known value of each column, carried over the blocks of the series and joined back. For bars that table is
+bounded by the calendar, like the table of chunk sizes.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from barloom.models import additive, linear
 from barloom.models.design import Design
 from barloom.models.selection import chosen_anywhere, select_features, window_scores
-from barloom.models.windows import END, VALID, Folds
+from barloom.models.windows import Folds
 from barloom.operators.blocks import POS
 from barloom.operators.metrics import evaluate
 from barloom.session import written
@@ -61,7 +61,7 @@ def backtest(
         fitted = additive.additive_fit(rows, chosen, windows, folds, selected)
         forecasts.append(additive.additive_forecast(fitted, tests, chosen, selected=True).drop("ts"))
     if "sequence" in models:
-        sums, _, size = linear.lagged_sums(rows, chosen, windows, sequence_steps, folds, wanted=(END, VALID))
+        sums, size = linear.sequence_sums(rows, chosen, windows, sequence_steps, folds)
         state = linear.window_scalers(rows, chosen, windows, folds).join(selected, keys, "left")
         fitted = linear.sequence_fit(sums, state, chosen, size, sequence_steps)
         sequences = folds.tests(linear.feature_sequences(rows, chosen, sequence_steps, by=by), windows, by)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from barloom.config import Horizon
 from barloom.models import additive, linear
 from barloom.models.design import Design
 from barloom.models.future import future_frame, future_regressors
-from barloom.models.windows import END, VALID, Whole
+from barloom.models.windows import Whole
 from barloom.operators.blocks import POS
 from barloom.session import written
 
@@ -40,23 +38,22 @@ class Forecaster:
         last = self.windows.select("train_rows").scalar()
         return rows.withColumn("fold", F.lit(0)).withColumn(POS, last + F.col("k"))
 
-    def _sums(self, lags: int, wanted: Sequence[int] = (END,)):
-        cutter = FIFTHS if VALID in wanted else Whole(1)
-        return linear.lagged_sums(self.rows, self.design, self.windows, lags, cutter, wanted)
+    def _sums(self):
+        return linear.lagged_sums(self.rows, self.design, self.windows, linear.ARMA_LAGS, Whole(1))
 
     def arimax_models(self) -> DataFrame:
-        sums, ends, size = self._sums(linear.ARMA_LAGS)
+        sums, ends, size = self._sums()
         return linear.arimax_fit(sums, ends, self.design, size)
 
     def arimax(self) -> DataFrame:
         return linear.arimax_forecast(self.arimax_models(), self.future(), self.design)
 
     def var_models(self) -> DataFrame:
-        sums, ends, size = self._sums(linear.ARMA_LAGS)
+        sums, ends, size = self._sums()
         return linear.var_fit(sums, ends, self.design, size, limit=self.horizon.var_columns)
 
     def var(self) -> DataFrame:
-        sums, ends, size = self._sums(linear.ARMA_LAGS)
+        sums, ends, size = self._sums()
         path = linear.var_forecast(sums, ends, self.design, size, limit=self.horizon.var_columns, steps=self.horizon.steps)
         last = ends.select(*self.by, "fold", F.col("ts").alias("_last"))
         seconds = (F.col("k") * self.horizon.step_seconds).cast("int")
@@ -69,7 +66,7 @@ class Forecaster:
         return additive.additive_forecast(self.additive_models(), self.future(), self.design)
 
     def sequence_models(self, steps: int) -> DataFrame:
-        sums, _, size = self._sums(steps, (END, VALID))
+        sums, size = linear.sequence_sums(self.rows, self.design, self.windows, steps, FIFTHS)
         state = linear.window_scalers(self.rows, self.design, self.windows, Whole(1))
         return linear.sequence_fit(sums, state, self.design, size, steps)
 

@@ -28,14 +28,14 @@ def window_ends(rows: DataFrame, windows: DataFrame, by: Sequence[str]) -> DataF
 
 
 def lagged_sums(
-    rows: DataFrame, design: Design, windows: DataFrame, lags: int, cutter: Cutter, wanted: Sequence[int] = (END,)
+    rows: DataFrame, design: Design, windows: DataFrame, lags: int, cutter: Cutter
 ) -> tuple[DataFrame, DataFrame, int]:
-    """Sums of products of lagged rows at the wanted places of each window, the windows' last rows, and the size."""
+    """Sums of products of lagged rows over each window, the windows' last rows, and the size."""
     by = list(design.by)
     size = 1 + (lags + 1) * len(design.columns)
     lagged = lag_vectors(rows, design.columns, lags, by=by, step_seconds=design.step_seconds)
     sums = gram(cutter.cut(lagged, windows, by).select(*by, "piece", "v"), [*by, "piece"], size)
-    places = cutter.places(windows, by).filter(F.col("slot").isin(list(wanted)))
+    places = cutter.places(windows, by).filter(F.col("slot") == END)
     return pick(running_gram(sums, by), places, by), window_ends(lagged, windows, by), size
 
 
@@ -218,6 +218,29 @@ def var_forecast(sums: DataFrame, ends: DataFrame, design: Design, size: int, *,
 # --- regression on sequences ----------------------------------------------------------------------------------------
 
 
+class SequenceLayout(Layout):
+    """Where a column sits in the vector [1, features `lags` back, ..., features of the row before, targets]."""
+
+    def at(self, column: str, lag: int) -> int:
+        features, targets = self.design.features, self.design.targets
+        if lag == 0:
+            return 1 + self.lags * len(features) + targets.index(column)
+        return 1 + (self.lags - lag) * len(features) + features.index(column)
+
+
+def sequence_sums(
+    rows: DataFrame, design: Design, windows: DataFrame, steps: int, cutter: Cutter
+) -> tuple[DataFrame, int]:
+    """Sums of products of targets and feature sequences at the end and the validation start of each window."""
+    by, targets = list(design.by), list(design.targets)
+    sequences = feature_sequences(rows, design, steps, by=by, keep=targets)
+    vector = F.concat(F.array(F.lit(1.0)), F.col("v"), F.array(*[F.col(t).cast("double") for t in targets]))
+    size = 1 + steps * len(design.features) + len(targets)
+    sums = gram(cutter.cut(sequences.withColumn("v", vector), windows, by).select(*by, "piece", "v"), [*by, "piece"], size)
+    places = cutter.places(windows, by).filter(F.col("slot").isin(END, VALID))
+    return pick(running_gram(sums, by), places, by), size
+
+
 def sequence_regression(
     end_sums: np.ndarray, valid_from: np.ndarray, layout: Layout, targets: Sequence[str], features: list[str],
     low: np.ndarray, span: np.ndarray,
@@ -275,7 +298,7 @@ def sequence_fit(sums: DataFrame, state: DataFrame, design: Design, size: int, s
     `sums` holds the places END and VALID; `state` has one row per window with `low`, `high` and maybe `selected`.
     """
     keys = [*design.by, "fold"]
-    layout = Layout(design, steps)
+    layout = SequenceLayout(design, steps)
     schema = T.StructType(
         _key_fields(state, keys)
         + [T.StructField("target", T.StringType()), T.StructField("intercept", T.DoubleType()),

@@ -141,10 +141,10 @@ def _training(t: Tables) -> tuple[DataFrame, object]:
 
 
 def _backtest(t: Tables) -> bt.Result:
-    """The target asset against the features of all assets; the hourly sequence length is shortened to a few rows."""
+    """The target asset against the features of all assets."""
     rows, design = _training(t)
     folds = Folds(SHORT.fold_min_train, SHORT.fold_test, SHORT.fold_step)
-    return bt.backtest(rows, design, folds, top_k=SHORT.top_features, var_limit=SHORT.var_columns, sequence_steps=5)
+    return bt.backtest(rows, design, folds, top_k=SHORT.top_features, var_limit=SHORT.var_columns, sequence_steps=SEQUENCE_STEPS)
 
 
 @query("backtest")
@@ -163,5 +163,5 @@ def backtest_series(t: Tables) -> DataFrame:
     rows, design = series_table(t.daily(), SERIES_FEATURES, step_seconds=DAY)
     rows = rows.withColumn("_pos", F.col("_pos") - 33)
     folds = Folds(LONG.fold_min_train, LONG.fold_test, LONG.fold_step)
-    result = bt.backtest(rows, design, folds, top_k=5, var_limit=LONG.var_columns, sequence_steps=5)
+    result = bt.backtest(rows, design, folds, top_k=LONG.top_features, var_limit=LONG.var_columns, sequence_steps=LONG.sequence_steps)
     return result.metrics(["symbol"], step_seconds=DAY)

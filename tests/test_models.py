@@ -174,7 +174,7 @@ def test_sequence_regression_equals_ridge_on_sequences(spark):
     rows = frame(spark, data)
     cutter = Whole(5)
     windows = cutter.windows(rows, ["symbol"])
-    sums, _, size = linear.lagged_sums(rows, DESIGN, windows, steps, cutter, (linear.END, linear.VALID))
+    sums, size = linear.sequence_sums(rows, DESIGN, windows, steps, cutter)
     state = linear.window_scalers(rows, DESIGN, windows, cutter)
     models = linear.sequence_fit(sums, state, DESIGN, size, steps)
     sequences = linear.feature_sequences(rows, DESIGN, steps, by=["symbol"]).withColumn("fold", F.lit(0)).withColumn("k", F.col("_pos"))

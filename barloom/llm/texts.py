@@ -60,11 +60,11 @@ def constants(n: int, seed: int) -> np.ndarray:
         return mix((np.arange(1, n + 1, dtype=U64) + U64(seed * 1_000_003)) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
 
-_BASE = 0xD6E8FEB86659FD93
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Odd bases of the two independent hashes.
+BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=8)
 def _powers(n: int, base: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         return np.cumprod(np.concatenate([np.ones(1, U64), np.full(n - 1, base, U64)]), dtype=U64)
@@ -75,9 +75,9 @@ def _grown(n: int) -> int:
 
 
 @lru_cache(maxsize=8)
-def byte_values(lower: bool) -> np.ndarray:
+def byte_values(lower: bool, which: int) -> np.ndarray:
     """A random 64-bit value for each byte; A-Z get those of a-z if `lower`."""
-    values = constants(256, 77)
+    values = constants(256, 77 + which)
     if lower:
         values[65:91] = values[97:123]
     return values
@@ -125,13 +125,16 @@ def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray) -> Words:
 
 
 class Rolling:
-    """Hashes of any parts of a byte array from one table of prefix sums; equal bytes have equal hashes in every process."""
+    """Hashes of any parts of a byte array from one table of prefix sums; equal bytes have equal hashes in every process.
+
+    `which` selects one of two independent hash functions; both together are 128 bits.
+    """
 
-    def __init__(self, data: np.ndarray, lower: bool) -> None:
-        n = len(data)
+    def __init__(self, data: np.ndarray, lower: bool, which: int = 0) -> None:
+        n, base = len(data), BASES[which]
         with np.errstate(over="ignore"):
-            self.sums = np.concatenate([np.zeros(1, U64), np.cumsum(byte_values(lower)[data] * _powers(_grown(n), _BASE)[:n], dtype=U64)])
-        self.back = _powers(_grown(n), _INVERSE)
+            self.sums = np.concatenate([np.zeros(1, U64), np.cumsum(byte_values(lower, which)[data] * _powers(_grown(n), base)[:n], dtype=U64)])
+        self.back = _powers(_grown(n), pow(base, -1, 1 << 64))
 
     def parts(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):

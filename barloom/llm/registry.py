@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ["neardup", "linededup", "quality", "language"]
+MODULES = ["toxicity", "neardup", "linededup", "quality", "language"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

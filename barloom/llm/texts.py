@@ -30,12 +30,13 @@ class Chunk:
         return self.rows.column(self.rows.schema.get_field_index(name))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """Cut batches into chunks of about `limit` bytes of text; a longer text is a chunk of its own."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES, lower: bool = False) -> Iterator[Chunk]:
+    """Cut batches into chunks of about `limit` bytes of text (in lower case if `lower`); a longer text is a chunk of its own."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
         column = pc.fill_null(batch.column(batch.schema.get_field_index(text)), "").cast(pa.large_string())
+        column = pc.utf8_lower(column) if lower else column
         buffers = column.buffers()
         at = np.frombuffer(buffers[1], np.int64)[column.offset : column.offset + len(column) + 1]
         data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.empty(0, np.uint8)

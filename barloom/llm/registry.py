@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ["toxicity", "pieces", "neardup", "decontaminate", "linededup", "chat", "quality", "language"]
+MODULES = ["toxicity", "pieces", "archives", "neardup", "decontaminate", "linededup", "chat", "quality", "language"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from barloom.session import work_path
 
@@ -15,6 +15,11 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, label)
     df.write.parquet(path)
+    passing(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def passing(spark: SparkSession, path: str) -> None:
+    """Have a path deleted when the driver's JVM ends."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)

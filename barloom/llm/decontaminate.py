@@ -76,7 +76,8 @@ def leaks(
     found = hits.select("id", "row").distinct().withColumnRenamed("id", "hid").withColumnRenamed("row", "hrow")
     texts = own.join(found, (F.col("row") == F.col("hrow")) & F.col("id").eqNullSafe(F.col("hid")), "left_semi")
     texts = texts.dropDuplicates(["id", "row"]).select(F.col("id").alias("tid"), F.col("row").alias("trow"), word_hashes(F.col("text")).alias("h"))
-    laid = hits.join(items.withColumn("item_row", F.xxhash64("ih")), ["item", "item_row"])
+    known = items.select(F.col("item").alias("_item"), F.xxhash64("ih").alias("_item_row"), "ih")
+    laid = hits.join(known, (F.col("item_row") == F.col("_item_row")) & F.col("item").eqNullSafe(F.col("_item")))
     laid = laid.join(texts, (F.col("row") == F.col("trow")) & F.col("id").eqNullSafe(F.col("tid")))
     same = F.transform("ih", lambda x, k: F.coalesce(F.get(F.col("h"), F.col("start") + k) == x, F.lit(False)).cast("int"))
     laid = laid.select("id", "row", "item", "start", same.alias("same"))

@@ -73,9 +73,8 @@ def vectors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     classes = _classes(data)
     each = []
     for a, b in zip(points[:-1], points[1:]):
-        c = classes[a:b]
-        c = c[np.append(True, (c[1:] != 0) | (c[:-1] != 0))[: len(c)]]  # one gap, however wide
-        c = np.concatenate([[0], c, [0]]).astype(np.int64)
+        c = np.concatenate([[0], classes[a:b], [0]]).astype(np.int64)
+        c = c[np.append(True, (c[1:] != 0) | (c[:-1] != 0))]  # one gap, however wide
         codes = sum(c[k : len(c) - GRAM + 1 + k] * LETTERS ** (GRAM - 1 - k) for k in range(GRAM))
         each.append(np.unique(codes[codes > 0], return_counts=True) if c.any() else (np.empty(0, np.int64), np.empty(0, np.int64)))
     all_codes = np.unique(np.concatenate([e[0] for e in each]))

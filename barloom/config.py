@@ -8,6 +8,26 @@ HOUR = 3600
 DAY = 24 * HOUR
 
 
+@dataclass(frozen=True)
+class Cells:
+    """A limit as a number of cells of a row."""
+
+    number: int
+
+    def of(self, cells: int) -> float:
+        return self.number
+
+
+@dataclass(frozen=True)
+class Share:
+    """A limit as a share of the cells of a row; 1.0 allows all."""
+
+    share: float
+
+    def of(self, cells: int) -> float:
+        return self.share * cells
+
+
 @dataclass(frozen=True)
 class Horizon:
     """Everything that differs between the hourly and the daily horizon."""
@@ -18,9 +38,9 @@ class Horizon:
     steps: int  # forecast steps
     train_span_days: int
     predict_span_days: int
-    max_missing_train: int  # cells per timestamp
-    max_missing_predict: float  # share per timestamp if < 1, else cells
-    max_missing_etl: float  # share per timestamp
+    max_missing_train: Cells  # per timestamp
+    max_missing_predict: Cells | Share  # per timestamp
+    max_missing_etl: Share  # per timestamp
     top_features: int
     sequence_steps: int
     var_columns: int
@@ -39,7 +59,7 @@ class Horizon:
 SHORT = Horizon(
     name="short", unit="HOUR", step_seconds=HOUR, steps=168,
     train_span_days=730, predict_span_days=30,
-    max_missing_train=100, max_missing_predict=0.60, max_missing_etl=0.20,
+    max_missing_train=Cells(100), max_missing_predict=Share(0.60), max_missing_etl=Share(0.20),
     top_features=20, sequence_steps=20, var_columns=20,
     fold_min_train=300, fold_test=60, fold_step=60,
     reversion=0.05, rsi_band=(30.0, 70.0), recent_rows=24, min_history=24,
@@ -48,7 +68,7 @@ SHORT = Horizon(
 LONG = Horizon(
     name="long", unit="DAY", step_seconds=DAY, steps=180,
     train_span_days=5 * 365, predict_span_days=2 * 365,
-    max_missing_train=70, max_missing_predict=20, max_missing_etl=0.20,
+    max_missing_train=Cells(70), max_missing_predict=Cells(20), max_missing_etl=Share(0.20),
     top_features=40, sequence_steps=30, var_columns=20,
     fold_min_train=730, fold_test=90, fold_step=90,
     reversion=0.1, rsi_band=(20.0, 80.0), recent_rows=30, min_history=10,

@@ -134,13 +134,18 @@ def trend_label(change_percent: Column, limit: float) -> Column:
     )
 
 
+def utc_time(text: Column) -> Column:
+    """A date or time in UTC, zone-free: an offset in the text is applied, a text without one is taken as UTC."""
+    return F.when(text.try_cast("timestamp_ntz").isNotNull(), text.try_cast("timestamp").cast("timestamp_ntz"))
+
+
 def parse_time_smart(df: DataFrame, text: str, name: str) -> DataFrame:
     """Parse times; if not one value parses, read numbers as epoch milliseconds (median above 1e11) or seconds.
 
     The median test needs no sort: it follows from the counts on both sides of 1e11 and the two values next to it.
     """
     limit = 1e11
-    parsed = F.col(text).try_cast("timestamp_ntz")
+    parsed = utc_time(F.col(text))
     number = F.col(text).try_cast("double")
     above, below = number > limit, number <= limit
     facts = df.agg(

@@ -50,11 +50,11 @@ def run_backtest(bars: DataFrame, symbols: list[str], target: str, horizon: Hori
 
 
 def run_forecast(bars: DataFrame, symbols: list[str], target: str, horizon: Horizon, out: str, features: list[str]) -> None:
-    """Forecasts of all models: one folder per model with close, high and low."""
+    """Forecasts of all models: one folder per model with close, high and low. With no features named, all are used."""
     step = horizon.step_seconds
     panel = fill_then_features(bars, symbols, max_missing=horizon.max_missing_predict, step_seconds=step)
     rows, design = training_table(panel, target, step_seconds=step)
-    chosen = design.with_features([f for f in design.features if f in features] or design.features[: horizon.top_features])
+    chosen = design.with_features([f for f in design.features if f in features] or design.features)
     models = Forecaster(rows.select("ts", "_pos", *chosen.columns), chosen, horizon)
     stacked = models.arimax()
     for forecast in (models.var(), models.additive(), models.sequence(horizon.sequence_steps)):
@@ -93,7 +93,7 @@ def main() -> None:
     elif args.step == "backtest":
         run_backtest(bars, symbols, args.target, horizon, args.out)
     else:
-        run_forecast(bars, symbols, args.target, horizon, args.out, args.features.split(","))
+        run_forecast(bars, symbols, args.target, horizon, args.out, [f for f in args.features.split(",") if f])
 
 
 if __name__ == "__main__":

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.config import Cells, Share
 from barloom.functions.columns import cells_where
 from barloom.functions.scalar import with_calendar
 from barloom.operators.align import wide_panel
@@ -40,7 +41,7 @@ class Design:
 
 
 def features_then_fill(
-    bars: DataFrame, symbols: Sequence[str], *, max_missing: float, step_seconds: int, past_only: bool = False,
+    bars: DataFrame, symbols: Sequence[str], *, max_missing: Cells | Share, step_seconds: int, past_only: bool = False,
     names: Sequence[str] = (*OHLCV, *INDICATORS),
 ) -> DataFrame:
     """Training order: indicators per symbol, merged on time, sparse times dropped, gaps filled.
@@ -55,7 +56,7 @@ def features_then_fill(
 
 
 def fill_then_features(
-    bars: DataFrame, symbols: Sequence[str], *, max_missing: float, step_seconds: int,
+    bars: DataFrame, symbols: Sequence[str], *, max_missing: Cells | Share, step_seconds: int,
     names: Sequence[str] = (*OHLCV, *INDICATORS),
 ) -> DataFrame:
     """Prediction order: bars merged on time, sparse times dropped, gaps filled, then indicators per symbol."""
@@ -99,7 +100,10 @@ def training_table(panel: DataFrame, target: str, *, step_seconds: int) -> tuple
 
 
 def series_table(bars: DataFrame, features: Sequence[str], *, step_seconds: int, warm_up: int = 33) -> tuple[DataFrame, Design]:
-    """Many series at once: each symbol's own targets and indicators, without the rows before all are there."""
+    """Many series at once: each symbol's own targets and indicators, without the rows before all are there.
+
+    Rows are numbered from 1 again, since windows of training rows are cut by position.
+    """
     numbered = number_rows(bars, by=["symbol"], step_seconds=step_seconds)
     rows = indicator_set(numbered, step_seconds=step_seconds)
     close = F.col("close")
@@ -107,4 +111,5 @@ def series_table(bars: DataFrame, features: Sequence[str], *, step_seconds: int,
         {"high_spread": F.greatest(F.col("high") - close, F.lit(0.0)), "low_spread": F.greatest(close - F.col("low"), F.lit(0.0))}
     ).filter(F.col(POS) > warm_up)
     cells = [F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(c) for c in [*TARGETS, *features]]
+    rows = rows.withColumn(POS, F.col(POS) - warm_up)
     return rows.select("symbol", "ts", POS, *cells), Design(tuple(TARGETS), tuple(features), step_seconds, ("symbol",))

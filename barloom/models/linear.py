@@ -17,6 +17,7 @@ from barloom.models.windows import END, VALID, Cutter, pick
 from barloom.operators.blocks import POS
 
 LONG_AR = 5  # order of the autoregression that stands in for the unseen errors
+PHI_BOUND = 0.999  # largest size of the first error coefficient
 ARMA_LAGS = LONG_AR + 1
 VAR_MAX_LAGS = 5
 RIDGES = [1e-8, 1e-6, 1e-4, 1e-3, 1e-2, 1e-1, 1.0]
@@ -71,6 +72,8 @@ def _features_of(end: pd.DataFrame, design: Design) -> list[str]:
 def arma_regression(g: np.ndarray, last: np.ndarray, layout: Layout, target: str, features: list[str]) -> dict:
     """Three regressions in a row on one table of sums: y on x, residuals on their lags, residuals on (u, e) before.
 
+    Errors must die out: a phi beyond PHI_BOUND is set to the bound and theta fitted again beside it.
+
     The residual of a row is linear in the row's lag vector, and so is the error estimate; every sum the second and
     third regression need is therefore a quadratic form of the first one's table.
     """
@@ -86,12 +89,14 @@ def arma_regression(g: np.ndarray, last: np.ndarray, layout: Layout, target: str
     error = [u[k] - ar @ u[k + 1 : k + 1 + LONG_AR] for k in (0, 1)]
     pair = np.stack([u[1], error[1]])
     phi, theta = solve(pair @ g @ pair.T, pair @ g @ u[0])
-    phi = float(np.clip(phi, -0.999, 0.999))
+    if abs(phi) > PHI_BOUND:
+        phi = np.clip(phi, -PHI_BOUND, PHI_BOUND)
+        (theta,) = solve(pair[1:] @ g @ pair[1:].T, pair[1:] @ g @ (u[0] - phi * pair[0]))
     full = np.zeros(len(layout.design.features))
     for f, value in zip(features, b):
         full[layout.design.features.index(f)] = value
     return {
-        "target": target, "coef": full.tolist(), "phi": phi, "theta": float(theta),
+        "target": target, "coef": full.tolist(), "phi": float(phi), "theta": float(theta),
         "u_last": float(u[0] @ last), "e_last": float(error[0] @ last), "n": int(round(g[0, 0])),
     }
 

@@ -8,14 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.config import PRICE_CEILING
+from barloom.config import PRICE_CEILING, Cells, Share
 from barloom.functions.scalar import finite, missing_cells
 
 PRICES = ["open", "high", "low", "close"]
 
 
 def until(df: DataFrame, end: Column, ts: str = "ts") -> DataFrame:
-    """Rows up to and including an end time; a bare comparison, so it reaches the scan."""
+    """Rows up to and including an end time; reaches the scan of stored bars, but not that of ticks below bars."""
     return df.filter(F.col(ts) <= end)
 
 
@@ -23,10 +23,9 @@ def inf_to_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns({c: finite(F.col(f"`{c}`")) for c in cols})
 
 
-def filter_missing(panel: DataFrame, cols: list[str], limit: float) -> DataFrame:
-    """Drop panel rows with too many missing cells: `limit` is a share below 1, else a number of cells."""
-    bound = limit * len(cols) if limit < 1 else limit
-    return panel.filter(missing_cells(cols) <= bound)
+def filter_missing(panel: DataFrame, cols: list[str], limit: Cells | Share) -> DataFrame:
+    """Drop panel rows with more missing cells than the limit."""
+    return panel.filter(missing_cells(cols) <= limit.of(len(cols)))
 
 
 def timeline_missing(bars: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -41,11 +40,11 @@ def timeline_missing(bars: DataFrame, features: Sequence[str]) -> DataFrame:
     )
 
 
-def filter_missing_long(bars: DataFrame, features: Sequence[str], limit: float) -> DataFrame:
+def filter_missing_long(bars: DataFrame, features: Sequence[str], limit: Cells | Share) -> DataFrame:
     """Long-table version of `filter_missing`."""
     gaps = timeline_missing(bars, features)
-    share = F.col("missing") / F.col("cells") if limit < 1 else F.col("missing")
-    return bars.join(gaps.filter(share <= limit).select("ts"), "ts", "left_semi")
+    few = F.col("missing") / F.col("cells") <= limit.share if isinstance(limit, Share) else F.col("missing") <= limit.number
+    return bars.join(gaps.filter(few).select("ts"), "ts", "left_semi")
 
 
 def filter_or_all(df: DataFrame, keep: Column) -> DataFrame:

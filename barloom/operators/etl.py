@@ -52,8 +52,8 @@ def etl_record(bars: DataFrame, horizon: Horizon, *, end: Column | None = None)
     """The row counts of the panel step, as one row."""
     gaps = timeline_missing(bars, CELLS)
     in_range = F.lit(True) if end is None else F.col("ts") <= end
-    complete = F.col("missing") / F.col("cells") <= horizon.max_missing_etl
-    return quality.etl_quality(gaps, in_range=in_range, complete=complete, threshold=horizon.max_missing_etl)
+    complete = F.col("missing") / F.col("cells") <= horizon.max_missing_etl.share
+    return quality.etl_quality(gaps, in_range=in_range, complete=complete, threshold=horizon.max_missing_etl.share)
 
 
 def feature_table(bars: DataFrame, *, step_seconds: int, n: int = 20) -> DataFrame:

@@ -37,6 +37,8 @@ def candle_table(forecast: DataFrame, *, by: Sequence[str] = ("model",), long: b
     rows = forecast.select(*by, "ts", "close", "high", "low")
     rows = number_rows(rows, by=by, step_seconds=step_seconds)
     rows = opened(rows).dropna(subset=["ts", "open", "high", "low", "close"]).drop("open")
+    if not long:
+        rows = number_rows(rows.drop(POS), by=by, step_seconds=step_seconds)
     if long:
         cells = ["close", "high", "low"]
         rows = calendar_reindex(rows, cells, by=by, step_seconds=step_seconds)

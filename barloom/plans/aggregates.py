@@ -40,8 +40,8 @@ def _etl(t: Tables) -> DataFrame:
     gaps = clean.timeline_missing(t.thin(), CELLS)
     end = F.lit("2024-01-25").cast("timestamp_ntz")
     return quality.etl_quality(
-        gaps, in_range=F.col("ts") <= end, complete=F.col("missing") / F.col("cells") <= SHORT.max_missing_etl,
-        threshold=SHORT.max_missing_etl,
+        gaps, in_range=F.col("ts") <= end, complete=F.col("missing") / F.col("cells") <= SHORT.max_missing_etl.share,
+        threshold=SHORT.max_missing_etl.share,
     )
 
 
@@ -192,9 +192,9 @@ def feature_scores(t: Tables) -> DataFrame:
     return _scores(t)
 
 
-@query("topk_features", f"WITH {_SCORES_SQL} SELECT pos, feature, score FROM scores ORDER BY score DESC, pos DESC LIMIT {SHORT.top_features // 2}", doubles="score")
+@query("topk_features", f"WITH {_SCORES_SQL} SELECT pos, feature, score FROM scores ORDER BY score DESC, pos DESC LIMIT {SHORT.top_features}", doubles="score")
 def topk_features(t: Tables) -> DataFrame:
-    return features.top_features(_scores(t), SHORT.top_features // 2)
+    return features.top_features(_scores(t), SHORT.top_features)
 
 
 _MINMAX = ", ".join(f"CASE WHEN x{c} = n{c} THEN {c} - n{c} ELSE ({c} - n{c}) / (x{c} - n{c}) END AS {c}" for c in CELLS)

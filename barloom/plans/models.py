@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.config import DAY, HOUR, LONG, SHORT
+from barloom.config import DAY, HOUR, LONG, SHORT, Cells, Share
 from barloom.models import backtest as bt
 from barloom.models.design import features_then_fill, fill_then_features, series_table, training_table
 from barloom.models.forecast import Forecaster
@@ -111,7 +111,7 @@ def _missing_sql(cols: list[str]) -> str:
 )
 def features_then_fill_query(t: Tables) -> DataFrame:
     """Indicators on each symbol's own bars, then one timeline without gaps."""
-    out = features_then_fill(t.hourly(), HOURLY_SYMBOLS, max_missing=9, step_seconds=HOUR, names=_KEPT)
+    out = features_then_fill(t.hourly(), HOURLY_SYMBOLS, max_missing=Cells(9), step_seconds=HOUR, names=_KEPT)
     return out.withColumnRenamed("_pos", "pos")
 
 
@@ -131,7 +131,7 @@ _CELL_COLS = [f"{s}_{f}" for s in HOURLY_SYMBOLS for f in _CELLS]
 )
 def fill_then_features_query(t: Tables) -> DataFrame:
     """One timeline without gaps, then indicators on the filled bars."""
-    out = fill_then_features(t.hourly(), HOURLY_SYMBOLS, max_missing=0.6, step_seconds=HOUR, names=_KEPT)
+    out = fill_then_features(t.hourly(), HOURLY_SYMBOLS, max_missing=Share(0.6), step_seconds=HOUR, names=_KEPT)
     return out.withColumnRenamed("_pos", "pos")
 
 
@@ -161,7 +161,6 @@ def backtest_models_summary(t: Tables) -> DataFrame:
 def backtest_series(t: Tables) -> DataFrame:
     """Daily series, each one backtested on its own indicators, all in the same jobs."""
     rows, design = series_table(t.daily(), SERIES_FEATURES, step_seconds=DAY)
-    rows = rows.withColumn("_pos", F.col("_pos") - 33)
     folds = Folds(LONG.fold_min_train, LONG.fold_test, LONG.fold_step)
     result = bt.backtest(rows, design, folds, top_k=LONG.top_features, var_limit=LONG.var_columns, sequence_steps=LONG.sequence_steps)
     return result.metrics(["symbol"], step_seconds=DAY)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.config import HOUR
+from barloom.config import HOUR, SHORT, Cells, Share
 from barloom.functions.columns import columns_with, split_xy
 from barloom.functions.scalar import missing_cells, numeric
 from barloom.operators import align, clean
@@ -44,12 +44,12 @@ _GAPS = f"""{THIN}, gaps AS (SELECT ts, sum(CAST(open IS NOT NULL AS INT) + CAST
 
 @query("filter_missing_ratio", f"WITH {_GAPS} SELECT symbol, ts, close, volume FROM thin WHERE ts IN (SELECT ts FROM gaps WHERE (cells - present) / cells <= 0.6)")
 def filter_missing_ratio(t: Tables) -> DataFrame:
-    return clean.filter_missing_long(t.thin(), CELLS, 0.6).select("symbol", "ts", "close", "volume")
+    return clean.filter_missing_long(t.thin(), CELLS, Share(0.6)).select("symbol", "ts", "close", "volume")
 
 
 @query("filter_missing_count", f"WITH {_THIN_PANEL} SELECT ts, {_LISTED} FROM panel WHERE {_MISSING} <= 10")
 def filter_missing_count(t: Tables) -> DataFrame:
-    return clean.filter_missing(t.thin_panel(PRICES), _THIN_COLS, 10)
+    return clean.filter_missing(t.thin_panel(PRICES), _THIN_COLS, Cells(10))
 
 
 @query("fallback_if_empty", f"WITH {HB} SELECT symbol, ts, close FROM hb WHERE volume < 0 OR NOT EXISTS (SELECT 1 FROM hb WHERE volume < 0)")
@@ -114,11 +114,11 @@ def split_columns(t: Tables) -> DataFrame:
     return panel.select("ts", *targets, *features)
 
 
-@query("cols_by_pattern", f"""WITH {HB}, {panel_sql('hb', 'panel', HOURLY_SYMBOLS, CELLS)} SELECT ts, click_close, error_close, purchase_close FROM panel""")
+@query("cols_by_pattern", f"""WITH {HB}, {panel_sql('hb', 'panel', HOURLY_SYMBOLS, CELLS)} SELECT ts, {", ".join(f"{s}_close" for s in HOURLY_SYMBOLS)} FROM panel""")
 def cols_by_pattern(t: Tables) -> DataFrame:
-    """The first three columns whose name holds close, sma, rsi or macd."""
+    """The columns whose name holds close, sma, rsi or macd, up to the limit of the autoregression."""
     panel = t.hourly_panel()
-    return panel.select("ts", *columns_with(panel.columns, limit=3))
+    return panel.select("ts", *columns_with(panel.columns, limit=SHORT.var_columns))
 
 
 @query("first_n_cols", f"""WITH {HB}, {panel_sql('hb', 'panel', HOURLY_SYMBOLS, CELLS)} SELECT ts, {", ".join([f"{s}_{f}" for s in HOURLY_SYMBOLS for f in CELLS][:10])} FROM panel""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.functions.columns import DATE_NAMES, VALUE_NAMES, clean_header, pick_column
-from barloom.functions.scalar import numeric, parse_time_smart
+from barloom.functions.scalar import numeric, parse_time_smart, utc_time
 
 # Fixed value: the columns of a forecast file, whose own header may be one field short.
 FORECAST_COLUMNS = ["Date", "close", "high", "low"]
@@ -31,7 +31,7 @@ def scan_csv_fixed(spark: SparkSession, path: str) -> DataFrame:
     """A forecast CSV under forced column names, whatever its header says."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in FORECAST_COLUMNS])
     raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path)
-    return raw.select(F.col("Date").try_cast("timestamp_ntz").alias("ts"), *[numeric(c).alias(c) for c in FORECAST_COLUMNS[1:]])
+    return raw.select(utc_time(F.col("Date")).alias("ts"), *[numeric(c).alias(c) for c in FORECAST_COLUMNS[1:]])
 
 
 

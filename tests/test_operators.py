@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.config import SHORT
+from barloom.config import SHORT, Cells, Share
 from barloom.functions import columns, scalar
 from barloom.models import folds
 from barloom.models.future import family, future_regressors
 from barloom.models.naive import naive_forecast
 from barloom.operators import align, clean, features, metrics, quality, toplists, views
+from barloom.session import work_folder
 from barloom.operators.quantiles import box_statistics, exact_quantiles
 from helpers import HOUR, START, column, random_bars, same, series, times, to_spark
 
@@ -48,8 +53,8 @@ def test_missing_filters_agree(spark):
     bars = to_spark(spark, pdf)
     cells = ["open", "high", "low", "close", "volume"]
     panel = align.wide_panel(bars, ["a", "b", "c"], cells)
-    wide = clean.filter_missing(panel, [c for c in panel.columns if c != "ts"], 0.4)
-    long = clean.filter_missing_long(bars, cells, 0.4)
+    wide = clean.filter_missing(panel, [c for c in panel.columns if c != "ts"], Share(0.4))
+    long = clean.filter_missing_long(bars, cells, Share(0.4))
     assert {r["ts"] for r in wide.select("ts").collect()} == {r["ts"] for r in long.select("ts").distinct().collect()}
     assert 0 < wide.count() < panel.count()
 
@@ -318,3 +323,56 @@ def test_selection_and_ranks(spark):
     tail = toplists.tail_rows(series(spark, {"a": [1.0, 2.0, 3.0], "b": [9.0]}), 2)
     assert column(tail, "close", "a") == [2.0, 3.0] and column(tail, "close", "b") == [9.0]
     assert "WindowGroupLimit" in tail._jdf.queryExecution().executedPlan().toString()
+
+
+def test_offsets_in_times_are_applied(spark):
+    texts = ["2024-01-01T00:00:00+07:00", "2024-01-01T00:00:00Z", "2024-01-01 00:00:00", "2024-01-01", "12:30", "no time", None]
+    got = [r["t"] for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i INT, x STRING").select("i", scalar.utc_time(F.col("x")).alias("t")).orderBy("i").collect()]
+    midnight = dt.datetime(2024, 1, 1)
+    assert got == [midnight - dt.timedelta(hours=7), midnight, midnight, midnight, None, None, None]
+    smart = scalar.parse_time_smart(spark.createDataFrame([(texts[0],)], "x STRING"), "x", "t").first()["t"]
+    assert smart == midnight - dt.timedelta(hours=7)
+
+
+@pytest.mark.parametrize("hole", [100, 4095, 4096, 4097])
+def test_candles_do_not_depend_on_block_edges(spark, hole):
+    rows = [("m", t, 100.0 + i % 7, None if i + 1 == hole else 110.0, 90.0) for i, t in enumerate(times(5000))]
+    frame = spark.createDataFrame(rows, "model STRING, ts TIMESTAMP_NTZ, close DOUBLE, high DOUBLE, low DOUBLE")
+    assert views.candle_table(frame, long=False, step_seconds=HOUR).count() == 4997
+
+
+def test_a_share_of_one_keeps_all_rows(spark):
+    frame = spark.createDataFrame([(None, None), (1.0, None)], "a DOUBLE, b DOUBLE")
+    assert clean.filter_missing(frame, ["a", "b"], Share(1.0)).count() == 2
+    assert clean.filter_missing(frame, ["a", "b"], Cells(1)).count() == 1
+
+
+def test_executors_import_the_package_from_anywhere(tmp_path):
+    """A Python stage in a process that starts elsewhere and knows the library only by its entry file."""
+    root = Path(__file__).resolve().parent.parent
+    code = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.warehouse.dir', {str(tmp_path)!r}).getOrCreate()
+print('ROWS', e.queries()['additive_fit'](spark, '/root/testdata/sf0.001').count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS" in done.stdout, done.stderr[-2000:]
+
+
+def test_a_local_folder_is_refused_on_a_cluster(spark):
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.sql.warehouse.dir": "file:/tmp/w"}.get(key, default)
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()  # noqa: N815
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work_folder(Session())

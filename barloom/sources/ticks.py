@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BAR_COLUMNS = ["symbol", "ts", "open", "high", "low", "close", "volume"]
 
@@ -15,6 +16,22 @@ def bucket(ts: Column, unit: str) -> Column:
     return F.date_trunc(unit, ts).cast("timestamp_ntz")
 
 
+def tick_rank(ticks: DataFrame, columns: Sequence[str]) -> Column:
+    """One value in the order of the columns.
+
+    A time and a whole number become one decimal, which has a fixed width: aggregates that hold it hash, while those that hold
+    a struct sort all ticks first. A null number comes first, a tick without a time is left out.
+    """
+    kinds = [ticks.schema[c].dataType for c in columns]
+    if len(columns) == 1:
+        return F.col(columns[0])
+    if len(columns) == 2 and isinstance(kinds[0], (T.TimestampType, T.TimestampNTZType)) and isinstance(kinds[1], (T.IntegerType, T.LongType)):
+        micros = F.unix_micros(F.col(columns[0]).cast("timestamp")).cast("decimal(20,0)")
+        number = F.coalesce(F.col(columns[1]).cast("long"), F.lit(-(2**63)).cast("long")).cast("decimal(20,0)")
+        return micros * F.lit(str(2**64)).cast("decimal(20,0)") + (number + F.lit(str(2**63)).cast("decimal(20,0)"))
+    return F.struct(*columns)
+
+
 def bars(
     ticks: DataFrame, *, symbol: str, ts: str, price: str, tick_order: Sequence[str], unit: str
 ) -> DataFrame:
@@ -23,7 +40,7 @@ def bars(
     `tick_order` names the columns that order the ticks of one symbol uniquely. All aggregates combine on the map
     side, so a symbol with a third of all ticks costs its reducer one row per map task and bar.
     """
-    order = F.col(tick_order[0]) if len(tick_order) == 1 else F.struct(*tick_order)
+    order = tick_rank(ticks, tick_order)
     return (
         ticks.groupBy(F.col(symbol).alias("symbol"), bucket(F.col(ts), unit).alias("_bar"))
         .agg(

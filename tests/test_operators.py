@@ -19,7 +19,9 @@ from barloom.models import folds
 from barloom.models.future import family, future_regressors
 from barloom.models.naive import naive_forecast
 from barloom.operators import align, clean, features, metrics, quality, toplists, views
+from barloom.plans.catalog import Tables
 from barloom.session import work_folder
+from barloom.sources.ticks import bars
 from barloom.operators.quantiles import box_statistics, exact_quantiles
 from helpers import HOUR, START, column, random_bars, same, series, times, to_spark
 
@@ -376,3 +378,13 @@ def test_a_local_folder_is_refused_on_a_cluster(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         work_folder(Session())
+
+
+def test_bars_hash_and_keep_the_order_of_ticks(spark, tables):
+    hourly = Tables(spark, tables).hourly()
+    assert "SortAggregate" not in hourly._jdf.queryExecution().executedPlan().toString()
+    at = dt.datetime(2024, 1, 1, 5)
+    ticks = [("a", at, k, float(v)) for k, v in ((9, 1), (-5, 2), (2**62, 3), (None, 4))] + [("a", at - dt.timedelta(microseconds=1), 2**63 - 1, 5.0)]
+    frame = spark.createDataFrame(ticks, "s STRING, t TIMESTAMP_NTZ, k BIGINT, p DOUBLE")
+    got = {r["ts"].hour: (r["open"], r["close"]) for r in bars(frame, symbol="s", ts="t", price="p", tick_order=["t", "k"], unit="HOUR").collect()}
+    assert got == {4: (5.0, 5.0), 5: (4.0, 3.0)}

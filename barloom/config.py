@@ -52,6 +52,7 @@ class Horizon:
     recent_rows: int  # rows of the recent mean
     min_history: int  # a projection needs more rows than this
     trend_percent: float
+    trend_from_current: bool  # from the last actual value, not from the first forecast
     fresh_seconds: int
 
 
@@ -63,7 +64,7 @@ SHORT = Horizon(
     top_features=20, sequence_steps=20, var_columns=20,
     fold_min_train=300, fold_test=60, fold_step=60,
     reversion=0.05, rsi_band=(30.0, 70.0), recent_rows=24, min_history=24,
-    trend_percent=2.0, fresh_seconds=6 * HOUR,
+    trend_percent=2.0, trend_from_current=False, fresh_seconds=6 * HOUR,
 )
 LONG = Horizon(
     name="long", unit="DAY", step_seconds=DAY, steps=180,
@@ -72,7 +73,7 @@ LONG = Horizon(
     top_features=40, sequence_steps=30, var_columns=20,
     fold_min_train=730, fold_test=90, fold_step=90,
     reversion=0.1, rsi_band=(20.0, 80.0), recent_rows=30, min_history=10,
-    trend_percent=5.0, fresh_seconds=3 * DAY,
+    trend_percent=5.0, trend_from_current=True, fresh_seconds=3 * DAY,
 )
 
 # Fixed values of the quality checks.

@@ -65,7 +65,9 @@ def run_forecast(bars: DataFrame, symbols: list[str], target: str, horizon: Hori
     sinks.sink_csv(wide, f"{out}/forecasts", partition_by=["model"])
     by_step = stored.withColumnRenamed("k", "step")
     ends = [24, 48, 72, 168] if horizon is SHORT else [30, 90, 180]
-    sinks.sink_csv(views.horizon_table(by_step, ends, horizon.trend_percent), f"{out}/horizons")
+    last = F.array(*[F.struct(F.lit(t).alias("target"), F.max_by(t, "ts").alias("current")) for t in design.targets])
+    current = rows.agg(last.alias("last")).select(F.inline("last")) if horizon.trend_from_current else None
+    sinks.sink_csv(views.horizon_table(by_step, ends, horizon.trend_percent, current=current), f"{out}/horizons")
     sinks.sink_csv(views.consensus(by_step, ends[0], ends[-1]), f"{out}/consensus")
 
 

@@ -127,10 +127,18 @@ def current_vs_forecast(current: DataFrame, forecast: DataFrame, keys: Sequence[
     return last.join(current, list(keys)).withColumn("change_percent", F.try_divide(gap, F.col("current")) * 100)
 
 
-def horizon_table(forecast: DataFrame, steps: Sequence[int], limit: float, keys: Sequence[str] = ("model", "target")) -> DataFrame:
-    """Forecasts at fixed steps and the trend between the first and last one that exists."""
+def horizon_table(
+    forecast: DataFrame, steps: Sequence[int], limit: float, keys: Sequence[str] = ("model", "target"), current: DataFrame | None = None
+) -> DataFrame:
+    """Forecasts at fixed steps and the trend between the first and last one that exists.
+
+    With `current` (target, current) the trend goes from the last actual value to the last forecast instead.
+    """
     cells = [F.max(F.when(F.col("step") == s, F.col("yhat"))).alias(f"h{s}") for s in steps]
     wide = forecast.filter(F.col("step").isin(list(steps))).groupBy(*keys).agg(*cells)
+    if current is not None:
+        change = current_vs_forecast(current, forecast.select(*keys, "step", "yhat")).select(*keys, "change_percent")
+        return wide.join(change, list(keys), "left").withColumn("trend", trend_label(F.col("change_percent"), limit))
     names = [f"h{s}" for s in steps]
     first, last = F.coalesce(*names), F.coalesce(*reversed(names))
     known = sum((F.col(n).isNotNull().cast("int") for n in names), F.lit(0))

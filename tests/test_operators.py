@@ -13,7 +13,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.config import SHORT, Cells, Share
+from barloom.config import LONG, SHORT, Cells, Share
 from barloom.functions import columns, scalar
 from barloom.models import folds
 from barloom.models.future import family, future_regressors
@@ -388,3 +388,12 @@ def test_bars_hash_and_keep_the_order_of_ticks(spark, tables):
     frame = spark.createDataFrame(ticks, "s STRING, t TIMESTAMP_NTZ, k BIGINT, p DOUBLE")
     got = {r["ts"].hour: (r["open"], r["close"]) for r in bars(frame, symbol="s", ts="t", price="p", tick_order=["t", "k"], unit="HOUR").collect()}
     assert got == {4: (5.0, 5.0), 5: (4.0, 3.0)}
+
+
+def test_trend_from_the_current_value(spark):
+    frame = spark.createDataFrame([("m", "close", s, 100.0 + s) for s in (1, 30, 90)] + [("m", "low_spread", 1, 5.0)], "model STRING, target STRING, step LONG, yhat DOUBLE")
+    current = spark.createDataFrame([("close", 200.0), ("low_spread", 5.0)], "target STRING, current DOUBLE")
+    got = {r["target"]: r for r in views.horizon_table(frame, [1, 30, 90], 5.0, current=current).collect()}
+    assert got["close"]["change_percent"] == pytest.approx(-5.0) and got["close"]["trend"] == "NEUTRAL" and got["close"]["h90"] == 190.0
+    assert got["low_spread"]["trend"] == "NEUTRAL"
+    assert LONG.trend_from_current and not SHORT.trend_from_current

@@ -5,8 +5,8 @@ equal sets are one class and go on as its smallest id. A class's signature has S
 its random permutation's ranks plus random fractions, so the slots are negatively correlated and estimate similarity better
 than independent permutations. Ranks are handed out level by level and stop once every slot of the document is filled.
 
-Classes that share a band are compared with the smallest class of the bucket on full sets. Where a bucket still holds several
-components, further rounds test against other members, and what is left is compared pair by pair across components only:
+Classes that share a band are compared with the smallest class of the bucket on full sets. Where the other members of a bucket
+still are in several components, they are compared with each other in small blocks (`within_groups`), across components only:
 members of one component need no more links. All links that can join different components are thus verified. A link at the
 threshold is missed if no band agrees, with probability (1 - 0.85^4)^25, about 1e-8 (2e-6 at 0.8).
 
@@ -31,7 +31,8 @@ from barloom.llm.scratch import kept
 WIDTH = 5
 SLOTS = 100
 ROWS = 4
-ROUNDS = 3
+BLOCK = 256  # documents of a block at most
+BLOCK_HASHES = 1 << 19  # hashes of a block, about
 PERCENT = 85
 U64 = np.uint64
 _NO_ID = -(2**63)
@@ -171,34 +172,110 @@ def links(sources: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     full = banded.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1").select("band")
     crowd = kept(banded.join(full, "band"), "buckets")
     sets = kept(set_table(sources, crowd.select("id").distinct()), "sets")
-    crowd = crowd.withColumn("comp", F.col("id"))
-    roots: DataFrame | None = None
-    tested: DataFrame | None = None
-    for turn in range(ROUNDS + 1):
-        rank = F.struct((F.xxhash64("id", F.lit(turn)) if turn else F.col("id")).alias("rank"), "id", "n", "comp")
-        lead = crowd.groupBy("band").agg(F.min(rank).alias("lead"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y")
-        if turn < ROUNDS:
-            members = crowd.join(lead.select("band", F.col("lead.id").alias("b"), F.col("lead.n").alias("m"), F.col("lead.comp").alias("other")), "band")
-            pairs = members.filter(F.col("comp") != F.col("other")).filter(_near_sizes("n", "m", percent))
-        else:
-            rest = crowd.join(lead.select("band"), "band")
-            right = rest.select("band", F.col("id").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"))
-            pairs = rest.join(right, "band").filter(F.col("comp") < F.col("other")).filter(_near_sizes("n", "m", percent))
-        pairs = pairs.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-        pairs = kept(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            if turn == ROUNDS:
-                break
-            continue
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        good = verified(pairs, sets, percent)
-        joined = good if roots is None else good.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = components(joined)
-        crowd = kept(
-            crowd.drop("comp").join(roots, F.col("id") == F.col("node"), "left")
-            .select("band", "id", "n", F.coalesce("root", "id").alias("comp")), "buckets",
-        )
-    return roots if roots is not None else signed.select(F.col("id").alias("node"), F.col("id").alias("root")).limit(0)
+    lead = crowd.groupBy("band").agg(F.min(F.struct("id", "n")).alias("lead")).select("band", F.col("lead.id").alias("b"), F.col("lead.n").alias("m"))
+    members = kept(crowd.join(lead, "band").filter("id <> b"), "members")
+    pairs = members.filter(_near_sizes("n", "m", percent)).select(F.col("id").alias("a"), "b").distinct()
+    good = kept(verified(pairs, sets, percent), "links")
+    first = components(good)
+    named = first.select(F.col("node").alias("id"), F.col("root").alias("comp"))
+    members = members.join(named, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    mixed = members.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("band")
+    left = members.join(mixed, "band", "left_semi")
+    more = within_groups(left, sets, percent)
+    return components(good.unionByName(more))
+
+
+def within_groups(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join different components within the buckets of `members` (band, b, id, n, comp).
+
+    Documents connected through shared buckets are a group, and a group's sizes are cut into classes, of which only equal and
+    neighbouring ones can be similar enough. Each class is dealt into blocks of a bounded number of hashes; each pair of blocks is
+    one small task that counts common hashes by matrix products and returns a spanning forest of the links it finds. No pair
+    of documents is ever a row, and no bucket is gathered anywhere.
+    """
+    nodes = members.groupBy("id").agg(F.max("n").alias("n"), F.max("comp").alias("comp"))
+    heads = members.groupBy("band").agg(F.min("id").alias("a"))
+    group = components(members.join(heads, "band").select("a", F.col("id").alias("b")).filter("a <> b").distinct())
+    nodes = nodes.join(group, F.col("id") == F.col("node"), "left").withColumn("grp", F.coalesce("root", "id")).drop("node", "root")
+    nodes = kept(nodes.withColumn("size", F.floor(F.log("n") / (F.log(F.lit(100 / percent)) + 1e-6)).cast("int")), "groups")
+    counts = nodes.groupBy("grp", "size").agg(F.count("*").alias("k"), F.max("n").alias("largest"))
+    per_block = F.greatest(F.lit(8), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_HASHES) / F.col("largest"))))
+    counts = kept(counts.select("grp", "size", F.ceil(F.col("k") / per_block).cast("int").alias("blocks")), "blocks")
+    own = nodes.join(counts, ["grp", "size"])
+    for step, name in ((1, "up"), (-1, "down")):
+        beside = counts.select("grp", (F.col("size") - step).alias("size"), F.col("blocks").alias(name))
+        own = own.join(beside, ["grp", "size"], "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    own = own.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+    at = F.col("block")
+    cell = lambda s, i, t, j, side: F.struct(s.alias("s"), i.alias("i"), t.alias("t"), j.alias("j"), F.lit(side).alias("side"))
+    size, one = F.col("size"), F.lit(1)
+    cells = F.concat(
+        F.transform(span(at, F.col("blocks") - 1), lambda j: cell(size, at, size, j, 0)),
+        F.transform(span(F.lit(0), at - 1), lambda i: cell(size, i, size, at, 1)),
+        F.transform(span(F.lit(0), F.col("up") - 1), lambda j: cell(size, at, size + one, j, 0)),
+        F.transform(span(F.lit(0), F.col("down") - 1), lambda i: cell(size - one, i, size, at, 1)),
+    )
+    dealt = own.select("grp", "id", "comp", F.inline(cells))
+    dealt = dealt.join(sets, "id").select("grp", "s", "i", "t", "j", "side", "id", "comp", "items")
+
+    def run(rows: pa.Table) -> pa.Table:
+        side = rows.column("side").to_numpy()
+        ids, comps = rows.column("id").to_numpy(), rows.column("comp").to_numpy()
+        items = [np.frombuffer(x, U64) for x in rows.column("items").to_pylist()]
+        x = np.flatnonzero(side == 0)
+        y = x if not (side == 1).any() else np.flatnonzero(side == 1)
+        a, b = forest([items[k] for k in x], [items[k] for k in y], ids[x], ids[y], comps[x], comps[y], percent)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("grp", "s", "i", "t", "j").applyInArrow(run, "a BIGINT, b BIGINT")
+
+
+def common_counts(x: list[np.ndarray], y: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets in x with all in y; only hashes that occur in both are laid out, a few at a time."""
+    xs, ys = np.concatenate(x), np.concatenate(y)
+    shared = np.intersect1d(xs, ys)
+    out = np.zeros((len(x), len(y)), np.float32)
+    xo, yo = (np.repeat(np.arange(len(z)), [len(s) for s in z]) for z in (x, y))
+    xp, yp = np.searchsorted(shared, xs), np.searchsorted(shared, ys)
+    for values, owner, place in ((xs, xo, xp), (ys, yo, yp)):
+        place[shared[np.minimum(place, max(len(shared) - 1, 0))] != values if len(shared) else slice(None)] = -1
+    for at in range(0, len(shared), width):
+        tables = []
+        for owner, place, z in ((xo, xp, x), (yo, yp, y)):
+            table_ = np.zeros((len(z), min(width, len(shared) - at)), np.float32)
+            inside = (place >= at) & (place < at + width)
+            table_[owner[inside], place[inside] - at] = 1
+            tables.append(table_)
+        out += tables[0] @ tables[1].T
+    return out
+
+
+def forest(
+    x: list[np.ndarray], y: list[np.ndarray], x_ids: np.ndarray, y_ids: np.ndarray, x_comps: np.ndarray, y_comps: np.ndarray, percent: int
+) -> tuple[list[int], list[int]]:
+    """Links between x and y that join components, each only where it joins two trees."""
+    if not x or not y:
+        return [], []
+    common = common_counts(x, y).astype(np.int64)
+    nx, ny = np.array([len(s) for s in x]), np.array([len(s) for s in y])
+    good = (100 * common >= percent * (nx[:, None] + ny[None, :] - common)) & (x_comps[:, None] != y_comps[None, :])
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.setdefault(c, c) != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    a, b = [], []
+    for i, j in zip(*(k.tolist() for k in np.nonzero(good))):
+        p, q = root(int(x_comps[i])), root(int(y_comps[j]))
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            a.append(int(x_ids[i]))
+            b.append(int(y_ids[j]))
+    return a, b
 
 
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT) -> DataFrame:

@@ -18,7 +18,7 @@ def components(pairs: DataFrame) -> DataFrame:
 
     Pairs may repeat and go either way; a pair of equal nodes or with a null says nothing.
     """
-    stars = kept(pairs.filter("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct(), "edges")
+    stars = kept(pairs.filter("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct(), "edges", 16)
     while not _done(stars):
         both = stars.unionByName(stars.select(F.col("root").alias("node"), F.col("node").alias("root")))
         least = both.groupBy("node").agg(F.min("root").alias("m")).withColumn("m", F.least("node", "m"))
@@ -26,7 +26,7 @@ def components(pairs: DataFrame) -> DataFrame:
         larger = larger.filter("node <> root").distinct()
         least = larger.groupBy("node").agg(F.min("root").alias("m"))
         rest = larger.join(least, "node").filter("root <> m").select(F.col("root").alias("node"), F.col("m").alias("root"))
-        stars = kept(rest.unionByName(least.withColumnRenamed("m", "root")).distinct(), "edges")
+        stars = kept(rest.unionByName(least.withColumnRenamed("m", "root")).distinct(), "edges", 16)
     return stars
 
 

@@ -168,12 +168,12 @@ def _near_sizes(m: str, n: str, percent: int) -> Column:
 def links(sources: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     """Columns node, root: the component of each class that has a smaller class in its component."""
     classes = signed.filter("n > 0").groupBy("n", "p1", "p2").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
-    banded = kept(classes.select("id", "n", F.explode("bands").alias("band")), "bands")
+    banded = kept(classes.select("id", "n", F.explode("bands").alias("band")), "bands", 4)
     full = banded.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1").select("band")
-    crowd = kept(banded.join(full, "band"), "buckets")
+    crowd = kept(banded.join(full, "band"), "buckets", 8)
     sets = kept(set_table(sources, crowd.select("id").distinct()), "sets")
     lead = crowd.groupBy("band").agg(F.min(F.struct("id", "n")).alias("lead")).select("band", F.col("lead.id").alias("b"), F.col("lead.n").alias("m"))
-    members = kept(crowd.join(lead, "band").filter("id <> b"), "members")
+    members = kept(crowd.join(lead, "band").filter("id <> b"), "members", 8)
     pairs = members.filter(_near_sizes("n", "m", percent)).select(F.col("id").alias("a"), "b").distinct()
     good = kept(verified(pairs, sets, percent), "links")
     first = components(good)
@@ -197,10 +197,10 @@ def within_groups(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     heads = members.groupBy("band").agg(F.min("id").alias("a"))
     group = components(members.join(heads, "band").select("a", F.col("id").alias("b")).filter("a <> b").distinct())
     nodes = nodes.join(group, F.col("id") == F.col("node"), "left").withColumn("grp", F.coalesce("root", "id")).drop("node", "root")
-    nodes = kept(nodes.withColumn("size", F.floor(F.log("n") / (F.log(F.lit(100 / percent)) + 1e-6)).cast("int")), "groups")
+    nodes = kept(nodes.withColumn("size", F.floor(F.log("n") / (F.log(F.lit(100 / percent)) + 1e-6)).cast("int")), "groups", 16)
     counts = nodes.groupBy("grp", "size").agg(F.count("*").alias("k"), F.max("n").alias("largest"))
     per_block = F.greatest(F.lit(8), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_HASHES) / F.col("largest"))))
-    counts = kept(counts.select("grp", "size", F.ceil(F.col("k") / per_block).cast("int").alias("blocks")), "blocks")
+    counts = kept(counts.select("grp", "size", F.ceil(F.col("k") / per_block).cast("int").alias("blocks")), "blocks", 16)
     own = nodes.join(counts, ["grp", "size"])
     for step, name in ((1, "up"), (-1, "down")):
         beside = counts.select("grp", (F.col("size") - step).alias("size"), F.col("blocks").alias(name))

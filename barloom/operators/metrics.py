@@ -92,8 +92,8 @@ def long_metrics(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
     return wide.unpivot(list(keys), names, "metric", "value").filter(F.col("value").isNotNull())
 
 
-def backtest_summary(folds: DataFrame) -> DataFrame:
+def backtest_summary(folds: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
     """Over the folds of a model and target: how many, mean and deviation of the errors, mean direction accuracy."""
     spreads = [F.avg(m).alias(f"{m}_mean") for m in ("mae", "rmse", "mape", "smape", "dir_acc")]
     deviations = [F.stddev_samp(m).alias(f"{m}_std") for m in ("mae", "rmse", "mape", "smape")]
-    return folds.groupBy(*KEYS).agg(F.count("mae").alias("n_folds"), *spreads, *deviations)
+    return folds.groupBy(*by).agg(F.count("mae").alias("n_folds"), *spreads, *deviations)

@@ -48,21 +48,28 @@ def candle_table(forecast: DataFrame, *, by: Sequence[str] = ("model",), long: b
     return change_columns(rows.drop(POS)).withColumn("label", time_label(F.col("ts"), long=long))
 
 
-def tagged_history(history: DataFrame) -> DataFrame:
-    return history.select("ts", F.col("close").alias("price"), F.lit("Historical").alias("model"), F.lit("Historical").alias("kind"))
+def tagged_history(history: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return history.select(*by, "ts", F.col("close").alias("price"), F.lit("Historical").alias("model"), F.lit("Historical").alias("kind"))
 
 
-def union_history_forecast(history: DataFrame, forecast: DataFrame) -> DataFrame:
+def union_history_forecast(history: DataFrame, forecast: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """History and the forecasts of all models as one line table."""
-    predicted = forecast.select("ts", F.col("yhat").alias("price"), "model", F.lit("Predict").alias("kind"))
-    return tagged_history(history).unionByName(predicted)
+    predicted = forecast.select(*by, "ts", F.col("yhat").alias("price"), "model", F.lit("Predict").alias("kind"))
+    return tagged_history(history, by).unionByName(predicted)
 
 
-def merge_cutoff(history: DataFrame, forecast: DataFrame) -> DataFrame:
-    """History up to and including the first forecast time, then all forecast rows, tagged by source."""
-    cells = ["ts", "open", "high", "low", "close"]
-    first = forecast.agg(F.min("ts"))
-    kept = history.filter(F.col("ts") <= first.scalar()).select(*cells, F.lit("history").alias("source"))
+def merge_cutoff(history: DataFrame, forecast: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """History of each series up to and including its first forecast time, then all forecast rows, tagged by source.
+
+    A series without a forecast has no cut-off and no history.
+    """
+    cells = [*by, "ts", "open", "high", "low", "close"]
+    if by:
+        first = forecast.groupBy(*by).agg(F.min("ts").alias("_first"))
+        kept = history.join(first, list(by)).filter("ts <= _first")
+    else:
+        kept = history.filter(F.col("ts") <= forecast.agg(F.min("ts")).scalar())
+    kept = kept.select(*cells, F.lit("history").alias("source"))
     return kept.unionByName(forecast.select(*cells, F.lit("forecast").alias("source")))
 
 

@@ -114,20 +114,20 @@ bounds AS (SELECT t.fold, (SELECT min(ts) FROM line) AS train_start, e.ts AS tra
    min(t.ts) AS test_start, max(t.ts) AS test_end, CAST(count(*) AS BIGINT) AS test_rows
    FROM tests t JOIN line e ON e.pos = {M} + t.fold * {S} GROUP BY t.fold, e.ts, e.pos)"""
 FOLD_HITS = SCORED + f""", {LINE}, moves AS (SELECT s.*, t.fold, lag(actual) OVER w AS a0, lag(predicted) OVER w AS p0
-  FROM scored s JOIN tests t ON t.ts = s.ts WHERE symbol = 'click' WINDOW w AS (PARTITION BY t.fold, model, target ORDER BY s.ts)),
+  FROM scored s JOIN tests t ON t.ts = s.ts WINDOW w AS (PARTITION BY t.fold, symbol, model, target ORDER BY s.ts)),
 hits AS (SELECT *, actual - predicted AS e,
   (coalesce(CASE WHEN a0 = 0 THEN actual > 0 ELSE actual / a0 - 1 > 0 END, false)
    = coalesce(CASE WHEN p0 = 0 THEN predicted > 0 ELSE predicted / p0 - 1 > 0 END, false)) AS hit FROM moves),
-per_fold AS (SELECT fold, model, target, {EVAL_SQL} FROM hits GROUP BY fold, model, target)"""
+per_fold AS (SELECT fold, symbol, model, target, {EVAL_SQL} FROM hits GROUP BY fold, symbol, model, target)"""
 
 
 def fold_evaluation(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """(fold bounds, errors of the simple models per fold, model and target) for the target asset."""
+    """(fold bounds, errors of the simple models per fold, symbol, model and target)."""
     line = folds.timeline(t.hourly(), step_seconds=HOUR)
     size = {"min_train": M, "test": SHORT.fold_test, "step": S}
     tests = folds.with_test_folds(line, **size).select("ts", "fold")
-    pairs = scored(t).filter(F.col("symbol") == "click").join(tests, "ts")
-    per_fold = metrics.evaluate(pairs, by=["fold", "model", "target"], step_seconds=HOUR)
+    pairs = scored(t).join(tests, "ts")
+    per_fold = metrics.evaluate(pairs, by=["fold", *SCORE_KEYS], step_seconds=HOUR)
     return folds.fold_bounds(line, **size), per_fold
 
 
@@ -141,24 +141,24 @@ _MEANS = ", ".join(f"avg({m}) AS {m}_mean" for m in ("mae", "rmse", "mape", "sma
 _DEVS = ", ".join(f"stddev_samp({m}) AS {m}_std" for m in ("mae", "rmse", "mape", "smape"))
 
 
-@query("backtest_summary", f"WITH {FOLD_HITS} SELECT model, target, CAST(count(mae) AS BIGINT) AS n_folds, {_MEANS}, {_DEVS} FROM per_fold GROUP BY model, target",
+@query("backtest_summary", f"WITH {FOLD_HITS} SELECT symbol, model, target, CAST(count(mae) AS BIGINT) AS n_folds, {_MEANS}, {_DEVS} FROM per_fold GROUP BY symbol, model, target",
        doubles="mae_mean rmse_mean mape_mean smape_mean dir_acc_mean mae_std rmse_std mape_std smape_std")
 def backtest_summary(t: Tables) -> DataFrame:
-    return metrics.backtest_summary(fold_evaluation(t)[1])
+    return metrics.backtest_summary(fold_evaluation(t)[1], SCORE_KEYS)
 
 
-@query("concat_folds", f"WITH {FOLD_HITS} SELECT fold, model, target, ts, actual, predicted FROM moves", doubles="actual predicted")
+@query("concat_folds", f"WITH {FOLD_HITS} SELECT fold, symbol, model, target, ts, actual, predicted FROM moves", doubles="actual predicted")
 def concat_folds(t: Tables) -> DataFrame:
     """Test rows of all folds in one table; folds are a column, so appending them is no extra work."""
     line = folds.timeline(t.hourly(), step_seconds=HOUR)
     tests = folds.with_test_folds(line, min_train=M, test=SHORT.fold_test, step=S).select("ts", "fold")
-    return scored(t).filter(F.col("symbol") == "click").join(tests, "ts").select("fold", "model", "target", "ts", "actual", "predicted")
+    return scored(t).join(tests, "ts").select("fold", *SCORE_KEYS, "ts", "actual", "predicted")
 
 
-@query("metric_trend", f"""WITH {FOLD_HITS}, l AS (SELECT fold, model, target, unnest(['mae', 'rmse', 'mape', 'smape', 'dir_acc']) AS metric, unnest([mae, rmse, mape, smape, dir_acc]) AS value FROM per_fold)
-  SELECT fold, model, target, metric, value, CAST(row_number() OVER (PARTITION BY model, target, metric ORDER BY fold) - 1 AS INT) AS n FROM l WHERE value IS NOT NULL""", doubles="value")
+@query("metric_trend", f"""WITH {FOLD_HITS}, l AS (SELECT fold, symbol, model, target, unnest(['mae', 'rmse', 'mape', 'smape', 'dir_acc']) AS metric, unnest([mae, rmse, mape, smape, dir_acc]) AS value FROM per_fold)
+  SELECT fold, symbol, model, target, metric, value, CAST(row_number() OVER (PARTITION BY symbol, model, target, metric ORDER BY fold) - 1 AS INT) AS n FROM l WHERE value IS NOT NULL""", doubles="value")
 def metric_trend(t: Tables) -> DataFrame:
-    return views.metric_trend(metrics.long_metrics(fold_evaluation(t)[1], ["fold", "model", "target"]))
+    return views.metric_trend(metrics.long_metrics(fold_evaluation(t)[1], ["fold", *SCORE_KEYS]), [*SCORE_KEYS, "metric"])
 
 
 @query("error_distribution", f"""WITH {SCORED}, e AS (SELECT *, actual - predicted AS err FROM scored),

@@ -87,21 +87,20 @@ def model_selection(t: Tables) -> DataFrame:
 # --- unions ---------------------------------------------------------------------------------------------------------
 
 
-@query("union_history_forecast", f"""WITH {PANEL} SELECT ts, close AS price, 'Historical' AS model, 'Historical' AS kind FROM hb WHERE symbol = 'click'
-  UNION ALL SELECT ts, yhat, model, 'Predict' FROM panel WHERE symbol = 'click' AND target = 'close'""", doubles="price")
+@query("union_history_forecast", f"""WITH {PANEL} SELECT symbol, ts, close AS price, 'Historical' AS model, 'Historical' AS kind FROM hb
+  UNION ALL SELECT symbol, ts, yhat, model, 'Predict' FROM panel WHERE target = 'close'""", doubles="price")
 def union_history_forecast(t: Tables) -> DataFrame:
-    history = t.hourly().filter(F.col("symbol") == "click")
-    forecast = simple_panel(t).filter((F.col("symbol") == "click") & (F.col("target") == "close"))
-    return toplists.sort_time(views.union_history_forecast(history, forecast))
+    forecast = simple_panel(t).filter(F.col("target") == "close")
+    return toplists.sort_time(views.union_history_forecast(t.hourly(), forecast, ["symbol"]))
 
 
-@query("merge_cutoff", f"""WITH {HB}, c AS (SELECT ts, open, high, low, close FROM hb WHERE symbol = 'click'), f AS (SELECT * FROM c WHERE ts >= TIMESTAMP '2024-01-25')
-  SELECT *, 'history' AS source FROM c WHERE ts <= (SELECT min(ts) FROM f) UNION ALL SELECT *, 'forecast' FROM f""")
+@query("merge_cutoff", f"""WITH {HB}, c AS (SELECT symbol, ts, open, high, low, close FROM hb), f AS (SELECT * FROM c WHERE ts >= TIMESTAMP '2024-01-25')
+  SELECT c.*, 'history' AS source FROM c JOIN (SELECT symbol, min(ts) AS first FROM f GROUP BY symbol) g USING (symbol) WHERE ts <= first UNION ALL SELECT *, 'forecast' FROM f""")
 def merge_cutoff(t: Tables) -> DataFrame:
     """The last days stand in for the forecast; the time they share with the history shows up twice."""
-    history = t.hourly().filter(F.col("symbol") == "click")
+    history = t.hourly()
     forecast = history.filter(F.col("ts") >= F.lit("2024-01-25").cast("timestamp_ntz"))
-    return views.merge_cutoff(history, forecast)
+    return views.merge_cutoff(history, forecast, ["symbol"])
 
 
 # --- scalar functions -----------------------------------------------------------------------------------------------

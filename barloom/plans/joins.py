@@ -24,8 +24,10 @@ def merge_outer_daily(t: Tables) -> DataFrame:
 
 @query("merge_frames", f"""WITH {HB}, c AS (SELECT ts, close AS click_close FROM hb WHERE symbol = 'click'),
    v AS (SELECT ts, close AS view_close, volume AS view_volume FROM hb WHERE symbol = 'view'),
-   e AS (SELECT ts, close AS error_close FROM hb WHERE symbol = 'error')
-   SELECT ts, click_close, view_close, view_volume, error_close FROM c FULL JOIN v USING (ts) FULL JOIN e USING (ts)""")
+   e AS (SELECT ts, close AS error_close FROM hb WHERE symbol = 'error'),
+   p AS (SELECT ts, close AS purchase_close FROM hb WHERE symbol = 'purchase'), s AS (SELECT ts, close AS signup_close FROM hb WHERE symbol = 'signup')
+   SELECT ts, click_close, view_close, view_volume, error_close, purchase_close, signup_close
+   FROM c FULL JOIN v USING (ts) FULL JOIN e USING (ts) FULL JOIN p USING (ts) FULL JOIN s USING (ts)""")
 def merge_frames(t: Tables) -> DataFrame:
     """Frames of single symbols merged on time."""
     b = t.hourly()
@@ -33,7 +35,7 @@ def merge_frames(t: Tables) -> DataFrame:
     def one(symbol: str, *cols: str) -> DataFrame:
         return b.filter(F.col("symbol") == symbol).select("ts", *[F.col(c).alias(f"{symbol}_{c}") for c in cols])
 
-    return align.merge_frames([one("click", "close"), one("view", "close", "volume"), one("error", "close")])
+    return align.merge_frames([one("click", "close"), one("view", "close", "volume"), one("error", "close"), one("purchase", "close"), one("signup", "close")])
 
 
 @query("align_actual_pred", f"""WITH {SCORED} SELECT symbol, model, target, ts, actual, predicted FROM scored""", doubles="actual predicted")
@@ -53,11 +55,10 @@ def calendar_reindex(t: Tables) -> DataFrame:
 
 
 @query("align_xy", f"""WITH {HB}, {panel_sql('hb', 'panel', HOURLY_SYMBOLS, ['close', 'volume'])}
-  SELECT p.ts, s.high_spread, p.view_close, p.error_volume FROM panel p JOIN (SELECT ts, greatest(high - close, 0) AS high_spread FROM hb WHERE symbol = 'click') s ON s.ts = p.ts""", doubles="high_spread")
+  SELECT s.symbol, s.high_spread, p.* FROM panel p JOIN (SELECT symbol, ts, greatest(high - close, 0) AS high_spread FROM hb) s ON s.ts = p.ts""", doubles="high_spread")
 def align_xy(t: Tables) -> DataFrame:
-    y = with_spreads(t.hourly()).filter(F.col("symbol") == "click").select("ts", "high_spread")
-    x = t.hourly_panel(["close", "volume"]).select("ts", "view_close", "error_volume")
-    return y.join(x, "ts")
+    y = with_spreads(t.hourly()).select("symbol", "ts", "high_spread")
+    return y.join(t.hourly_panel(["close", "volume"]), "ts")
 
 
 @query("nearest_row", f"""WITH {HB}, visible AS (SELECT * FROM hb WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25'),

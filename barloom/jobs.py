@@ -42,7 +42,7 @@ def run_backtest(bars: DataFrame, symbols: list[str], target: str, horizon: Hori
     rows, design = training_table(panel, target, step_seconds=step)
     folds = Folds(horizon.fold_min_train, horizon.fold_test, horizon.fold_step)
     done = backtest(
-        rows, design, folds, top_k=horizon.top_features, var_limit=horizon.var_columns, sequence_steps=horizon.sequence_steps
+        rows, design, folds, top_k=horizon.backtest_features, var_limit=horizon.var_columns, sequence_steps=horizon.sequence_steps
     )
     path = sinks.sink_parquet(done.metrics(step_seconds=step), f"{out}/fold-metrics")
     stored = bars.sparkSession.read.parquet(path)
@@ -57,7 +57,7 @@ def run_forecast(bars: DataFrame, symbols: list[str], target: str, horizon: Hori
     chosen = design.with_features([f for f in design.features if f in features] or design.features)
     models = Forecaster(rows.select("ts", "_pos", *chosen.columns), chosen, horizon)
     stacked = models.arimax()
-    for forecast in (models.var(), models.additive(), models.sequence(horizon.sequence_steps)):
+    for forecast in (models.var(), models.additive(), models.sequence(horizon.predict_sequence_steps)):
         stacked = stacked.unionByName(forecast)
     path = sinks.sink_parquet(stacked, f"{out}/forecast-rows", partition_by=["model"])
     stored = bars.sparkSession.read.parquet(path)

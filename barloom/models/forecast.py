@@ -50,11 +50,11 @@ class Forecaster:
 
     def var_models(self) -> DataFrame:
         sums, ends, size = self._sums()
-        return linear.var_fit(sums, ends, self.design, size, limit=self.horizon.var_columns)
+        return linear.var_fit(sums, ends, self.design, size, limit=self.horizon.predict_var_columns)
 
     def var(self) -> DataFrame:
         sums, ends, size = self._sums()
-        path = linear.var_forecast(sums, ends, self.design, size, limit=self.horizon.var_columns, steps=self.horizon.steps)
+        path = linear.var_forecast(sums, ends, self.design, size, limit=self.horizon.predict_var_columns, steps=self.horizon.steps)
         last = ends.select(*self.by, "fold", F.col("ts").alias("_last"))
         seconds = (F.col("k") * self.horizon.step_seconds).cast("int")
         return path.join(last, [*self.by, "fold"]).withColumn("ts", F.timestamp_add("SECOND", seconds, F.col("_last"))).drop("_last")

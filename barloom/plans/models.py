@@ -13,9 +13,12 @@ from barloom.models.forecast import Forecaster
 from barloom.models.gram import gram, matrix, solve, vectors
 from barloom.models.windows import Folds
 from barloom.operators import metrics
+from barloom.operators.indicators import INDICATORS
 from barloom.plans.catalog import DB, HB, HOURLY_SYMBOLS, HOURLY_TARGET, Tables, panel_sql, query
 
-SERIES_FEATURES = ["volume", "rsi", "macd", "macd_hist", "roc", "stoch_k", "volume_ratio", "volatility"]
+SERIES_FEATURES = ["open", "volume", *INDICATORS]
+#: The sums of the sequence model grow with the square of features times steps, so its queries keep to a few features.
+SEQUENCE_FEATURES = ["volume", "rsi", "macd", "macd_hist", "roc", "stoch_k", "volume_ratio", "volatility"]
 SEQUENCE_STEPS = SHORT.sequence_steps
 
 
@@ -32,8 +35,8 @@ def least_squares(t: Tables) -> DataFrame:
     return sums.groupBy("symbol").applyInPandas(line, "symbol STRING, intercept DOUBLE, slope DOUBLE, n LONG")
 
 
-def _series(t: Tables) -> Forecaster:
-    rows, design = series_table(t.hourly(), SERIES_FEATURES, step_seconds=HOUR)
+def _series(t: Tables, features: list[str] = SERIES_FEATURES) -> Forecaster:
+    rows, design = series_table(t.hourly(), features, step_seconds=HOUR)
     return Forecaster(rows, design, SHORT)
 
 
@@ -73,12 +76,12 @@ def additive_forecast(t: Tables) -> DataFrame:
 
 @query("sequence_fit")
 def sequence_fit(t: Tables) -> DataFrame:
-    return _flat(_series(t).sequence_models(SEQUENCE_STEPS))
+    return _flat(_series(t, SEQUENCE_FEATURES).sequence_models(SHORT.predict_sequence_steps))
 
 
 @query("sequence_regression")
 def sequence_regression(t: Tables) -> DataFrame:
-    return _series(t).sequence(SEQUENCE_STEPS)
+    return _series(t, SEQUENCE_FEATURES).sequence(SHORT.predict_sequence_steps)
 
 
 # --- the two orders of filling and indicators -----------------------------------------------------------------------
@@ -144,7 +147,7 @@ def _backtest(t: Tables) -> bt.Result:
     """The target asset against the features of all assets."""
     rows, design = _training(t)
     folds = Folds(SHORT.fold_min_train, SHORT.fold_test, SHORT.fold_step)
-    return bt.backtest(rows, design, folds, top_k=SHORT.top_features, var_limit=SHORT.var_columns, sequence_steps=SEQUENCE_STEPS)
+    return bt.backtest(rows, design, folds, top_k=SHORT.backtest_features, var_limit=SHORT.var_columns, sequence_steps=SEQUENCE_STEPS)
 
 
 @query("backtest")
@@ -160,7 +163,7 @@ def backtest_models_summary(t: Tables) -> DataFrame:
 @query("backtest_series")
 def backtest_series(t: Tables) -> DataFrame:
     """Daily series, each one backtested on its own indicators, all in the same jobs."""
-    rows, design = series_table(t.daily(), SERIES_FEATURES, step_seconds=DAY)
+    rows, design = series_table(t.daily(), SEQUENCE_FEATURES, step_seconds=DAY)
     folds = Folds(LONG.fold_min_train, LONG.fold_test, LONG.fold_step)
-    result = bt.backtest(rows, design, folds, top_k=LONG.top_features, var_limit=LONG.var_columns, sequence_steps=LONG.sequence_steps)
+    result = bt.backtest(rows, design, folds, top_k=LONG.backtest_features, var_limit=LONG.var_columns, sequence_steps=LONG.sequence_steps)
     return result.metrics(["symbol"], step_seconds=DAY)

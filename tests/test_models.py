@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from barloom.models import additive, linear
 from barloom.models.backtest import backtest
-from barloom.models.design import Design
+from barloom.config import SHORT
+from barloom.models.design import Design, series_table
+from barloom.models.forecast import Forecaster
 from barloom.models.gram import gram, lag_vectors, matrix, vectors
 from barloom.models.selection import select_features, window_scores
 from barloom.models.windows import Folds, Whole
-from helpers import HOUR, times
+from helpers import HOUR, random_bars, times, to_spark
 
 N = 900
 FEATURES = ("x1_close", "x2_rsi")
@@ -278,3 +280,12 @@ def test_places_of_a_whole_window(spark):
         for slot, part in got.groupby("slot"):
             np.testing.assert_allclose(matrix(part, 3), x[: at[slot]].T @ x[: at[slot]], rtol=1e-9)
         assert at[END] == n and 0 < at[VALID] < n and len(at) == 2 + min(25, int(min(n, 125) * 0.8))
+
+
+def test_series_rows_are_numbered_from_one(spark):
+    """Windows of training rows are cut by position, so rows dropped at the start must not leave a gap."""
+    rows, design = series_table(to_spark(spark, random_bars(300)), ["rsi", "roc"], step_seconds=HOUR)
+    got = {r["symbol"]: (r["low"], r["high"], r["n"]) for r in rows.groupBy("symbol").agg(F.min("_pos").alias("low"), F.max("_pos").alias("high"), F.count("*").alias("n")).collect()}
+    assert got == {"a": (1, 267, 267), "b": (1, 267, 267)}
+    cuts = Forecaster(rows, design, SHORT).additive_models().collect()
+    assert {len(r["cuts"]) for r in cuts} == {25}

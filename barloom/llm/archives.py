@@ -1,9 +1,9 @@
 """Web archives in ZIP packages: records and their index as stored members, read back by byte ranges.
 
 `write_archives` turns pages into WARC records (response, or revisit where a later page has the same payload) and packs those of
-a task into ZIP files of about ARCHIVE_BYTES, with the members archive/data.warc and indexes/index.cdxj. `read_archives` opens
-each package at its end, parses the end record, the ZIP64 records and the central directory, finds the index, and reads the
-records by their ranges from the stored member; nothing is extracted.
+a task into ZIP files of about ARCHIVE_BYTES, with the stored members archive/data.warc.gz (each record a gzip member of its own)
+and indexes/index.cdxj. `read_archives` opens each package at its end, parses the end record, the ZIP64 records and the central
+directory, finds the index, and reads the records by their ranges from the stored member; nothing is extracted.
 
 Files carry the task attempt in their name, and only those of attempts that Spark committed are listed, so a lost executor
 leaves files that nobody reads. The folder must be one that all executors see (file, hdfs, s3 or gs as pyarrow reads them).
@@ -16,6 +16,7 @@ result. Extra columns are not carried.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import json
@@ -30,12 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.registry import query, table
-from barloom.llm.scratch import kept, passing
+from barloom.llm.scratch import kept
 from barloom.session import work_path
 
 ARCHIVE_BYTES = 16 << 20
 RANGE_BYTES = 4 << 20
-WARC_MEMBER, INDEX_MEMBER = "archive/data.warc", "indexes/index.cdxj"
+WARC_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdxj"
 DATE = "2024-01-01T00:00:00Z"
 #: Fixed values of the revisit profile and of the ZIP records.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -103,7 +104,7 @@ def members(read: Read, size: int) -> dict[str, tuple[int, int]]:
     """
     tail_at = max(size - (22 + 0xFFFF + 20), 0)
     tail = read(tail_at, size - tail_at)
-    end = tail.rfind(END)
+    end = tail.rfind(END, 0, max(len(tail) - 18, 0))
     while end >= 0 and tail_at + end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != size:
         end = tail.rfind(END, 0, end)
     if end < 0:
@@ -191,7 +192,7 @@ def write_archives(pages: DataFrame, folder: str, *, id_column: str = "page_id",
         for batch in batches:
             for page, url, sha1, size, refers_to, payload in zip(*(batch.column(c).to_pylist() for c in ("page", "url", "sha1", "size", "refers_to", "payload"))):
                 digest = base64.b32encode(bytes.fromhex(sha1)).decode()
-                records.append(record(page, url, payload or b"", size, digest, refers_to))
+                records.append(gzip.compress(record(page, url, payload or b"", size, digest, refers_to), 1, mtime=0))
                 index.append({"url": (url or f"urn:page:{page}").replace(" ", "%20").replace("\n", "%0A").replace("\r", "%0D"), "date": "20240101000000", "digest": f"sha1:{digest}"})
                 held += len(records[-1])
                 if held >= ARCHIVE_BYTES:
@@ -231,7 +232,7 @@ def read_archives(packages: DataFrame) -> DataFrame:
                 raw, begin, rows = read(at, sum(lengths)), 0, []
                 source.close()
                 for length in lengths:
-                    rows.append(parse_record(raw[begin : begin + length]))
+                    rows.append(parse_record(gzip.decompress(raw[begin : begin + length])))
                     begin += length
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in zip(names, kinds)], names)
 
@@ -244,7 +245,5 @@ def read_archives(packages: DataFrame) -> DataFrame:
 @query("op3_zip_archives")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """All pages written as records in ZIP packages and read back by ranges."""
-    where = work_path(spark, "archives")
-    passing(spark, where)
-    packages = write_archives(table(spark, folder, "pages"), where)
+    packages = write_archives(table(spark, folder, "pages"), work_path(spark, "archives"))
     return read_archives(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -29,8 +29,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6  # kinds of pieces that encoding uses
 PENALTY = 10.0
-MEMORY = 200_000  # parts remembered by a task
-LONGEST_PART = 4096  # longer parts are encoded, but not remembered
+MEMORY = 400_000  # parts remembered by a task, at about 200 bytes
+LONGEST_PART = 256  # longer parts are encoded, but not remembered
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -250,19 +250,19 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.parts.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = list({p for c in cut for p in c} - self.memory.keys())
-        if len(self.memory) + len(new) > MEMORY:
-            self.memory = {}
-            new = list({p for c in cut for p in c})
-        own: dict[str, bytes] = {}
+        found = [list(map(self.memory.get, c)) for c in cut]
+        new = list({p for c, f in zip(cut, found) for p, ids in zip(c, f) if ids is None})
+        fresh: dict[str, bytes] = {}
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            for p, ids in zip(part, self.lattice.encode(part)):
-                (self.memory if len(p) <= LONGEST_PART else own)[p] = ids.tobytes()
-        memory = self.memory
-        if own:
-            memory = memory | own
-        return [np.frombuffer(b"".join([memory[p] for p in c]), np.int32) for c in cut]
+            fresh |= {p: ids.tobytes() for p, ids in zip(part, self.lattice.encode(part))}
+        if len(self.memory) + len(new) > MEMORY:
+            self.memory = {}
+        self.memory |= {p: ids for p, ids in fresh.items() if len(p) <= LONGEST_PART} if len(fresh) <= MEMORY else {}
+        for f, c in zip(found, cut):
+            for k in [k for k, ids in enumerate(f) if ids is None]:
+                f[k] = fresh[c[k]]
+        return [np.frombuffer(b"".join(f), np.int32) for f in found]
 
     def decode(self, ids: np.ndarray) -> str:
         """Bytes and markers back; the first marker is the one that encoding put there."""

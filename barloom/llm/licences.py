@@ -1,7 +1,8 @@
 """Licence scan by canonical digests.
 
 A text is made canonical line by line: lower case, equivalent spellings replaced, everything but letters and digits turned into
-single spaces, copyright lines and empty lines dropped; the lines are joined by spaces, so line breaks do not matter. The
+single spaces, copyright lines (COPYRIGHT) and empty lines dropped; the lines are joined by spaces, so line breaks do not matter,
+also where a clause of the licence goes on with "copyright" in the next line. The
 SHA-256 of that is looked up among the digests of known licences by a hash join: whole texts against licence texts, single
 lines against licence notices. Known texts are a table (licence, kind, text), so others can be added; it is broadcast after its
 rows are counted.
@@ -23,7 +24,21 @@ BROADCAST_ROWS = 100_000
 SPELLINGS = (
     (r"licence", "license"), (r"sub-licen[cs]e", "sublicense"), (r"https?://", ""), (r"version 2\.0\b", "version 2"), (r"non-commercial", "noncommercial"),
 )
-COPYRIGHT = r"^\W*(copyright\b|\(c\)|©)"
+#: Words after "copyright" that go on with a clause; a name follows otherwise.
+_CLAUSE = (
+    r"notices?|holders?|owners?|ownership|laws?|licen[cs]e[sd]?|statements?|interests?|disclaimers?|lines?|permissions?|protection|rights?|treaty|treaties|"
+    r"doctrines|registration|infringement|patents?|trademarks?|resulting|file|information|and|or|of|on|in|is|are|if|for|to|as|with|also|like|those|that|"
+    r"which|under|may|shall|must|will|the\s+(software|library|program|work)"
+)
+_YEAR = r"((19|20)\d\d|\d\dyy|yyyy|year\b)"
+_MARKED = rf"(\W*({_YEAR}|\(c\)|©)|\s*[\[<{{])"
+#: A copyright line: © or the word or (c) before a year, a placeholder or another mark; the word before a name; (c) in a line that ends in a
+#: year. Wrapped clauses ("copyright notice and ...", "COPYRIGHT HOLDERS BE LIABLE") and clauses lettered (c) are none.
+COPYRIGHT = (
+    rf"^\W*(©|(\(c\)\W*)?copyright\b({_MARKED}|\s*:?\s+(?!({_CLAUSE})\b)[\p{{L}}\p{{N}}])|\(c\)({_MARKED}|\s.*\b(19|20)\d\d\W*$))"
+)
+#: The reference SQL keeps the simpler pattern: every line that begins with the word or a mark.
+_SQL_COPYRIGHT = r"^\W*(copyright\b|\(c\)|©)"
 
 #: Public licence texts and notices. Only the words count, not their layout.
 _WARRANTY = (
@@ -119,7 +134,7 @@ def _sql() -> str:
         for pattern, kept_form in SPELLINGS:
             line = f"regexp_replace({line}, '{pattern}', '{kept_form}', 'g')"
         line = rf"trim(regexp_replace({line}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
-        lines = f"list_filter(string_split(lower(coalesce({x}, '')), chr(10)), lambda y: NOT regexp_matches(y, '{COPYRIGHT}'))"
+        lines = f"list_filter(string_split(lower(coalesce({x}, '')), chr(10)), lambda y: NOT regexp_matches(y, '{_SQL_COPYRIGHT}'))"
         return f"list_filter(list_transform({lines}, lambda x: {line}), lambda z: z <> '')"
 
     rows = ", ".join(f"({quoted(a)}, {quoted(b)}, {quoted(c)})" for a, b, c in KNOWN)

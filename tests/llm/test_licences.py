@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import textwrap
+
 from brute import ODD
+from pyspark.sql import functions as F
 
 from barloom.llm import licences
 
@@ -19,3 +22,23 @@ def test_equal_up_to_layout_and_spelling(spark):
     assert all(got[10 + i] == (None, "") for i in range(len(ODD)))
     assert licences.scan(frame.limit(0), licences.known_table(spark)).count() == 0
     assert licences.scan(frame, licences.known_table(spark).limit(0)).filter("licence IS NOT NULL").count() == 0
+
+
+def test_wrapped_clauses_are_no_copyright_lines(spark):
+    """Known texts wrapped at many widths, one of which starts a line with each of their words."""
+    whole = [(n, t) for n, k, t in licences.KNOWN if k == "text"]
+    head = "Copyright (c) 2020, 2021 Someone\n(c) 2019 Else\nCopyright The Authors\n\n"
+    docs = [(n, head + textwrap.fill(t, w)) for n, t in whole for w in range(20, 121)]
+    frame = spark.createDataFrame([(f"{n}/{i}", t) for i, (n, t) in enumerate(docs)], "doc_id STRING, text STRING")
+    rows = licences.scan(frame, licences.known_table(spark)).collect()
+    assert len(rows) == len(docs) and [r["doc_id"] for r in rows if r["licence"] != r["doc_id"].split("/")[0]] == []
+
+
+def test_copyright_lines(spark):
+    dropped = ["Copyright (c) 2020 X", " * Copyright 1999-2003 X", "(C) 2020 X", "© X", "(c) Copyright X", "Copyright [yyyy] [name]", "Copyright <YEAR> X",
+               "Copyright Joyent, Inc. and other Node contributors.", "Copyright The Authors", "Copyright: X", "(c) X Ltd., 2004", "COPYRIGHT (C) X"]
+    kept = ["copyright notice and this permission notice", "COPYRIGHT HOLDERS BE LIABLE FOR ANY", "(c) You must retain, in the Source form", "copyright",
+            "copyright, patent and trademark notices", "copyright-like laws", "copyright the software, and", "(c) under Patent Claims", "copyright law: that is"]
+    frame = spark.createDataFrame([(x,) for x in dropped + kept], "x STRING")
+    got = {r["x"] for r in frame.filter(F.size(licences.canonical_lines(F.col("x"))) > 0).collect()}
+    assert got == set(kept)

@@ -5,7 +5,9 @@ single spaces, copyright lines (COPYRIGHT) and empty lines dropped; the lines ar
 also where a clause of the licence goes on with "copyright" in the next line. The
 SHA-256 of that is looked up among the digests of known licences by a hash join: whole texts against licence texts, single
 lines against licence notices. Known texts are a table (licence, kind, text), so others can be added; it is broadcast after its
-rows are counted.
+rows are counted. The query's table is KNOWN and `known_licences.jsonl`, one licence wording a line: {licence, titles, rights_line,
+text} stands for the text under each of its titles ("" for none), with and without "All rights reserved."; {licence, names, spdx}
+for the usual one-line notices with these names and identifiers.
 
 Null, empty and punctuation-only texts have the digest of the empty string, which no licence has. Repeated rows are reported
 alike, known texts with equal digests once, under the first name. Empty tables give an empty result. Only the id is carried.
@@ -13,6 +15,10 @@ alike, known texts with equal digests once, under the first name. Empty tables g
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +83,12 @@ KNOWN = (
     ("Apache-2.0", "notice", "SPDX-License-Identifier: Apache-2.0"),
     ("MIT", "notice", "SPDX-License-Identifier: MIT"),
 )
+#: Lines that name a licence; {} is the name. The last is the first line of the usual header of the Apache License.
+NOTICES = (
+    *(f"{start}{how} under {the}{{}}" for start in ("", "This work is ", "This project is ", "This software is ", "This program is ", "This file is ")
+      for how in ("licensed", "released", "distributed") for the in ("", "the ", "the terms of the ", "a ")),
+    'Licensed under the {} (the "License");',
+)
 
 
 def canonical_lines(text: Column) -> Column:
@@ -98,8 +110,22 @@ def known_digests(known: DataFrame) -> DataFrame:
     return known.groupBy("kind", digest.alias("digest")).agg(F.min("licence").alias("licence"))
 
 
+def wordings() -> Iterator[tuple[str, str, str]]:
+    """Rows (licence, kind, text) of the data file."""
+    for line in (Path(__file__).parent / "known_licences.jsonl").read_text("utf-8").splitlines():
+        row = json.loads(line)
+        for title in row.get("titles", []):
+            for rights in ("", "All rights reserved.")[: 1 + row["rights_line"]]:
+                yield row["licence"], "text", f"{title}\n{rights}\n{row['text']}"
+        for name in row.get("names", []):
+            for notice in NOTICES:
+                yield row["licence"], "notice", notice.format(name)
+        for name in row.get("spdx", []):
+            yield row["licence"], "notice", f"SPDX-License-Identifier: {name}"
+
+
 def known_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(KNOWN), "licence STRING, kind STRING, text STRING")
+    return spark.createDataFrame([*KNOWN, *wordings()], "licence STRING, kind STRING, text STRING")
 
 
 def scan(docs: DataFrame, known: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

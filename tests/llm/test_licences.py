@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import textwrap
+from pathlib import Path
 
 from brute import ODD
 from pyspark.sql import functions as F
@@ -42,3 +43,18 @@ def test_copyright_lines(spark):
     frame = spark.createDataFrame([(x,) for x in dropped + kept], "x STRING")
     got = {r["x"] for r in frame.filter(F.size(licences.canonical_lines(F.col("x"))) > 0).collect()}
     assert got == set(kept)
+
+
+def test_whole_copies_of_common_licences(spark):
+    body = next(t for n, k, t in licences.KNOWN if (n, k) == ("MIT", "text")).split("\n", 1)[1]
+    bsd = next(t for n, k, t in licences.wordings() if n == "BSD-2-Clause" and k == "text")
+    docs = [("MIT", body), ("MIT", "The MIT License (MIT)\n\nCopyright (c) 2015 X\n\n" + body), ("BSD-2-Clause", "Copyright 2019, X\nAll rights reserved.\n" + bsd)]
+    docs += [(n, t) for n, k, t in licences.wordings() if k == "text"]
+    names = {"GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-3": "LGPL-3.0", "BSD": "BSD-3-Clause", "Artistic": "Artistic-1.0-Perl"}
+    files = [p for p in Path("/usr/share/common-licenses").glob("*") if p.is_file() and not p.is_symlink()]
+    docs += [(names.get(p.name, p.name), p.read_text("utf-8")) for p in files]
+    docs += [(None, "MIT"), (None, body + " more"), (None, body[:-20])]
+    frame = spark.createDataFrame([(f"{n}/{i}", t) for i, (n, t) in enumerate(docs)], "doc_id STRING, text STRING")
+    rows = licences.scan(frame, licences.known_table(spark)).collect()
+    assert len(rows) == len(docs) and [r["doc_id"] for r in rows if str(r["licence"]) != r["doc_id"].split("/")[0]] == []
+    assert {"MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "Unlicense"} <= {n for n, _ in docs}

@@ -17,8 +17,6 @@ from barloom.operators.indicators import INDICATORS
 from barloom.plans.catalog import DB, HB, HOURLY_SYMBOLS, HOURLY_TARGET, Tables, panel_sql, query
 
 SERIES_FEATURES = ["open", "volume", *INDICATORS]
-#: The sums of the sequence model grow with the square of features times steps, so its queries keep to a few features.
-SEQUENCE_FEATURES = ["volume", "rsi", "macd", "macd_hist", "roc", "stoch_k", "volume_ratio", "volatility"]
 SEQUENCE_STEPS = SHORT.sequence_steps
 
 
@@ -76,12 +74,12 @@ def additive_forecast(t: Tables) -> DataFrame:
 
 @query("sequence_fit")
 def sequence_fit(t: Tables) -> DataFrame:
-    return _flat(_series(t, SEQUENCE_FEATURES).sequence_models(SHORT.predict_sequence_steps))
+    return _flat(_series(t).sequence_models(SHORT.predict_sequence_steps))
 
 
 @query("sequence_regression")
 def sequence_regression(t: Tables) -> DataFrame:
-    return _series(t, SEQUENCE_FEATURES).sequence(SHORT.predict_sequence_steps)
+    return _series(t).sequence(SHORT.predict_sequence_steps)
 
 
 # --- the two orders of filling and indicators -----------------------------------------------------------------------
@@ -163,7 +161,7 @@ def backtest_models_summary(t: Tables) -> DataFrame:
 @query("backtest_series")
 def backtest_series(t: Tables) -> DataFrame:
     """Daily series, each one backtested on its own indicators, all in the same jobs."""
-    rows, design = series_table(t.daily(), SEQUENCE_FEATURES, step_seconds=DAY)
+    rows, design = series_table(t.daily(), SERIES_FEATURES, step_seconds=DAY)
     folds = Folds(LONG.fold_min_train, LONG.fold_test, LONG.fold_step)
     result = bt.backtest(rows, design, folds, top_k=LONG.backtest_features, var_limit=LONG.var_columns, sequence_steps=LONG.sequence_steps)
     return result.metrics(["symbol"], step_seconds=DAY)

@@ -3,7 +3,9 @@
 `write_archives` turns pages into WARC records (response, or revisit where a later page has the same payload) and packs those of
 a task into ZIP files of about ARCHIVE_BYTES, with the stored members archive/data.warc.gz (each record a gzip member of its own)
 and indexes/index.cdxj. `read_archives` opens each package at its end, parses the end record, the ZIP64 records and the central
-directory, finds the index, and reads the records by their ranges from the stored member; nothing is extracted.
+directory, goes through all indexes (.cdxj, .cdxj.gz) below indexes/, and reads the records by their ranges from the stored members
+below archive/ that the entries name; nothing is extracted. An entry that names no member where there are several, one that names
+a member that is not stored, and archive members that no index covers are errors. A record in two indexes is read once.
 
 Files carry the task attempt in their name, and only those of attempts that Spark committed are listed, so a lost executor
 leaves files that nobody reads. The folder must be one that all executors see (file, hdfs, s3 or gs as pyarrow reads them).
@@ -36,6 +38,7 @@ from barloom.session import work_path
 
 ARCHIVE_BYTES = 16 << 20
 RANGE_BYTES = 4 << 20
+ARCHIVES, INDEXES = "archive/", "indexes/"
 WARC_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdxj"
 DATE = "2024-01-01T00:00:00Z"
 #: Fixed values of the revisit profile and of the ZIP records.
@@ -89,7 +92,7 @@ def packed(records: list[bytes], index: list[dict]) -> bytes:
     out, at = io.BytesIO(), 0
     lines = []
     for raw, entry in zip(records, index):
-        lines.append(f"{entry['url']} {entry['date']} " + json.dumps({"offset": at, "length": len(raw), "digest": entry["digest"]}))
+        lines.append(f"{entry['url']} {entry['date']} " + json.dumps({"offset": at, "length": len(raw), "digest": entry["digest"], "filename": WARC_MEMBER.removeprefix(ARCHIVES)}))
         at += len(raw)
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
         z.writestr(zipfile.ZipInfo(WARC_MEMBER), b"".join(records))
@@ -145,14 +148,30 @@ def members(read: Read, size: int) -> dict[str, tuple[int, int]]:
 def index_ranges(read: Read, size: int) -> list[tuple[int, list[int]]]:
     """Ranges of a package that together hold all records: offset, and lengths of the records that lie there in a row."""
     found = members(read, size)
-    base, _ = found[WARC_MEMBER]
-    lines = read(*found[INDEX_MEMBER]).decode().split("\n")
-    entries = sorted((e["offset"], e["length"]) for e in (json.loads(line[line.index(" {") + 1 :]) for line in lines if line))
+    stored = {k: v for k, v in found.items() if k.startswith(ARCHIVES) and not k.endswith("/")}
+    records: set[tuple[int, int]] = set()
+    covered: set[str] = set()
+    for index in (k for k in found if k.startswith(INDEXES) and k.endswith((".cdxj", ".cdxj.gz"))):
+        raw = read(*found[index])
+        for line in (gzip.decompress(raw) if index.endswith(".gz") else raw).decode().split("\n"):
+            if not line.strip() or line.startswith("!"):
+                continue
+            entry = json.loads(line[line.index(" {") + 1 :])
+            if "filename" not in entry and len(stored) != 1:
+                raise ValueError(f"an entry of {index} names none of {len(stored)} archive members")
+            name = ARCHIVES + entry["filename"].removeprefix(ARCHIVES) if "filename" in entry else next(iter(stored))
+            if name not in stored:
+                raise ValueError(f"{index} names {name}, which is no stored member")
+            covered.add(name)
+            records.add((stored[name][0] + int(entry["offset"]), int(entry["length"])))
+    if missed := sorted(k for k, (_, length) in stored.items() if length and k not in covered):
+        raise ValueError(f"archive members that no index covers: {', '.join(missed)}")
+    entries = sorted(records)
     out: list[tuple[int, list[int]]] = []
     held = 0
     for at, length in entries:
-        if not out or held + length > RANGE_BYTES or out[-1][0] + held != base + at:
-            out.append((base + at, []))
+        if not out or held + length > RANGE_BYTES or out[-1][0] + held != at:
+            out.append((at, []))
             held = 0
         out[-1][1].append(length)
         held += length

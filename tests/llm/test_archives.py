@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
+import json
 import random
 import struct
 import zipfile
@@ -67,6 +69,35 @@ def test_zip64_values_replace_those_that_do_not_fit():
     assert zipfile.ZipFile(io.BytesIO(raw)).read(name.decode()) == body
 
 
+def test_all_members_and_indexes_of_a_package():
+    parts = {"a.warc.gz": [b"one", b"three"], "b.warc.gz": [b"eleven", b"x"]}
+
+    def package(named: bool, listed: str) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+            for k, records in parts.items():
+                z.writestr("archive/" + k, b"".join(records))
+            for k, records in parts.items():
+                if k[0] in listed:
+                    entries = [{"offset": str(len(records[0]) * i), "length": len(r)} | ({"filename": k} if named else {}) for i, r in enumerate(records)]
+                    lines = "".join(f"u{i} 20240101000000 {json.dumps(e)}\n" for i, e in enumerate(entries)).encode()
+                    z.writestr(f"indexes/{k[0]}.cdxj" + ".gz" * (k[0] == "b"), gzip.compress(lines) if k[0] == "b" else lines)
+        return out.getvalue()
+
+    def read(raw: bytes) -> list[bytes]:
+        found = []
+        for at, lengths in archives.index_ranges(lambda at, n: raw[at : at + n], len(raw)):
+            for n in lengths:
+                found.append(raw[at : at + n])
+                at += n
+        return found
+
+    assert read(package(True, "ab")) == [b"one", b"three", b"eleven", b"x"]
+    for raw in (package(True, "a"), package(False, "ab"), package(True, "")):
+        with pytest.raises(ValueError):
+            read(raw)
+
+
 def test_damage_is_noticed():
     raw = archives.record(1, "u", b"payload", 7, archives.payload_digest(b"payload"), None)
     assert archives.parse_record(raw)["payload"] == b"payload"

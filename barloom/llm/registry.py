@@ -14,7 +14,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ["toxicity", "pieces", "archives", "neardup", "licences", "decontaminate", "linededup", "chat", "quality", "language"]
+MODULES = [
+    "toxicity", "pieces", "archives", "neardup", "licences", "decontaminate", "linededup", "chat", "quality", "language", "simhash",
+    "prefix_trie", "whitening",
+]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

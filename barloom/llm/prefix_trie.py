@@ -214,8 +214,8 @@ WITH o AS (
 ), c AS (
   SELECT conv_id, list(turn ORDER BY i) AS ts,
          xor(list_reduce([4294967295] || flatten(list_transform(string_split(conv_id::VARCHAR, ''),
-               x -> [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
-             (a, x) -> CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 6 AS h
+               lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+             lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 6 AS h
   FROM o GROUP BY conv_id
 ), b AS (
   SELECT c.conv_id, coalesce(g.ts[1:c.h], []) || c.ts[c.h + 1:] AS s

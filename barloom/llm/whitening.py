@@ -143,7 +143,7 @@ def _solved(v: np.ndarray, shift: float, x: np.ndarray, scale: float) -> np.ndar
             continue
         if np.isfinite(found).all():
             break
-    return found
+    return found / np.abs(found).max()
 
 
 def _rayleigh(v: np.ndarray, shift: float, before: np.ndarray, scale: float) -> tuple[float, np.ndarray]:

@@ -9,8 +9,8 @@
 4. The dropped line numbers of a document become a compressed keep bitmap; `apply` cuts the texts by it.
 
 Each row counts as a document, also where ids are repeated; rows that share the largest id all keep their lines. A null id is
-smaller than any other. A null or empty text is one empty line. An empty table gives an empty result. Extra columns pass
-through `deduped` unless they are named `_row` or `_keep`.
+smaller than any other. A null or empty text is one empty line. An empty table gives an empty result. Extra columns of any name
+pass through `deduped`. Keys are compared by 128 bits of a BLAKE2b digest.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ def line_ledger(docs: DataFrame, *, id_column: str, text_column: str, min_points
             points = np.concatenate([[0], np.cumsum(texts.code_points(chunk.data))])
             long = points[stop] - points[begin] >= min_points
             owners, number, begin, stop = owners[long], number[long], begin[long], stop[long]
-            h1, h2 = (texts.Rolling(chunk.data, True, k).parts(begin, stop).view(np.int64) for k in (0, 1))
+            h1, h2 = texts.digests(chunk.data, begin, stop, True).view(np.int64).T
             order = np.lexsort((number, h2, h1, owners))
             owners, number, h1, h2 = owners[order], number[order], h1[order], h2[order]
             new = np.append(True, (owners[1:] != owners[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))[: len(owners)]
@@ -168,13 +168,13 @@ def cut(text: str | None, keep: bytes | None) -> tuple[str | None, int, int]:
     return "\n".join(stay), len(lines), len(lines) - len(stay)
 
 
-def marked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **limits: int) -> DataFrame:
-    """Documents with their keep bitmap in `_keep`, null where nothing is dropped; every input row once."""
+def marked(docs: DataFrame, keep: str, id_column: str = "doc_id", text_column: str = "text", **limits: int) -> DataFrame:
+    """Documents with their keep bitmap in the new column `keep`, null where nothing is dropped; every input row once."""
     maps = keep_bitmaps(docs, id_column=id_column, text_column=text_column, **limits)
-    key, row = _row_key(id_column, text_column)
-    left = docs.withColumns({"_doc": key, "_row": row})
-    maps = maps.select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.col("keep").alias("_keep"))
-    return left.join(maps, ["_doc", "_row"], "left").drop("_doc", "_row")
+    doc, row = texts.free_name("_doc", docs), texts.free_name("_row", docs)
+    left = docs.withColumns(dict(zip((doc, row), _row_key(id_column, text_column))))
+    maps = maps.select(F.col("doc").alias(doc), F.col("row").alias(row), F.col("keep").alias(keep))
+    return left.join(maps, [doc, row], "left").drop(doc, row)
 
 
 def deduped(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **limits: int) -> DataFrame:
@@ -184,8 +184,9 @@ def deduped(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     def text(t: pd.Series, keep: pd.Series) -> pd.Series:
         return pd.Series([cut(a, b)[0] for a, b in zip(t, keep)], dtype=object)
 
-    rows = marked(docs, id_column, text_column, **limits)
-    changed = F.when(F.col("_keep").isNull(), F.col(text_column)).otherwise(text(text_column, "_keep"))
+    keep = texts.free_name("_keep", docs)
+    rows = marked(docs, keep, id_column, text_column, **limits)
+    changed = F.when(F.col(keep).isNull(), F.col(text_column)).otherwise(text(text_column, keep))
     return rows.withColumn(text_column, changed).select(*docs.columns)
 
 
@@ -224,5 +225,5 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
                 ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
             )
 
-    rows = marked(table(spark, folder, "documents").select("doc_id", "text"))
+    rows = marked(table(spark, folder, "documents").select("doc_id", "text"), "_keep")
     return rows.select("doc_id", "text", "_keep").mapInArrow(digest, "doc_id BIGINT, n_lines BIGINT, n_dropped BIGINT, kept_sha256 STRING")

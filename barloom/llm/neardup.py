@@ -299,8 +299,9 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
 def without_copies(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", percent: int = 80) -> DataFrame:
     """The document with the smallest id of each group of near duplicates, all columns as they came."""
     stay = near_duplicates(docs, id_column=id_column, text_column=text_column, percent=percent).filter("kept")
-    stay = stay.select(F.col(id_column).alias("_stays")).distinct()
-    return docs.join(stay, docs[id_column].eqNullSafe(F.col("_stays")), "left_semi")
+    name = texts.free_name("_stays", docs)
+    stay = stay.select(F.col(id_column).alias(name)).distinct()
+    return docs.join(stay, docs[id_column].eqNullSafe(F.col(name)), "left_semi")
 
 
 SQL = r"""

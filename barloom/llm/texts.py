@@ -5,6 +5,7 @@ The functions work on chunks of about 1 MB of text, taken straight from Arrow bu
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -125,10 +126,16 @@ def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray) -> Words:
     return Words(starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets))
 
 
+#: Parts of more bytes are digested. Shorter ones have polynomial hashes, whose structured collisions begin at 512 bytes.
+LONG = 64
+
+
 class Rolling:
-    """Hashes of any parts of a byte array from one table of prefix sums; equal bytes have equal hashes in every process.
+    """Hashes of any parts of a byte array; equal bytes have equal hashes in every process.
 
-    `which` selects one of two independent hash functions; both together are 128 bits.
+    Short parts come from one table of prefix sums, parts of more than LONG bytes from a BLAKE2b digest of 128 bits: a polynomial
+    modulo 2^64 has equal values for long strings that alternate by certain rules, whatever its base. `which` selects one of two hash
+    functions; for parts beyond LONG these are the halves of the digest.
     """
 
     def __init__(self, data: np.ndarray, lower: bool, which: int = 0) -> None:
@@ -136,10 +143,31 @@ class Rolling:
         with np.errstate(over="ignore"):
             self.sums = np.concatenate([np.zeros(1, U64), np.cumsum(byte_values(lower, which)[data] * _powers(_grown(n), base)[:n], dtype=U64)])
         self.back = _powers(_grown(n), pow(base, -1, 1 << 64))
+        self.data, self.lower, self.which = data, lower, which
 
     def parts(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return mix((self.sums[ends] - self.sums[starts]) * self.back[starts] + (ends - starts).astype(U64) * U64(0x9E3779B97F4A7C15))
+            out = mix((self.sums[ends] - self.sums[starts]) * self.back[starts] + (ends - starts).astype(U64) * U64(0x9E3779B97F4A7C15))
+        long = np.flatnonzero(ends - starts > LONG)
+        if len(long):
+            out[long] = digests(self.data, starts[long], ends[long], self.lower)[:, self.which]
+        return out
+
+
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+    """BLAKE2b digests of parts, as two 64-bit numbers each; A-Z count as a-z if `lower`."""
+    raw = data.tobytes()
+    raw = raw.lower() if lower else raw
+    found = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist()))
+    return np.frombuffer(found, "<u8").reshape(-1, 2) if found else np.empty((0, 2), U64)
+
+
+def free_name(wanted: str, *frames: object) -> str:
+    """A name for a helper column that none of the tables has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

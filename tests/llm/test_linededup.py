@@ -14,7 +14,7 @@ def test_equal_to_plain_python(spark):
     rng = random.Random(5)
     docs = [(i, "\n".join(rng.choice(LINES) for _ in range(rng.randrange(8)))) for i in range(120)]
     docs += [(200 + i, t) for i, t in enumerate(ODD)] + [(None, LINES[0]), (119, LINES[1]), (119, LINES[1])]
-    frame = spark.createDataFrame([(i, t, "x", "y") for i, t in docs], "doc_id BIGINT, text STRING, doc STRING, at STRING")
+    frame = spark.createDataFrame([(i, t, "x", "y") for i, t in docs], "doc_id BIGINT, text STRING, _row STRING, _keep STRING")
     got = linededup.deduped(frame)
     assert got.columns == frame.columns
     assert sorted((repr(r["doc_id"]), r["text"] or "") for r in got.collect()) == sorted((repr(i), t) for i, t, _, _ in line_dedup(docs))
@@ -22,7 +22,7 @@ def test_equal_to_plain_python(spark):
 
 def test_a_line_that_all_documents_share(spark):
     docs = spark.range(3000).selectExpr("id AS doc_id", "'the very same line in all documents\nown ' || id AS text")
-    got = linededup.marked(docs)
+    got = linededup.marked(docs, "_keep")
     assert got.filter("_keep IS NULL").select("doc_id").collect() == [(2999,)]
     assert linededup.deduped(docs.limit(0)).count() == 0
 
@@ -54,3 +54,10 @@ def test_stream_does_not_depend_on_batches_or_partitions():
             if sum(r["n"] for r in mine) >= 3:
                 dropped += [(key, r["doc"]) for r in mine if r["doc"] != best and r["at"]]
         assert sorted(dropped) == want, (cuts, size)
+
+
+def test_lines_that_a_polynomial_hash_confuses(spark):
+    a = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    rows = [(1, a), (2, a), (3, a.translate(str.maketrans("ab", "ba")))]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id BIGINT, text STRING, _doc INT")
+    assert sorted(r[:2] for r in linededup.deduped(docs).collect()) == rows

@@ -111,3 +111,13 @@ def test_empty_table_and_null_ids(spark):
     assert got == {(None, None, True), (3, None, False), (4, 4, True)}
     assert {r["doc_id"] for r in neardup.without_copies(docs).collect()} == {None, 4}
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_texts_that_a_polynomial_hash_confuses(spark):
+    a = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    other = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, a), (2, a), (3, other), (4, f"{a} x y z w"), (5, f"{other} x y z w")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id BIGINT, text STRING, _stays INT")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs).collect()}
+    assert got == near_duplicates(rows, 85)
+    assert sorted(r["doc_id"] for r in neardup.without_copies(docs).collect()) == [1, 3, 4, 5]

@@ -35,3 +35,12 @@ def test_policies_and_ablation_follow_the_bits(spark):
     found = {r["rule"]: (r["n_failed"], r["n_only"]) for r in quality.ablation(rows, "v1").collect()}
     assert found["few_words"] == (2, 1) and found["repeated_windows"] == (1, 1) and found["long_words"] == (1, 0)
     assert quality.mask(quality.RULES) == 63 and list(quality.rules()) == quality.RULES
+
+
+def test_lines_and_words_that_a_polynomial_hash_confuses(spark):
+    a = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    other = a.translate(str.maketrans("ab", "ba"))
+    text = "\n".join([a, other, f"{a} w x y z", f"{other} w x y z"])
+    docs = spark.createDataFrame([(1, text)], "doc_id BIGINT, text STRING")
+    row = quality.measure(docs).first().asDict()
+    assert {k: row[k] for k in measures(text)} == measures(text) and row["n_dup_lines"] == 0

@@ -4,14 +4,15 @@ Words are runs of letters and digits in lower case. A seed reads a window of wor
 at its gaps, so a substituted word does not hide a leak. Seed hashes of documents and of benchmark items are joined; a hit
 fixes how a document and an item are laid against each other. Each such alignment is then verified word by word: it is a leak
 if some WINDOW words in a row (the whole item if it is shorter) agree in at least PERCENT of the places. The two masks together
-find every window of 13 words with at most two substituted ones.
+find every window of 13 words with at most two substituted ones. Shorter items have masks of their own (`masks_for`), read only where
+the benchmark has items of that length: every substitution that the rule allows leaves one of them whole.
 
 Seeds of the benchmark are broadcast up to BROADCAST_SEEDS rows (counted before), beyond that they are joined by shuffle.
 Hits are aggregated where they arise, so an item that very many documents contain costs one row for each document.
 
-Null and empty texts hold no words and leak nothing; items of fewer than LEAST_WORDS words say too little and are left out.
+Null and empty texts hold no words and leak nothing.
 Repeated documents are reported alike, repeated items count once. Rows with a null id are found but a null id cannot name
-them: they keep a null in the result. Empty tables give an empty result. Extra columns pass through `clean`.
+them: they keep a null in the result. Empty tables give an empty result. Extra columns of any name pass through `clean`.
 """
 
 from __future__ import annotations
@@ -23,14 +24,23 @@ from pyspark.sql import functions as F
 
 from barloom.llm.registry import query, table
 from barloom.llm.scratch import kept
+from barloom.llm.texts import free_name
 
 MASKS = ("101111", "111011")
 WINDOW = 13
 PERCENT = 80
-LEAST_WORDS = 8
 BROADCAST_SEEDS = 1_000_000  # about 30 MB
 
 
+def masks_for(words: int, masks: tuple[str, ...] = MASKS, window: int = WINDOW) -> tuple[str, ...]:
+    """The masks for an item of so many words."""
+    if words <= 4:
+        return ("1" * words,)
+    if words < 8:  # one substitution at most
+        return tuple("1" * k + "0" + "1" * (words - 1 - k) for k in range(words))
+    return (*masks, "1111") if 10 <= words < window else masks
+
+
 def word_hashes(text: Column) -> Column:
     words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
     return F.transform(words, lambda w: F.xxhash64(w))
@@ -63,9 +73,16 @@ def leaks(
     item_text: str = "text", masks: tuple[str, ...] = MASKS, window: int = WINDOW, percent: int = PERCENT,
 ) -> DataFrame:
     """Columns id, row (hash of the text), item, start, n_matched, n_words: the best alignment of each document and item."""
-    items = benchmark.select(F.col(item_column).alias("item"), word_hashes(F.col(item_text)).alias("ih")).filter(F.size("ih") >= LEAST_WORDS)
+    items = benchmark.select(F.col(item_column).alias("item"), word_hashes(F.col(item_text)).alias("ih")).filter(F.size("ih") > 0)
     items = kept(items.dropDuplicates(["item", "ih"]), "items")
-    ours = kept(seeded(items.withColumn("item_row", F.xxhash64("ih")), ["item", "item_row"], "ih", masks), "seeds")
+    length = F.least(F.size("ih"), F.lit(window))
+    by_masks: dict[tuple[str, ...], list[int]] = {masks: []}
+    for (n,) in sorted(items.select(length).distinct().collect()):  # `window` numbers at most
+        by_masks.setdefault(masks_for(n, masks, window), []).append(n)
+    known = items.withColumn("item_row", F.xxhash64("ih"))
+    each = [seeded(known.filter(length.isin(ns)), ["item", "item_row"], "ih", ms) for ms, ns in by_masks.items()]
+    ours = kept(reduce(DataFrame.unionByName, each), "seeds")
+    masks = tuple(dict.fromkeys(m for ms in by_masks for m in ms))
     small = ours.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
     own = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).withColumn("row", F.xxhash64("text"))
     theirs = seeded(own.select("id", "row", word_hashes(F.col("text")).alias("h")), ["id", "row"], "h", masks)
@@ -93,30 +110,27 @@ def leaks(
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents that hold no benchmark passage, all columns as they came."""
-    bad = leaks(docs, benchmark, id_column=id_column, text_column=text_column).select(F.col("id").alias("_id"), F.col("row").alias("_row")).distinct()
-    match = (F.xxhash64(docs[text_column]) == F.col("_row")) & docs[id_column].eqNullSafe(F.col("_id"))
+    key, row = free_name("_id", docs), free_name("_row", docs)
+    bad = leaks(docs, benchmark, id_column=id_column, text_column=text_column).select(F.col("id").alias(key), F.col("row").alias(row)).distinct()
+    match = (F.xxhash64(docs[text_column]) == F.col(row)) & docs[id_column].eqNullSafe(F.col(key))
     return docs.join(bad, match, "left_anti")
 
 
 def _sql() -> str:
-    def fits(mask: str) -> str:
-        wanted = ", ".join(f"p + {k}" for k, c in enumerate(mask) if c == "1")
-        return f"len(list_filter(range(0, n_words - {len(mask)} + 1), lambda p: list_has_all(ps, [{wanted}]))) > 0"
-
-    seeded_by = reduce(lambda a, b: f"{a} OR {b}", [fits(m) for m in MASKS])
     return rf"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS ws FROM documents
 ), b AS (
   SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS ws FROM benchmark
 ), x AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM d
-), y AS (SELECT item_id, unnest(ws) AS w, unnest(range(len(ws))) AS p, len(ws) AS n_words FROM b WHERE len(ws) >= {LEAST_WORDS}
+), y AS (SELECT item_id, unnest(ws) AS w, unnest(range(len(ws))) AS p, len(ws) AS n_words FROM b
 ), a AS (
-  SELECT doc_id, item_id, n_words, x.p - y.p AS start, list(y.p) AS ps FROM x JOIN y USING (w) GROUP BY ALL HAVING count(*) >= 6
+  SELECT doc_id, item_id, n_words, x.p - y.p AS start, list(y.p) AS ps FROM x JOIN y USING (w) GROUP BY ALL
+  HAVING count(*) * 100 >= least(n_words, {WINDOW}) * {PERCENT}
 ), v AS (
   SELECT *, list_max(list_transform(range(0, greatest(n_words - {WINDOW}, 0) + 1),
            lambda i: len(list_filter(ps, lambda q: q >= i AND q < i + {WINDOW})))) AS best
-  FROM a WHERE {seeded_by}
+  FROM a
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY len(ps) DESC, start) AS k
   FROM v WHERE best * 100 >= least(n_words, {WINDOW}) * {PERCENT}

@@ -75,20 +75,19 @@ def bench_words(text: str | None) -> list[str]:
     return [w for w in re.split(r"[^\w]|_", (text or "").lower()) if w]
 
 
-def leaks(docs: list[tuple[int, str | None]], items: list[tuple[int, str]], masks: tuple[str, ...]) -> set[tuple[int, int]]:
+def leaks(docs: list[tuple[int, str | None]], items: list[tuple[int, str]]) -> set[tuple[int, int]]:
     out = set()
     for i, t in docs:
         ws = bench_words(t)
         for k, item in items:
             b = bench_words(item)
-            if len(b) < 8:
+            if not b:
                 continue
             for start in range(-len(b), len(ws)):
                 same = [0 <= start + p < len(ws) and ws[start + p] == w for p, w in enumerate(b)]
-                seeded = any(all(same[p + q] for q, c in enumerate(m) if c == "1") for m in masks for p in range(len(b) - len(m) + 1))
                 width = min(13, len(b))
                 best = max(sum(same[p : p + width]) for p in range(len(b) - width + 1))
-                if seeded and 100 * best >= 80 * width:
+                if 100 * best >= 80 * width:
                     out.add((i, k))
     return out
 

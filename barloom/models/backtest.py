@@ -49,21 +49,21 @@ def backtest(
     step = design.step_seconds
 
     forecasts = []
-    if "arimax" in models or "var" in models:
-        sums, ends, size = linear.lagged_sums(rows, chosen, windows, linear.ARMA_LAGS, folds)
-        sums, ends = written(sums, "lagged-sums"), ends.join(selected, keys, "left")
-        if "arimax" in models:
-            fitted = linear.arimax_fit(sums, ends, chosen, size)
-            forecasts.append(linear.arimax_forecast(fitted, tests, chosen).drop("ts"))
-        if "var" in models:
-            forecasts.append(linear.var_forecast(sums, ends, chosen, size, limit=var_limit, steps=folds.test))
+    lagged = [m for m in models if m != "additive"]
+    if lagged:
+        lags = max(linear.ARMA_LAGS, sequence_steps if "sequence" in lagged else 0)
+        sums, ends = linear.lagged_sums(rows, chosen, windows, lags, folds, validation="sequence" in lagged)
+        sums, ends = written(sums, "lagged-sums"), written(ends.join(selected, keys, "left"), "window-ends")
+    if "arimax" in models:
+        forecasts.append(linear.arimax_forecast(linear.arimax_fit(sums, ends, chosen), tests, chosen).drop("ts"))
+    if "var" in models:
+        forecasts.append(linear.var_forecast(linear.var_fit(sums, ends, chosen, limit=var_limit), chosen, steps=folds.test))
     if "additive" in models:
         fitted = additive.additive_fit(rows, chosen, windows, folds, selected)
         forecasts.append(additive.additive_forecast(fitted, tests, chosen, selected=True).drop("ts"))
     if "sequence" in models:
-        sums, size = linear.sequence_sums(rows, chosen, windows, sequence_steps, folds)
-        state = linear.window_scalers(rows, chosen, windows, folds).join(selected, keys, "left")
-        fitted = linear.sequence_fit(sums, state, chosen, size, sequence_steps)
+        scalers = linear.window_scalers(rows, chosen, windows, folds)
+        fitted = linear.sequence_fit(sums, ends.join(scalers, keys), chosen, sequence_steps)
         sequences = folds.tests(linear.feature_sequences(rows, chosen, sequence_steps, by=by), windows, by)
         forecasts.append(linear.sequence_forecast(fitted, sequences, chosen).drop("ts"))
 

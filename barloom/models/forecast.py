@@ -42,20 +42,17 @@ class Forecaster:
         return linear.lagged_sums(self.rows, self.design, self.windows, linear.ARMA_LAGS, Whole(1))
 
     def arimax_models(self) -> DataFrame:
-        sums, ends, size = self._sums()
-        return linear.arimax_fit(sums, ends, self.design, size)
+        return linear.arimax_fit(*self._sums(), self.design)
 
     def arimax(self) -> DataFrame:
         return linear.arimax_forecast(self.arimax_models(), self.future(), self.design)
 
     def var_models(self) -> DataFrame:
-        sums, ends, size = self._sums()
-        return linear.var_fit(sums, ends, self.design, size, limit=self.horizon.predict_var_columns)
+        return linear.var_fit(*self._sums(), self.design, limit=self.horizon.predict_var_columns)
 
     def var(self) -> DataFrame:
-        sums, ends, size = self._sums()
-        path = linear.var_forecast(sums, ends, self.design, size, limit=self.horizon.predict_var_columns, steps=self.horizon.steps)
-        last = ends.select(*self.by, "fold", F.col("ts").alias("_last"))
+        path = linear.var_forecast(self.var_models(), self.design, steps=self.horizon.steps)
+        last = self.rows.groupBy(*self.by).agg(F.max("ts").alias("_last")).withColumn("fold", F.lit(0))
         seconds = (F.col("k") * self.horizon.step_seconds).cast("int")
         return path.join(last, [*self.by, "fold"]).withColumn("ts", F.timestamp_add("SECOND", seconds, F.col("_last"))).drop("_last")
 
@@ -66,9 +63,9 @@ class Forecaster:
         return additive.additive_forecast(self.additive_models(), self.future(), self.design)
 
     def sequence_models(self, steps: int) -> DataFrame:
-        sums, size = linear.sequence_sums(self.rows, self.design, self.windows, steps, FIFTHS)
-        state = linear.window_scalers(self.rows, self.design, self.windows, Whole(1))
-        return linear.sequence_fit(sums, state, self.design, size, steps)
+        sums, ends = linear.lagged_sums(self.rows, self.design, self.windows, steps, FIFTHS, validation=True)
+        scalers = linear.window_scalers(self.rows, self.design, self.windows, Whole(1))
+        return linear.sequence_fit(sums, ends.join(scalers, [*self.by, "fold"]), self.design, steps)
 
     def sequence(self, steps: int) -> DataFrame:
         """The windows of all steps hold known rows and future regressors only, so one pass scores them all."""

@@ -12,9 +12,9 @@ from pyspark.sql import types as T
 
 from barloom.functions.columns import columns_with
 from barloom.models.design import Design
-from barloom.models.gram import dot, finite_or_none, gram, lag_vectors, matrix, per_window, running_gram, solve
-from barloom.models.windows import END, VALID, Cutter, pick
-from barloom.operators.blocks import POS
+from barloom.models.gram import dot, finite_or_none, lag_vectors, per_window, solve
+from barloom.models.lagsums import lagged_sums, last_vector, window_gram
+from barloom.models.windows import END, VALID, Cutter
 
 LONG_AR = 5  # order of the autoregression that stands in for the unseen errors
 PHI_BOUND = 0.999  # largest size of the first error coefficient
@@ -23,23 +23,6 @@ VAR_MAX_LAGS = 5
 RIDGES = [1e-8, 1e-6, 1e-4, 1e-3, 1e-2, 1e-1, 1.0]
 
 
-def window_ends(rows: DataFrame, windows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The last row of each training window: (by, fold, train_rows, v)."""
-    return rows.join(windows.withColumnRenamed("train_rows", POS), [*by, POS]).withColumnRenamed(POS, "train_rows")
-
-
-def lagged_sums(
-    rows: DataFrame, design: Design, windows: DataFrame, lags: int, cutter: Cutter
-) -> tuple[DataFrame, DataFrame, int]:
-    """Sums of products of lagged rows over each window, the windows' last rows, and the size."""
-    by = list(design.by)
-    size = 1 + (lags + 1) * len(design.columns)
-    lagged = lag_vectors(rows, design.columns, lags, by=by, step_seconds=design.step_seconds)
-    sums = gram(cutter.cut(lagged, windows, by).select(*by, "piece", "v"), [*by, "piece"], size)
-    places = cutter.places(windows, by).filter(F.col("slot") == END)
-    return pick(running_gram(sums, by), places, by), window_ends(lagged, windows, by), size
-
-
 class Layout:
     """Where a column sits in a lag vector."""
 
@@ -101,8 +84,11 @@ def arma_regression(g: np.ndarray, last: np.ndarray, layout: Layout, target: str
     }
 
 
-def arimax_fit(sums: DataFrame, ends: DataFrame, design: Design, size: int) -> DataFrame:
-    """(by, fold, target, coef, phi, theta, u_last, e_last, n, train_rows) for every window and target."""
+def arimax_fit(sums: DataFrame, ends: DataFrame, design: Design) -> DataFrame:
+    """(by, fold, target, coef, phi, theta, u_last, e_last, n, train_rows) for every window and target.
+
+    `sums` and `ends` come from `lagged_sums` with ARMA_LAGS or more, `ends` maybe with `selected`.
+    """
     keys = [*design.by, "fold"]
     layout = Layout(design, ARMA_LAGS)
     fields = _key_fields(ends, keys) + [
@@ -113,9 +99,9 @@ def arimax_fit(sums: DataFrame, ends: DataFrame, design: Design, size: int) -> D
     schema = T.StructType(fields)
 
     def fit(pdf: pd.DataFrame, end: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty or end.empty:
+        if pdf.empty or end.empty or end["train_rows"].iloc[0] <= ARMA_LAGS:
             return pd.DataFrame(columns=schema.names)
-        g, last = matrix(pdf, size), np.asarray(end["v"].iloc[0])
+        g, last = window_gram(pdf, end, ARMA_LAGS), last_vector(end, len(design.columns), ARMA_LAGS)
         features = _features_of(end, design)
         fitted = [arma_regression(g, last, layout, t, features) for t in design.targets]
         head = {k: end[k].iloc[0] for k in [*keys, "train_rows"]}
@@ -165,85 +151,71 @@ def _var_of_window(g, end, design, layout, target, limit) -> tuple[list[str], in
     return names, order, b
 
 
-def var_fit(sums: DataFrame, ends: DataFrame, design: Design, size: int, *, limit: int) -> DataFrame:
-    """(by, fold, target, lag_order, columns, coef): one equation system per window and target."""
+def var_fit(sums: DataFrame, ends: DataFrame, design: Design, *, limit: int) -> DataFrame:
+    """(by, fold, target, lag_order, columns, coef, system, history): one equation system per window and target.
+
+    `coef` is the target's own equation, `system` all equations side by side, `history` the window's last rows, newest first.
+    """
     keys = [*design.by, "fold"]
     layout = Layout(design, ARMA_LAGS)
+    doubles = T.ArrayType(T.DoubleType())
     schema = T.StructType(
         _key_fields(ends, keys)
         + [T.StructField("target", T.StringType()), T.StructField("lag_order", T.IntegerType()),
-           T.StructField("columns", T.ArrayType(T.StringType())), T.StructField("coef", T.ArrayType(T.DoubleType()))]
+           T.StructField("columns", T.ArrayType(T.StringType())), T.StructField("coef", doubles),
+           T.StructField("system", doubles), T.StructField("history", doubles)]
     )
 
     def fit(pdf: pd.DataFrame, end: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty or end.empty:
+        if pdf.empty or end.empty or end["train_rows"].iloc[0] <= ARMA_LAGS:
             return pd.DataFrame(columns=schema.names)
-        g = matrix(pdf, size)
+        g, last = window_gram(pdf, end, ARMA_LAGS), last_vector(end, len(design.columns), ARMA_LAGS)
         head = {k: end[k].iloc[0] for k in keys}
         out = []
         for t in design.targets:
             names, order, b = _var_of_window(g, end, design, layout, t, limit)
-            out.append(head | {"target": t, "lag_order": order, "columns": names, "coef": b[:, 0].tolist()})
+            history = np.concatenate([last[layout.many(names, lag)] for lag in range(order)])
+            out.append(head | {
+                "target": t, "lag_order": order, "columns": names, "coef": b[:, 0].tolist(), "system": b.ravel().tolist(), "history": history.tolist()
+            })
         return pd.DataFrame(out)[schema.names]
 
     return per_window(sums, ends, keys, fit, schema)
 
 
-def var_forecast(sums: DataFrame, ends: DataFrame, design: Design, size: int, *, limit: int, steps: int) -> DataFrame:
-    """(by, fold, model, target, k, yhat): the system run forward from the window's last rows."""
+def var_forecast(models: DataFrame, design: Design, *, steps: int) -> DataFrame:
+    """(by, fold, model, target, k, yhat): the stored systems run forward from their windows' last rows."""
     keys = [*design.by, "fold"]
-    layout = Layout(design, ARMA_LAGS)
     schema = T.StructType(
-        _key_fields(ends, keys)
+        _key_fields(models, keys)
         + [T.StructField("model", T.StringType()), T.StructField("target", T.StringType()),
            T.StructField("k", T.LongType()), T.StructField("yhat", T.DoubleType())]
     )
 
-    def run(pdf: pd.DataFrame, end: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty or end.empty:
-            return pd.DataFrame(columns=schema.names)
-        g, last = matrix(pdf, size), np.asarray(end["v"].iloc[0])
+    def path(row) -> list[float | None]:
+        order, k = row.lag_order, len(row.columns)
+        b = np.asarray(row.system).reshape(-1, k)
+        history = list(np.asarray(row.history).reshape(order, k))
         out = []
-        for t in design.targets:
-            names, order, b = _var_of_window(g, end, design, layout, t, limit)
-            history = [last[layout.many(names, lag)] for lag in range(order)]  # newest first
-            for k in range(1, steps + 1):
-                with np.errstate(all="ignore"):
-                    value = b[0] + np.concatenate(history) @ b[1:]
-                history = [value, *history[:-1]]
-                out.append(("var", t, k, finite_or_none(value[0])))
-        table = pd.DataFrame(out, columns=["model", "target", "k", "yhat"])
-        for name in keys:
-            table[name] = end[name].iloc[0]
-        return table[schema.names]
+        for _ in range(steps):
+            with np.errstate(all="ignore"):
+                value = b[0] + np.concatenate(history) @ b[1:]
+            history = [value, *history[:-1]]
+            out.append(finite_or_none(value[0]))
+        return out
 
-    return per_window(sums, ends, keys, run, schema)
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                table = pd.DataFrame({"model": "var", "target": row.target, "k": range(1, steps + 1), "yhat": path(row)})
+                for name in keys:
+                    table[name] = getattr(row, name)
+                yield table[schema.names]
 
-
-# --- regression on sequences ----------------------------------------------------------------------------------------
+    return models.select(*keys, "target", "lag_order", "columns", "system", "history").mapInPandas(run, schema)
 
 
-class SequenceLayout(Layout):
-    """Where a column sits in the vector [1, features `lags` back, ..., features of the row before, targets]."""
-
-    def at(self, column: str, lag: int) -> int:
-        features, targets = self.design.features, self.design.targets
-        if lag == 0:
-            return 1 + self.lags * len(features) + targets.index(column)
-        return 1 + (self.lags - lag) * len(features) + features.index(column)
-
-
-def sequence_sums(
-    rows: DataFrame, design: Design, windows: DataFrame, steps: int, cutter: Cutter
-) -> tuple[DataFrame, int]:
-    """Sums of products of targets and feature sequences at the end and the validation start of each window."""
-    by, targets = list(design.by), list(design.targets)
-    sequences = feature_sequences(rows, design, steps, by=by, keep=targets)
-    vector = F.concat(F.array(F.lit(1.0)), F.col("v"), F.array(*[F.col(t).cast("double") for t in targets]))
-    size = 1 + steps * len(design.features) + len(targets)
-    sums = gram(cutter.cut(sequences.withColumn("v", vector), windows, by).select(*by, "piece", "v"), [*by, "piece"], size)
-    places = cutter.places(windows, by).filter(F.col("slot").isin(END, VALID))
-    return pick(running_gram(sums, by), places, by), size
+# --- regression on sequences ----------------------------------------------------------------------------------------
 
 
 def sequence_regression(
@@ -269,17 +241,38 @@ def sequence_regression(
     whole, train = scaled(end_sums), scaled(valid_from)
     valid = whole - train
     nx = len(x)
-    weights = np.ones(nx)
-    weights[0] = 0.0  # the intercept is free
+    on_train, on_whole = _ridge_path(train, nx), _ridge_path(whole, nx)
     losses = []
     for ridge in RIDGES:
-        b = solve(train[:nx, :nx], train[:nx, nx:], ridge=ridge * weights)
+        b = on_train(ridge)
         losses.append(np.diag(valid[nx:, nx:] - 2 * b.T @ valid[:nx, nx:] + b.T @ valid[:nx, :nx] @ b))
     chosen = [RIDGES[i] for i in np.argmin(np.stack(losses), axis=0)]
-    fits = {r: solve(whole[:nx, :nx], whole[:nx, nx:], ridge=r * weights) for r in set(chosen)}
+    fits = {r: on_whole(r) for r in set(chosen)}
     return np.column_stack([fits[r][:, i] for i, r in enumerate(chosen)]), chosen
 
 
+def _ridge_path(g: np.ndarray, nx: int):
+    """Ridge solutions of one table of sums for any strength, from one decomposition.
+
+    The intercept, the first of `nx` columns, is free: it is taken out by centring. Strengths count against columns scaled to size one.
+    """
+    n = max(g[0, 0], 1e-300)
+    size = np.sqrt(np.clip(np.diag(g)[1:nx], 1e-300, None))
+    mean = g[0] / n
+    centred = (g - np.outer(g[0], mean))[1:, 1:]
+    values, basis = np.linalg.eigh(centred[: nx - 1, : nx - 1] / np.outer(size, size))
+    inner = basis.T @ (centred[: nx - 1, nx - 1 :] / size[:, None])
+    floor = max(values.max(initial=0.0), 0.0) * 1e-11
+
+    def fitted(ridge: float) -> np.ndarray:
+        damped = values + ridge
+        use = damped > floor
+        slopes = (basis[:, use] @ (inner[use] / damped[use][:, None])) / size[:, None]
+        return np.vstack([mean[nx:] - mean[1:nx] @ slopes, slopes])
+
+    return fitted
+
+
 def window_scalers(rows: DataFrame, design: Design, windows: DataFrame, cutter: Cutter) -> DataFrame:
     """(by, fold, low, high): smallest and largest value of every column in each training window."""
     by = list(design.by)
@@ -297,13 +290,14 @@ def window_scalers(rows: DataFrame, design: Design, windows: DataFrame, cutter:
     return ends.join(running, [*by, "piece"]).select(*by, "fold", "low", "high")
 
 
-def sequence_fit(sums: DataFrame, state: DataFrame, design: Design, size: int, steps: int) -> DataFrame:
+def sequence_fit(sums: DataFrame, state: DataFrame, design: Design, steps: int) -> DataFrame:
     """(by, fold, target, intercept, coef, ridge): coefficients on raw values, oldest row of the sequence first.
 
-    `sums` holds the places END and VALID; `state` has one row per window with `low`, `high` and maybe `selected`.
+    `sums` and `state` come from `lagged_sums` with `steps` lags or more and validation; `state` also has `low`, `high` and maybe
+    `selected`.
     """
     keys = [*design.by, "fold"]
-    layout = SequenceLayout(design, steps)
+    layout = Layout(design, steps)
     schema = T.StructType(
         _key_fields(state, keys)
         + [T.StructField("target", T.StringType()), T.StructField("intercept", T.DoubleType()),
@@ -311,9 +305,9 @@ def sequence_fit(sums: DataFrame, state: DataFrame, design: Design, size: int, s
     )
 
     def fit(pdf: pd.DataFrame, one: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty or one.empty:
+        if pdf.empty or one.empty or one["train_rows"].iloc[0] <= steps:
             return pd.DataFrame(columns=schema.names)
-        whole, train = (matrix(pdf[pdf["slot"] == s], size) for s in (END, VALID))
+        whole, train = (window_gram(pdf, one, steps, s) for s in (END, VALID))
         low, high = (np.asarray(one[c].iloc[0], dtype=float) for c in ("low", "high"))
         span = np.where(high == low, 1.0, high - low)
         features = _features_of(one, design)

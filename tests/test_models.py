@@ -78,8 +78,8 @@ def test_arimax_equals_three_regressions(spark):
     data = simulate()
     rows = frame(spark, data)
     windows = Whole().windows(rows, ["symbol"])
-    sums, ends, size = linear.lagged_sums(rows, DESIGN, windows, linear.ARMA_LAGS, Whole(1))
-    fit = {r["target"]: r for r in linear.arimax_fit(sums, ends, DESIGN, size).collect()}["close"]
+    sums, ends = linear.lagged_sums(rows, DESIGN, windows, linear.ARMA_LAGS, Whole(1))
+    fit = {r["target"]: r for r in linear.arimax_fit(sums, ends, DESIGN).collect()}["close"]
     b, phi, theta, u, e = brute_arma(data, N)
     np.testing.assert_allclose(fit["coef"], b, rtol=1e-6)
     np.testing.assert_allclose([fit["phi"], fit["theta"], fit["u_last"], fit["e_last"]], [phi, theta, u, e], rtol=1e-5)
@@ -97,14 +97,15 @@ def test_var_picks_order_and_equals_regression(spark):
     design = Design(("close",), ("x1_close",), HOUR, ("symbol",))
     rows = frame(spark, data)
     windows = Whole().windows(rows, ["symbol"])
-    sums, ends, size = linear.lagged_sums(rows, design, windows, linear.ARMA_LAGS, Whole(1))
-    fit = linear.var_fit(sums, ends, design, size, limit=20).collect()[0]
+    sums, ends = linear.lagged_sums(rows, design, windows, linear.ARMA_LAGS, Whole(1))
+    models = linear.var_fit(sums, ends, design, limit=20)
+    fit = models.collect()[0]
     assert fit["lag_order"] == 2 and fit["columns"] == ["close", "x1_close"]
     k = linear.ARMA_LAGS
     z = np.column_stack([np.ones(n - k), *[a[k - j : n - j] for j in (1, 2)]])
     b = np.linalg.lstsq(z, a[k:], rcond=None)[0]
     np.testing.assert_allclose(fit["coef"], b[:, 0], rtol=1e-6)
-    path = linear.var_forecast(sums, ends, design, size, limit=20, steps=3).orderBy("k").collect()
+    path = linear.var_forecast(models, design, steps=3).orderBy("k").collect()
     state = [a[-1], a[-2]]
     for row in path:
         value = b[0] + np.concatenate(state) @ b[1:]
@@ -176,9 +177,9 @@ def test_sequence_regression_equals_ridge_on_sequences(spark):
     rows = frame(spark, data)
     cutter = Whole(5)
     windows = cutter.windows(rows, ["symbol"])
-    sums, size = linear.sequence_sums(rows, DESIGN, windows, steps, cutter)
-    state = linear.window_scalers(rows, DESIGN, windows, cutter)
-    models = linear.sequence_fit(sums, state, DESIGN, size, steps)
+    sums, ends = linear.lagged_sums(rows, DESIGN, windows, steps, cutter, validation=True)
+    scalers = linear.window_scalers(rows, DESIGN, windows, cutter)
+    models = linear.sequence_fit(sums, ends.join(scalers, ["symbol", "fold"]), DESIGN, steps)
     sequences = linear.feature_sequences(rows, DESIGN, steps, by=["symbol"]).withColumn("fold", F.lit(0)).withColumn("k", F.col("_pos"))
     got = linear.sequence_forecast(models, sequences, DESIGN).filter("target = 'close'").orderBy("k").collect()
     np.testing.assert_allclose([r["yhat"] for r in got], data["close"][steps:], atol=1e-3)

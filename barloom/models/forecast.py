@@ -20,15 +20,23 @@ FIFTHS = Whole(5)  # the last fifth of a series validates
 class Forecaster:
     """The four models over one training table; every one of them reads it once."""
 
-    def __init__(self, rows: DataFrame, design: Design, horizon: Horizon) -> None:
+    selects = False  # whether the additive model had features selected for each series
+
+    def __init__(self, rows: DataFrame, design: Design, horizon: Horizon, future: DataFrame | None = None) -> None:
         self.design, self.horizon = design, horizon
         self.by = list(design.by)
         self.rows = written(rows, "training")
         self.whole = Whole()
         self.windows = self.whole.windows(self.rows, self.by)
+        self._future = future
 
     def future(self) -> DataFrame:
-        """(by, fold, ts, k, _pos, features) for the horizon's steps."""
+        """(by, fold, ts, k, _pos, features) for the horizon's steps, written once for all models."""
+        if self._future is None:
+            self._future = written(self._build_future(), "future")
+        return self._future
+
+    def _build_future(self) -> DataFrame:
         features = list(self.design.features)
         long = future_regressors(self.rows, features, self.horizon, by=self.by)
         wide = future_frame(long, features, by=self.by, hours=False).withColumnRenamed("step", "k")
@@ -60,7 +68,10 @@ class Forecaster:
         return additive.additive_fit(self.rows, self.design, self.windows, self.whole)
 
     def additive(self) -> DataFrame:
-        return additive.additive_forecast(self.additive_models(), self.future(), self.design)
+        return additive.additive_forecast(self.additive_models(), self.trend_rows(), self.design, selected=self.selects)
+
+    def trend_rows(self) -> DataFrame:
+        return self.future()
 
     def sequence_models(self, steps: int) -> DataFrame:
         sums, ends = linear.lagged_sums(self.rows, self.design, self.windows, steps, FIFTHS, validation=True)

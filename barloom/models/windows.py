@@ -86,6 +86,13 @@ class Folds:
         return tests.join(windows.select(*by, "fold"), [*by, "fold"], "left_semi")
 
 
+def _sized(rows: DataFrame, windows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows with the `train_rows` of their series."""
+    if by:
+        return rows.join(windows.select(*by, "train_rows"), list(by))
+    return rows.withColumn("train_rows", windows.select("train_rows").scalar())
+
+
 @dataclass(frozen=True)
 class Whole:
     """One window per series that holds all its rows, as fold 0; at most `pieces` pieces however long it is."""
@@ -99,12 +106,9 @@ class Whole:
         return F.least(F.lit(self.pieces), F.col("train_rows"))
 
     def cut(self, rows: DataFrame, windows: DataFrame, by: Sequence[str]) -> DataFrame:
-        if by:
-            sized = rows.join(windows.select(*by, "train_rows"), list(by))
-        else:
-            sized = rows.withColumn("train_rows", windows.select("train_rows").scalar())
         piece = F.floor((F.col(POS) - 1) * self._count() / F.col("train_rows"))
-        return sized.withColumn("piece", piece.cast("long")).drop("train_rows")
+        inside = _sized(rows, windows, by).filter(F.col(POS) <= F.col("train_rows"))
+        return inside.withColumn("piece", piece.cast("long")).drop("train_rows")
 
     def places(self, windows: DataFrame, by: Sequence[str]) -> DataFrame:
         each = F.explode(_places(self._count())).alias("s")
@@ -114,6 +118,22 @@ class Whole:
         )
 
 
+@dataclass(frozen=True)
+class Holdout(Whole):
+    """One window per series that holds the first `share` of its rows; the rest tests."""
+
+    share: float = 0.8
+
+    def windows(self, rows: DataFrame, by: Sequence[str]) -> DataFrame:
+        size = F.floor(F.max(POS) * F.lit(self.share)).cast("long")
+        return rows.groupBy(*by).agg(size.alias("train_rows")).filter("train_rows > 0").withColumn("fold", F.lit(0))
+
+    def tests(self, rows: DataFrame, windows: DataFrame, by: Sequence[str]) -> DataFrame:
+        """Held-out rows of every series with their number `k` after the training rows."""
+        sized = _sized(rows, windows, by).filter(F.col(POS) > F.col("train_rows"))
+        return sized.withColumns({"k": F.col(POS) - F.col("train_rows"), "fold": F.lit(0)}).drop("train_rows")
+
+
 Cutter = Folds | Whole
 
 

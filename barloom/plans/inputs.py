@@ -145,20 +145,20 @@ def sink_json_history(t: Tables) -> DataFrame:
     return parsed.select(F.explode(F.array(*[F.lit(p) for p in _HISTORY])).alias("period"), "symbol", "time", *PRICES)
 
 
-@query("model_store", f"""WITH {HB} SELECT 'short' AS horizon, 'naive' AS model, symbol, avg(close) AS mean, CAST(count(*) AS BIGINT) AS n FROM hb GROUP BY symbol""", doubles="mean")
-def model_store(t: Tables) -> DataFrame:
-    """A table of coefficients saved and loaded again."""
-    fitted = t.hourly().groupBy("symbol").agg(F.avg("close").alias("mean"), F.count(F.lit(1)).alias("n"))
-    table = fitted.withColumn("horizon", F.lit("short")).withColumn("model", F.lit("naive"))
-    path = store.save_models(table, work_path(t.spark, "models"))
-    return t.spark.read.parquet(path).select("horizon", "model", "symbol", "mean", "n")
+_LABELLED = "(VALUES ('short', 'arimax'), ('short', 'var'), ('short', 'additive'), ('long', 'arimax'), ('long', 'var'), ('long', 'additive')) AS m(horizon, model)"
+_ADDRESSES = {("24H", "Bayesian VAR"): "m.horizon = 'short' AND m.model = 'var'", ("6M", "all"): "m.horizon = 'long'", ("1H", "long_prophet"): "m.horizon = 'long' AND m.model = 'additive'", ("1m", "SARIMAX"): "m.horizon = 'long' AND m.model = 'arimax'"}
 
 
-@query("model_locate", f"""WITH {HB} SELECT 'short' AS horizon, 'var' AS model, symbol, max(high) AS top FROM hb GROUP BY symbol""")
+@query("model_locate", f"""WITH {HB}, tops AS (SELECT symbol, max(high) AS top FROM hb GROUP BY symbol)
+  {" UNION ALL ".join(f"SELECT '{p}' AS period, '{n}' AS label, m.horizon, m.model, symbol, top FROM tops, {_LABELLED} WHERE {where}" for (p, n), where in _ADDRESSES.items())}""")
 def model_locate(t: Tables) -> DataFrame:
-    """Forecast sets of two horizons and three models; the alias `Bayesian VAR` finds one of them."""
+    """Forecast sets of two horizons and three models, addressed by period and label: an alias, all, a label with its horizon."""
     tops = t.hourly().groupBy("symbol").agg(F.max("high").alias("top"))
-    labels = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(m).alias("model")) for h in ("short", "long") for m in ("arimax", "var", "naive")]))
+    labels = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(m).alias("model")) for h in ("short", "long") for m in ("arimax", "var", "additive")]))
     table = tops.withColumn("_l", labels).select("symbol", "top", "_l.*")
     path = store.save_models(table, work_path(t.spark, "labelled"))
-    return store.locate(t.spark, path, horizon="short", label="Bayesian VAR").select("horizon", "model", "symbol", "top")
+    found = [store.locate(t.spark, path, period=p, label=n).withColumns({"period": F.lit(p), "label": F.lit(n)}) for p, n in _ADDRESSES]
+    stacked = found[0]
+    for f in found[1:]:
+        stacked = stacked.unionByName(f)
+    return stacked.select("period", "label", "horizon", "model", "symbol", "top")

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 from barloom.config import DAY, HOUR, LONG, SHORT, Cells, Share
 from barloom.models import backtest as bt
+from barloom.models import stored
 from barloom.models.design import features_then_fill, fill_then_features, series_table, training_table
 from barloom.models.forecast import Forecaster
 from barloom.models.gram import gram, matrix, solve, vectors
 from barloom.models.windows import Folds
 from barloom.operators import metrics
 from barloom.operators.indicators import INDICATORS
+from barloom.sources import store
+from barloom.session import work_path, written
 from barloom.plans.catalog import DB, HB, HOURLY_SYMBOLS, HOURLY_TARGET, Tables, panel_sql, query
 
 SERIES_FEATURES = ["open", "volume", *INDICATORS]
@@ -82,6 +85,38 @@ def sequence_regression(t: Tables) -> DataFrame:
     return _series(t).sequence(SHORT.predict_sequence_steps)
 
 
+# --- training with hold-out, stored models --------------------------------------------------------------------------
+
+
+def _trained(t: Tables) -> tuple[DataFrame, stored.Trained]:
+    rows, design = series_table(t.hourly(), SERIES_FEATURES, step_seconds=HOUR)
+    rows = written(rows, "series")
+    return rows, stored.train(rows, design, SHORT)
+
+
+@query("holdout_evaluation")
+def holdout_evaluation(t: Tables) -> DataFrame:
+    """Errors of all models on the last fifth of each series; features are selected and models fitted on the rows before."""
+    return _trained(t)[1].result.metrics(["symbol"], step_seconds=HOUR).drop("fold")
+
+
+_MODEL_ROWS = "(SELECT DISTINCT event_type AS symbol FROM events) AS s, (VALUES ('arimax'), ('var'), ('additive'), ('sequence')) AS m(model), (VALUES ('close'), ('high_spread'), ('low_spread')) AS c(target)"
+
+
+@query("model_store", f"SELECT symbol, model, target, CAST({SHORT.steps} AS BIGINT) AS n_steps, CAST({SHORT.steps} AS BIGINT) AS n_equal FROM {_MODEL_ROWS}")
+def model_store(t: Tables) -> DataFrame:
+    """Trained models saved and loaded again: steps that the loaded ones forecast just as the fitted ones do."""
+    rows, trained = _trained(t)
+    path = store.save_models(stored.packed(trained, SHORT, "v1"), work_path(t.spark, "models"))
+    loaded = stored.StoredForecaster(rows, trained.design, SHORT, store.load_models(t.spark, path, horizon=SHORT.name))
+    fresh = stored.FittedForecaster(rows, trained, SHORT, future=loaded.future())
+    keys = ["symbol", "model", "target", "k"]
+    both = fresh.all().select(*keys, F.col("yhat").alias("a")).join(loaded.all().select(*keys, F.col("yhat").alias("b")), keys, "left")
+    return both.groupBy("symbol", "model", "target").agg(
+        F.count(F.lit(1)).alias("n_steps"), F.sum(F.col("a").eqNullSafe(F.col("b")).cast("long")).alias("n_equal")
+    )
+
+
 # --- the two orders of filling and indicators -----------------------------------------------------------------------
 
 _KEPT = ["close", "sma_20", "roc"]

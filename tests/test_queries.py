@@ -8,6 +8,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT / "tools"))
@@ -71,3 +72,22 @@ def test_forecast_job(spark, tables, tmp_path):
     got = spark.read.option("header", True).csv(f"{out}/forecasts").groupBy("model").count().collect()
     assert {r["model"]: r["count"] for r in got} == {m: SHORT.steps for m in ("arimax", "var", "additive", "sequence")}
     assert spark.read.option("header", True).csv(f"{out}/horizons").count() == 4 * 3
+
+
+def test_forecast_job_from_stored_models(spark, tables, tmp_path, monkeypatch):
+    bars = Tables(spark, tables).hourly()
+    out = str(tmp_path)
+    jobs.run_train(bars, HOURLY_SYMBOLS, "click", SHORT, out, "2024-01-28", end="2024-01-28")
+    held = spark.read.option("header", True).csv(f"{out}/holdout")
+    assert held.count() == 4 * 3 and held.filter("CAST(n AS INT) > 0").count() == 12
+    models = spark.read.parquet(f"{out}/models")
+    assert {tuple(r) for r in models.select("horizon", "model", F.size("features")).distinct().collect()} == {("short", m, SHORT.top_features) for m in ("arimax", "var", "additive", "sequence")}
+
+    def fits(*args, **kwargs):
+        raise AssertionError("a forecast from stored models fits nothing")
+
+    for name in ("arimax_fit", "var_fit", "sequence_fit", "lagged_sums"):
+        monkeypatch.setattr(jobs.stored.Forecaster.__init__.__globals__["linear"], name, fits)
+    jobs.run_forecast(bars, HOURLY_SYMBOLS, "click", SHORT, out, [], models=f"{out}/models")
+    got = spark.read.option("header", True).csv(f"{out}/forecasts").groupBy("model").count().collect()
+    assert {r["model"]: r["count"] for r in got} == {m: SHORT.steps for m in ("arimax", "var", "additive", "sequence")}

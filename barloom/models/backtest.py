@@ -13,7 +13,7 @@ from barloom.models.design import Design
 from barloom.models.selection import chosen_anywhere, select_features, window_scores
 from barloom.models.windows import Cutter, Folds, Holdout
 from barloom.operators.blocks import POS
-from barloom.operators.metrics import evaluate
+from barloom.operators.metrics import evaluate, with_failed
 from barloom.session import written
 
 MODELS = ("arimax", "var", "additive", "sequence")
@@ -33,12 +33,10 @@ class Result:
         Every fold has a row for every model and target. Where a model could not be fitted or gave no value, n is 0 and the errors
         are NULL.
         """
-        keys = [*by, "fold", "model", "target"]
+        keys = [*by, "fold"]
         pairs = self.predictions.withColumn(POS, F.col("k"))
-        cells = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(t).alias("target")) for m in self.models for t in self.targets])
-        grid = self.windows.select(*by, "fold", F.inline(cells))
-        found = grid.join(evaluate(pairs, by=keys, step_seconds=step_seconds), keys, "left")
-        return found.withColumn("n", F.coalesce("n", F.lit(0)))
+        found = evaluate(pairs, by=[*keys, "model", "target"], step_seconds=step_seconds)
+        return with_failed(found, self.windows, self.models, self.targets, keys)
 
 
 def fit_all(

@@ -21,11 +21,6 @@ def chrono_split(df: DataFrame, *, share: float = 0.8, step_seconds: int) -> Dat
     return df.join(flags, "ts")
 
 
-def segment(pos: Column, min_train: int, step: int) -> Column:
-    """The piece of the timeline a row belongs to: fold f trains on the pieces 0 to f."""
-    return F.when(pos <= min_train, 0).otherwise(1 + F.floor((pos - 1 - min_train) / step)).cast("int")
-
-
 def test_folds(pos: Column, min_train: int, test: int, step: int) -> Column:
     """The folds that test a position, as an array."""
     last = F.floor((pos - 1 - min_train) / step).cast("int")

@@ -15,7 +15,7 @@ PRICES = ["open", "high", "low", "close"]
 
 
 def until(df: DataFrame, end: Column, ts: str = "ts") -> DataFrame:
-    """Rows up to and including an end time; reaches the scan of stored bars, but not that of ticks below bars."""
+    """Rows up to and including an end time; reaches the scan of stored bars. Bars built from ticks take `until` themselves."""
     return df.filter(F.col(ts) <= end)
 
 

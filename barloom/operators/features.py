@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.blocks import over_blocks
+from barloom.operators.facts import join_facts
 from barloom.operators.metrics import correlation
 
 
@@ -59,7 +60,7 @@ def apply_minmax(
 ) -> DataFrame:
     """Scale to [0, 1] by a fitted table, or back; a constant column maps to 0."""
     if by:
-        joined = df.join(scaler, list(by))
+        joined = join_facts(df, scaler, by)
     else:
         joined = df.withColumns({c: scaler.select(F.col(f"`{c}`")).scalar() for c in scaler.columns})
     expr = _unscaled if inverse else _scaled

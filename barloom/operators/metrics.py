@@ -86,6 +86,16 @@ def evaluate(pairs: DataFrame, *, by: Sequence[str] = KEYS, step_seconds: int) -
     )
 
 
+def with_failed(found: DataFrame, series: DataFrame, models: Sequence[str], targets: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """A row for every series (`keys`), model and target; n is 0 and the errors are NULL where a model gave no pairs.
+
+    `series` has one row for each series.
+    """
+    cells = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(t).alias("target")) for m in models for t in targets])
+    full = series.select(*keys, F.inline(cells)).join(found, [*keys, "model", "target"], "left")
+    return full.withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def long_metrics(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Metrics as rows; those that do not apply are left out."""
     names = ["mae", "rmse", "mape", "smape", "dir_acc"]

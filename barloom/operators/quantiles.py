@@ -11,6 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.facts import join_facts
+from barloom.session import written
+
 _SLICES = 128
 
 
@@ -20,11 +23,12 @@ def exact_quantiles(df: DataFrame, *, by: Sequence[str], value: str, probs: Sequ
     counted = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(
         F.count(F.lit(1)).alias("_c")
     )
+    counted = written(counted, "values")
     cuts = counted.groupBy(*by).agg(
         F.percentile_approx("_v", [i / _SLICES for i in range(1, _SLICES)], 4 * _SLICES).alias("_cuts")
     )
     # the slice of a value is the number of cuts below it
-    sliced = counted.join(cuts, by).withColumn(
+    sliced = join_facts(counted, cuts, by).withColumn(
         "_slice", F.aggregate("_cuts", F.lit(0), lambda n, c: n + (c < F.col("_v")).cast("int"))
     ).drop("_cuts")
     series = Window.partitionBy(*by)
@@ -60,14 +64,15 @@ def exact_quantiles(df: DataFrame, *, by: Sequence[str], value: str, probs: Sequ
 
 
 def box_statistics(df: DataFrame, *, by: Sequence[str], value: str) -> DataFrame:
-    """Quartiles, and whiskers at the outermost values within 1.5 interquartile ranges."""
+    """Quartiles, and whiskers at the outermost values within 1.5 interquartile ranges; the values are written once for both passes."""
+    df = written(df.select(*by, value), "values")
     q = exact_quantiles(df, by=by, value=value, probs=[0.25, 0.5, 0.75]).select(
         *by, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3")
     )
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     v = F.col(value)
     inside = (v >= F.col("q1") - reach) & (v <= F.col("q3") + reach)
-    return df.join(q, list(by)).groupBy(*by, "n", "q1", "median", "q3").agg(
+    return join_facts(df, q, by).groupBy(*by, "n", "q1", "median", "q3").agg(
         F.min(F.when(inside, v)).alias("whisker_low"),
         F.max(F.when(inside, v)).alias("whisker_high"),
         F.count_if(~inside).alias("outliers"),

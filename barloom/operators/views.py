@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalar import (
+    DEFAULT_PERIOD_DAYS,
     LONG_PERIODS,
+    PERIOD_DAYS,
     change_columns,
     nonnegative,
     period_seconds,
@@ -19,6 +22,7 @@ from barloom.functions.scalar import (
 )
 from barloom.operators.align import calendar_reindex
 from barloom.operators.blocks import POS, calendar_pos, number_rows, over_blocks
+from barloom.operators.facts import join_facts
 from barloom.operators.fill import fill_rows
 
 
@@ -66,27 +70,19 @@ def merge_cutoff(history: DataFrame, forecast: DataFrame, by: Sequence[str] = ()
     cells = [*by, "ts", "open", "high", "low", "close"]
     if by:
         first = forecast.groupBy(*by).agg(F.min("ts").alias("_first"))
-        kept = history.join(first, list(by)).filter("ts <= _first")
+        kept = join_facts(history, first, by).filter("ts <= _first")
     else:
         kept = history.filter(F.col("ts") <= forecast.agg(F.min("ts")).scalar())
     kept = kept.select(*cells, F.lit("history").alias("source"))
     return kept.unionByName(forecast.select(*cells, F.lit("forecast").alias("source")))
 
 
-def periods(spark, names: Sequence[str] = ("1H", "24H", "1W", "1M", "3M", "6M")) -> DataFrame:
-    """The period table: name, span in seconds, whether it counts in whole days."""
-    base = spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("period"))
-    return base.withColumn("seconds", period_seconds(F.col("period"))).withColumn(
-        "is_long", F.col("period").isin(LONG_PERIODS)
-    )
-
-
 def cut_from_start(forecast: DataFrame, periods: Sequence[str], *, by: Sequence[str] = ("model",)) -> DataFrame:
     """First span of each series for several periods at once, both ends included."""
     starts = forecast.groupBy(*by).agg(F.min("ts").alias("_start"))
     each = F.explode(F.array(*[F.lit(p) for p in periods])).alias("period")
     limits = starts.select(*by, "_start", each).withColumn("_end", shift_seconds(F.col("_start"), period_seconds(F.col("period"))))
-    return forecast.join(limits, list(by)).filter(F.col("ts").between(F.col("_start"), F.col("_end"))).drop("_start", "_end")
+    return join_facts(forecast, limits, by).filter(F.col("ts").between(F.col("_start"), F.col("_end"))).drop("_start", "_end")
 
 
 def cut_from_end(rows: DataFrame, periods: Sequence[str], *, by: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -105,7 +101,7 @@ def cut_from_end(rows: DataFrame, periods: Sequence[str], *, by: Sequence[str] =
     inside = F.when(long, (day >= F.col("_start")) & (day < F.col("_end"))).otherwise(
         F.col("ts").between(F.col("_start"), F.col("_end"))
     )
-    return rows.join(limits, list(by)).filter(F.col("ts").isNull() | inside).drop("_max", "_start", "_end")
+    return join_facts(rows, limits, by).filter(F.col("ts").isNull() | inside).drop("_max", "_start", "_end")
 
 
 def range_until(rows: DataFrame, period: str, as_of: Column) -> DataFrame:
@@ -116,6 +112,15 @@ def range_until(rows: DataFrame, period: str, as_of: Column) -> DataFrame:
     return rows.filter(F.col("ts").between(start, as_of))
 
 
+def range_bounds(period: str, as_of: dt.datetime) -> tuple[dt.datetime, dt.datetime]:
+    """First and last time that `range_until` can keep, for the scan below it."""
+    start = as_of - dt.timedelta(days=PERIOD_DAYS.get(period, DEFAULT_PERIOD_DAYS))
+    if period not in LONG_PERIODS:
+        return start, as_of
+    midnight = dt.datetime.combine(start, dt.time())
+    return midnight, dt.datetime.combine(as_of, dt.time()) + dt.timedelta(days=1, microseconds=-1)
+
+
 def visible_high_low(rows: DataFrame, start: Column, end: Column, by: Sequence[str] = ("symbol",)) -> DataFrame:
     """Highest high and lowest low in a time range, ignoring what is not finite."""
 

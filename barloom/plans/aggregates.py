@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,8 @@ from barloom.models import folds
 from barloom.operators import clean, features, metrics, quality, views
 from barloom.operators.quantiles import box_statistics
 from barloom.plans.catalog import (
-    CELLS, DB, DIRTY, EVAL_SQL, HB, HITS, HOURLY_SYMBOLS, MAE, MAPE, PRICES, RMSE, SCORE_KEYS, SCORED, SMAPE,
-    THIN, Tables, panel_sql, query, scored,
+    CELLS, DB, DIRTY, EVAL_SQL, HB, HITS, HOURLY_SYMBOLS, MAE, MAPE, PRICES, RMSE, SCORE_KEYS, SCORED, SIMPLE_MODELS, SMAPE,
+    TARGETS, THIN, Tables, panel_sql, query, scored,
 )
 from barloom.plans.rows import REASON
 
@@ -100,9 +102,15 @@ def corr_actual_pred(t: Tables) -> DataFrame:
     return scored(t).groupBy(*SCORE_KEYS).agg(metrics.correlation(F.col("actual"), F.col("predicted")).alias("r"))
 
 
-@query("evaluate", f"WITH {HITS} SELECT symbol, model, target, {EVAL_SQL} FROM hits {_GROUP}", doubles="mae rmse mape smape dir_acc")
+@query("evaluate", f"""WITH {HITS}, found AS (SELECT symbol, model, target, {EVAL_SQL} FROM hits {_GROUP})
+  SELECT s.symbol, m.model, c.target, coalesce(n, 0) AS n, mae, rmse, mape, smape, dir_acc FROM (SELECT DISTINCT symbol FROM hb) AS s,
+  (VALUES ('last'), ('season'), ('absent')) AS m(model), (VALUES ('close'), ('high_spread'), ('low_spread')) AS c(target)
+  LEFT JOIN found ON found.symbol = s.symbol AND found.model = m.model AND found.target = c.target""", doubles="mae rmse mape smape dir_acc")
 def evaluate(t: Tables) -> DataFrame:
-    return metrics.evaluate(scored(t, positions=True), by=SCORE_KEYS, step_seconds=HOUR)
+    """A model that gave no forecast has a row of NULLs."""
+    found = metrics.evaluate(scored(t, positions=True), by=SCORE_KEYS, step_seconds=HOUR)
+    series = t.table("events").select(F.col("event_type").alias("symbol")).distinct()
+    return metrics.with_failed(found, series, [*SIMPLE_MODELS, "absent"], TARGETS, ["symbol"])
 
 
 # --- walk-forward folds of the simple predictions -------------------------------------------------------------------
@@ -222,8 +230,9 @@ def minmax_inverse(t: Tables) -> DataFrame:
 
 @query("visible_high_low", f"WITH {DIRTY} SELECT symbol, max(high) FILTER (WHERE NOT isinf(high)) AS high, min(low) FILTER (WHERE NOT isinf(low)) AS low FROM dirty WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25' GROUP BY symbol")
 def visible_high_low(t: Tables) -> DataFrame:
-    start, end = (F.lit(x).cast("timestamp_ntz") for x in ("2024-01-05", "2024-01-25"))
-    return views.visible_high_low(t.dirty(), start, end)
+    since, until = dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 25)
+    start, end = (F.lit(x).cast("timestamp_ntz") for x in (since, until))
+    return views.visible_high_low(t.dirty(since, until), start, end)
 
 
 @query("latest_price", """SELECT event_type AS symbol, last(value ORDER BY ts, event_id) AS latest_price, max(ts) AS ts FROM events GROUP BY event_type""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from functools import wraps
 
@@ -23,6 +24,7 @@ HOURLY_SYMBOLS = ["click", "error", "purchase", "signup", "view"]
 DAILY_SYMBOLS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 HOURLY_TARGET = "click"
 DAILY_TARGET = "1-URGENT"
+HOURLY = {"symbol": "event_type", "ts": "ts", "price": "value", "tick_order": ["ts", "event_id"], "unit": "HOUR"}
 PRICES = ["open", "high", "low", "close"]
 CELLS = [*PRICES, "volume"]
 
@@ -37,11 +39,9 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def hourly(self) -> DataFrame:
+    def hourly(self, since: dt.datetime | None = None, until: dt.datetime | None = None) -> DataFrame:
         """Hourly bars: event type as symbol, event value as price."""
-        return bars(
-            self.table("events"), symbol="event_type", ts="ts", price="value", tick_order=["ts", "event_id"], unit="HOUR"
-        )
+        return bars(self.table("events"), **HOURLY, since=since, until=until)
 
     def daily(self) -> DataFrame:
         """Daily bars: order priority as symbol, order total as price."""
@@ -55,10 +55,10 @@ class Tables:
         enough = F.col("volume") >= at_least
         return self.hourly().withColumns({c: F.when(enough, F.col(c)) for c in PRICES})
 
-    def dirty(self) -> DataFrame:
+    def dirty(self, since: dt.datetime | None = None, until: dt.datetime | None = None) -> DataFrame:
         """Hourly bars with bad cells, depending on the tick count of the bar."""
         v = F.col("volume")
-        b = self.hourly()
+        b = self.hourly(since, until)
         base = {c: F.when(v == 1, None).when(v == 2, 0.0).otherwise(F.col(c)) for c in PRICES}
         base["close"] = F.when(v == 3, float("inf")).otherwise(base["close"])
         base["low"] = F.when(v == 4, -F.col("low")).otherwise(base["low"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,8 +100,9 @@ def union_history_forecast(t: Tables) -> DataFrame:
   SELECT c.*, 'history' AS source FROM c JOIN (SELECT symbol, min(ts) AS first FROM f GROUP BY symbol) g USING (symbol) WHERE ts <= first UNION ALL SELECT *, 'forecast' FROM f""")
 def merge_cutoff(t: Tables) -> DataFrame:
     """The last days stand in for the forecast; the time they share with the history shows up twice."""
-    history = t.hourly()
-    forecast = history.filter(F.col("ts") >= F.lit("2024-01-25").cast("timestamp_ntz"))
+    forecast = t.hourly(since=dt.datetime(2024, 1, 25))
+    last_cut = forecast.groupBy("symbol").agg(F.min("ts").alias("first")).agg(F.max("first")).first()[0]
+    history = t.hourly(until=last_cut) if last_cut else t.hourly()
     return views.merge_cutoff(history, forecast, ["symbol"])
 
 
@@ -262,9 +265,14 @@ def cut_from_end(t: Tables) -> DataFrame:
 @query("range_from_now", f"""WITH {HB} SELECT '1W' AS period, symbol, ts, close FROM hb WHERE ts BETWEEN TIMESTAMP '2024-01-28 06:30:00' - INTERVAL 7 DAY AND TIMESTAMP '2024-01-28 06:30:00'
   UNION ALL SELECT '1M', symbol, ts, close FROM hb WHERE CAST(ts AS DATE) BETWEEN DATE '2023-12-29' AND DATE '2024-01-28'""")
 def range_from_now(t: Tables) -> DataFrame:
-    as_of = F.lit("2024-01-28 06:30:00").cast("timestamp_ntz")
-    rows = t.hourly().select("symbol", "ts", "close")
-    cuts = [views.range_until(rows, p, as_of).withColumn("period", F.lit(p)) for p in ("1W", "1M")]
+    as_of = dt.datetime(2024, 1, 28, 6, 30)
+    now = F.lit(as_of).cast("timestamp_ntz")
+
+    def cut(period: str) -> DataFrame:
+        rows = t.hourly(*views.range_bounds(period, as_of)).select("symbol", "ts", "close")
+        return views.range_until(rows, period, now).withColumn("period", F.lit(period))
+
+    cuts = [cut(p) for p in ("1W", "1M")]
     return cuts[0].unionByName(cuts[1])
 
 

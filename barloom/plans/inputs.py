@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 
 from barloom.functions.scalar import iso_z
 from barloom.operators import quality
-from barloom.plans.catalog import CELLS, DB, HB, HOURLY_SYMBOLS, PRICES, SPREADS, Tables, query, with_spreads
+from barloom.plans.catalog import CELLS, DB, HB, HOURLY, HOURLY_SYMBOLS, PRICES, SPREADS, Tables, query, with_spreads
 from barloom.session import work_path
 from barloom.sources import sinks, store
 from barloom.sources.files import rows_from_specs, scan_csv_any, scan_csv_fixed
-from barloom.sources.ticks import bars, feed, require_rows
+from barloom.sources.ticks import bars, feed, recent_bars, require_rows
 
 _ALL = "symbol, ts, open, high, low, close, volume"
 
 
 @query("src_ohlcv", f"WITH {HB} SELECT {_ALL} FROM hb WHERE symbol IN ('click', 'view') AND ts >= (SELECT max(ts) FROM hb WHERE symbol IN ('click', 'view')) - INTERVAL 7 DAY")
 def src_ohlcv(t: Tables) -> DataFrame:
-    return require_rows(feed(t.hourly(), symbols=["click", "view", "absent"], span_days=7), "the wanted symbols")
+    recent = recent_bars(t.table("events"), **HOURLY, symbols=["click", "view", "absent"], span_days=7)
+    return require_rows(recent, "the wanted symbols")
 
 
 @query("bars_hourly", f"WITH {HB} SELECT {_ALL} FROM hb")

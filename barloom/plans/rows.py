@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,8 @@ def coerce_numeric(t: Tables) -> DataFrame:
 
 @query("filter_end_date", f"WITH {HB} SELECT symbol, ts, close FROM hb WHERE ts <= TIMESTAMP '2024-01-20 00:00:00'")
 def filter_end_date(t: Tables) -> DataFrame:
-    return clean.until(t.hourly(), F.lit("2024-01-20").cast("timestamp_ntz")).select("symbol", "ts", "close")
+    end = dt.datetime(2024, 1, 20)
+    return clean.until(t.hourly(until=end), F.lit(end).cast("timestamp_ntz")).select("symbol", "ts", "close")
 
 
 _GAPS = f"""{THIN}, gaps AS (SELECT ts, sum(CAST(open IS NOT NULL AS INT) + CAST(high IS NOT NULL AS INT) + CAST(low IS NOT NULL AS INT) + CAST(close IS NOT NULL AS INT) + 1) AS present,

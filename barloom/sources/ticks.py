@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -32,14 +33,37 @@ def tick_rank(ticks: DataFrame, columns: Sequence[str]) -> Column:
     return F.struct(*columns)
 
 
+# Lengths of the bar units.
+UNITS = {"MINUTE": dt.timedelta(minutes=1), "HOUR": dt.timedelta(hours=1), "DAY": dt.timedelta(days=1)}
+_EPOCH = dt.datetime(1970, 1, 1)
+
+
+def within(ticks: DataFrame, ts: str, unit: str, since: dt.datetime | None = None, until: dt.datetime | None = None) -> DataFrame:
+    """The ticks of all bars whose start lies between `since` and `until`, both included.
+
+    Bounds are literals on the raw time, rounded to whole bars, so that they reach the scan.
+    """
+    width = UNITS[unit]
+    kind = ticks.schema[ts].dataType
+    if since is not None:
+        first = _EPOCH - (_EPOCH - since) // width * width  # rounded up
+        ticks = ticks.filter(F.col(ts) >= F.lit(first).cast("timestamp_ntz").cast(kind))
+    if until is not None:
+        end = _EPOCH + ((until - _EPOCH) // width + 1) * width
+        ticks = ticks.filter(F.col(ts) < F.lit(end).cast("timestamp_ntz").cast(kind))
+    return ticks
+
+
 def bars(
-    ticks: DataFrame, *, symbol: str, ts: str, price: str, tick_order: Sequence[str], unit: str
+    ticks: DataFrame, *, symbol: str, ts: str, price: str, tick_order: Sequence[str], unit: str, since: dt.datetime | None = None,
+    until: dt.datetime | None = None,
 ) -> DataFrame:
-    """Open, high, low, close and tick count per symbol and time bucket.
+    """Open, high, low, close and tick count per symbol and time bucket, of all bars or of those from `since` to `until`.
 
     `tick_order` names the columns that order the ticks of one symbol uniquely. All aggregates combine on the map
     side, so a symbol with a third of all ticks costs its reducer one row per map task and bar.
     """
+    ticks = within(ticks, ts, unit, since, until)
     order = tick_rank(ticks, tick_order)
     return (
         ticks.groupBy(F.col(symbol).alias("symbol"), bucket(F.col(ts), unit).alias("_bar"))
@@ -65,6 +89,17 @@ def feed(stored: DataFrame, *, symbols: Sequence[str], span_days: int | None = N
     return wanted
 
 
+def recent_bars(ticks: DataFrame, *, symbol: str, ts: str, unit: str, symbols: Sequence[str], span_days: int, **rest: object) -> DataFrame:
+    """`feed` over the bars of a tick table, which builds only the bars it returns.
+
+    The newest time is one aggregate of two columns; it then bounds the scan. A feed without ticks is empty.
+    """
+    wanted = ticks.filter(F.col(symbol).isin(list(symbols)))
+    newest = wanted.agg(F.max(bucket(F.col(ts), unit))).first()[0]
+    since = newest - dt.timedelta(days=span_days) if newest is not None else None
+    return bars(wanted, symbol=symbol, ts=ts, unit=unit, since=since, **rest)
+
+
 def require_rows(df: DataFrame, what: str) -> DataFrame:
     """Fail early when a feed came back empty."""
     if df.isEmpty():

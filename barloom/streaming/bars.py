@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.session import work_path
+from barloom.sources.ticks import tick_rank
 
 # Bar units and their window lengths.
 WINDOWS = {"MINUTE": "1 minute", "HOUR": "1 hour", "DAY": "1 day"}
@@ -19,7 +20,7 @@ def tick_stream(spark: SparkSession, folder: str, file_glob: str, schema) -> Dat
 
 def stream_bars(ticks: DataFrame, *, symbol: str, price: str, tick_id: str, unit: str, late: str = "1 hour") -> DataFrame:
     """Tumbling bars; a bar is final once the watermark has passed its end."""
-    order = F.struct("ts", tick_id)
+    order = tick_rank(ticks, ["ts", tick_id])
     bars = (
         ticks.withWatermark("ts", late)
         .groupBy(F.col(symbol).alias("symbol"), F.window("ts", WINDOWS[unit]).alias("w"))
@@ -47,7 +48,7 @@ def run_to_table(stream: DataFrame, label: str) -> str:
 def stream_latest(ticks: DataFrame, *, symbol: str, price: str, tick_id: str) -> DataFrame:
     """Newest price per symbol; the state is one row per symbol."""
     return ticks.groupBy(F.col(symbol).alias("symbol")).agg(
-        F.max_by(price, F.struct("ts", tick_id)).alias("latest_price"), F.max("ts").cast("timestamp_ntz").alias("ts")
+        F.max_by(price, tick_rank(ticks, ["ts", tick_id])).alias("latest_price"), F.max("ts").cast("timestamp_ntz").alias("ts")
     )
 
 

@@ -14,10 +14,12 @@ from barloom.models.forecast import Forecaster
 from barloom.models.gram import gram, matrix, solve, vectors
 from barloom.models.windows import Folds
 from barloom.operators import metrics
+from barloom.models.linear import ARMA_LAGS, LONG_AR
 from barloom.operators.indicators import INDICATORS
 from barloom.sources import store
 from barloom.session import work_path, written
-from barloom.plans.catalog import DB, HB, HOURLY_SYMBOLS, HOURLY_TARGET, Tables, panel_sql, query
+from barloom.plans.catalog import DB, HB, HOURLY_SYMBOLS, HOURLY_TARGET, TARGETS, Tables, panel_sql, query
+from barloom.plans.windows import SET_SQL
 
 SERIES_FEATURES = ["open", "volume", *INDICATORS]
 SEQUENCE_STEPS = SHORT.sequence_steps
@@ -45,9 +47,41 @@ def _flat(models: DataFrame) -> DataFrame:
     return models.withColumn("coef", F.transform("coef", lambda x: F.round(x, 6)))
 
 
-@query("arimax_fit")
+# Some indicators are sums of others, so coefficients are not unique; residuals are. The reference leaves such columns out.
+_INDEPENDENT = [c for c in SERIES_FEATURES if c not in ("macd", "macd_hist", "bb_middle", "bb_lower", "bb_width")]
+
+
+def _least_squares_sql(name: str, source: str, n: int) -> str:
+    """CTEs that solve z[n + 1] ~ z[1..n] over the rows (symbol, target, z) of `source` by elimination: `name` (symbol, target, b)."""
+    return f"""{name}_g AS (SELECT symbol, target, i, j, sum(z[i] * z[j]) AS v FROM {source}, range(1, {n + 1}) AS a(i), range(1, {n + 2}) AS c(j) GROUP BY ALL),
+  {name}_r AS (SELECT symbol, target, i, list(v ORDER BY j) AS r FROM {name}_g GROUP BY ALL),
+  {name}_e AS (SELECT symbol, target, 1 AS k, list(r ORDER BY i) AS m FROM {name}_r GROUP BY symbol, target
+    UNION ALL SELECT symbol, target, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN r ELSE list_transform(r, lambda v, j: v - r[k] / m[k][k] * m[k][j]) END)
+    FROM {name}_e WHERE k <= {n}),
+  {name} AS (SELECT symbol, target, list_transform(m, lambda r, i: r[{n + 1}] / r[i]) AS b FROM {name}_e WHERE k = {n + 1})"""
+
+
+_U = "PARTITION BY symbol, target ORDER BY pos"
+_ARMA_SQL = f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 33 AS pos FROM ({SET_SQL})),
+  y AS (SELECT symbol, CAST(pos AS BIGINT) AS pos, unnest({TARGETS}) AS target, unnest([close, greatest(high - close, 0), greatest(close - low, 0)]) AS y,
+    [{", ".join(f"coalesce({c}, 0)" for c in _INDEPENDENT)}] AS x FROM s WHERE pos > 0),
+  z1 AS (SELECT symbol, target, list_append(x, y) AS z FROM y WHERE pos > {ARMA_LAGS}), {_least_squares_sql("r1", "z1", len(_INDEPENDENT))},
+  u AS (SELECT symbol, target, pos, y - list_dot_product(x, b) AS u FROM y JOIN r1 USING (symbol, target)),
+  l AS (SELECT *, [{", ".join(f"lag(u, {k}) OVER ({_U})" for k in range(1, LONG_AR + 1))}] AS l FROM u),
+  z2 AS (SELECT symbol, target, list_append(l, u) AS z FROM l WHERE pos > {ARMA_LAGS}), {_least_squares_sql("r2", "z2", LONG_AR)},
+  e AS (SELECT symbol, target, pos, u, u - list_dot_product(l, b) AS e FROM l JOIN r2 USING (symbol, target) WHERE pos > {LONG_AR}),
+  p AS (SELECT *, lag(u) OVER ({_U}) AS u1, lag(e) OVER ({_U}) AS e1 FROM e),
+  z3 AS (SELECT symbol, target, [u1, e1, u] AS z FROM p WHERE pos > {ARMA_LAGS}), {_least_squares_sql("r3", "z3", 2)},
+  f AS (SELECT symbol, target, greatest(least(b[1], 0.999e0), -0.999e0) AS phi, b FROM r3)
+  SELECT symbol, target, any_value(phi) AS phi, CASE WHEN abs(any_value(b[1])) > 0.999e0 THEN sum(e1 * (u - phi * u1)) / sum(e1 * e1) ELSE any_value(b[2]) END AS theta,
+    last(u ORDER BY pos) AS u_last, last(e ORDER BY pos) AS e_last, count(*) AS n, max(pos) AS train_rows
+  FROM p JOIN f USING (symbol, target) WHERE pos > {ARMA_LAGS} GROUP BY symbol, target"""
+
+
+@query("arimax_fit", _ARMA_SQL, doubles="phi theta u_last e_last", digits=4)
 def arimax_fit(t: Tables) -> DataFrame:
-    return _flat(_series(t).arimax_models())
+    """What the fit on all features settles: the error process and where it stands; regression coefficients are not unique."""
+    return _series(t).arimax_models().drop("fold", "coef")
 
 
 @query("arimax_forecast")

@@ -287,7 +287,7 @@ def sequences(t: Tables) -> DataFrame:
     )
 
 
-_SET_SQL = f"""WITH {HB},
+SET_SQL = f"""WITH {HB},
 a AS (SELECT *, {_ewm_sql('close', 12)} AS ema_12, {_ewm_sql('close', 26)} AS ema_26,
    {_strict('avg', 'close', 20)} AS bb_middle, {_strict('stddev_samp', 'close', 20)} AS sd,
    close - lag(close) OVER ({_W}) AS step, lag(close) OVER ({_W}) AS pc, {_STOCH_K},
@@ -303,7 +303,7 @@ SELECT symbol, ts, open, high, low, close, volume, bb_middle AS sma_20, ema_12,
    volume / nullif(volume_sma, 0) AS volume_ratio, roc, volatility FROM c"""
 
 
-@query("indicator_set", _SET_SQL, doubles=" ".join(indicators.INDICATORS))
+@query("indicator_set", SET_SQL, doubles=" ".join(indicators.INDICATORS))
 def indicator_set(t: Tables) -> DataFrame:
     return indicators.indicator_set(t.hourly(), step_seconds=HOUR)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.config import DAY, HOUR, LONG, SHORT
@@ -17,7 +17,7 @@ from barloom.plans.catalog import (
     DAILY_SYMBOLS, DB, EVAL_SQL, HB, HITS, PRICES, SPREADS, TARGETS, THIN, Tables, query, scored, with_spreads,
 )
 from barloom.operators import metrics
-from barloom.operators.blocks import number_rows
+from barloom.plans.windows import INDICATOR_SELECT, indicator_ctes
 from barloom.sources.ticks import feed
 
 _W = "PARTITION BY symbol ORDER BY ts"
@@ -334,16 +334,15 @@ def naive_sma_atr(t: Tables) -> DataFrame:
     return naive_forecast(recent, horizon=1, step_seconds=DAY)
 
 
-_FUTURE = ["x_close", "sma14", "rsi14", "roc", "volume"]
+_PRICES = {"x_open": "open", "x_high": "high", "x_low": "low", "x_close": "close"}
+_FUTURE = [*_PRICES, "volume", *indicators.INDICATORS]
 
 
 def _family_sql(f: str) -> str:
     return f"'{family(f)}'"
 
 
-_FUTURE_SQL = f"""{HB}, steps AS (SELECT *, close - lag(close) OVER ({_W}) AS step FROM hb), moves AS (SELECT *, coalesce(greatest(step, 0), 0) AS up, coalesce(greatest(-step, 0), 0) AS down FROM steps),
- base AS (SELECT symbol, ts, close AS x_close, avg(close) OVER f AS sma14, 100 - 100 / (1 + avg(up) OVER f / nullif(avg(down) OVER f, 0)) AS rsi14,
-   close / nullif(lag(close, 10) OVER ({_W}), 0) - 1 AS roc, volume FROM moves WINDOW f AS ({_W} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)),
+_FUTURE_SQL = f"""{HB}, {indicator_ctes('hb')}, base AS (SELECT symbol, ts, {", ".join(f"{c} AS {x}" for x, c in _PRICES.items())}, volume, {", ".join(indicators.INDICATORS)} FROM ({INDICATOR_SELECT})),
  long AS (SELECT * FROM ({" UNION ALL ".join(f"SELECT symbol, ts, '{f}' AS feature, {_family_sql(f)} AS family, {f} AS value FROM base" for f in _FUTURE)}) WHERE value IS NOT NULL),
  r AS (SELECT *, value / nullif(lag(value) OVER w, 0) - 1 AS ret, row_number() OVER (PARTITION BY symbol, feature ORDER BY ts DESC) AS rn FROM long WINDOW w AS (PARTITION BY symbol, feature ORDER BY ts)),
  facts AS (SELECT symbol, feature, family, last(value ORDER BY ts) AS last, count(*) AS n, coalesce(avg(ret), 0) AS drift, avg(value) FILTER (WHERE rn <= 24) AS recent FROM r GROUP BY ALL),
@@ -351,27 +350,33 @@ _FUTURE_SQL = f"""{HB}, steps AS (SELECT *, close - lag(close) OVER ({_W}) AS st
  future AS (SELECT symbol, feature, family, CAST(k AS INT) AS step, stop + k * INTERVAL 1 HOUR AS ts,
    CASE WHEN n <= 24 THEN last WHEN family IN ('price', 'average') THEN last * pow(1 + drift, k - 1)
         WHEN family = 'rsi' THEN 50 + (greatest(30, least(70, last + 0.05e0 * (50 - last))) - 50) * pow(0.95e0, k - 1)
-        WHEN family = 'oscillator' THEN last * pow(0.95e0, k) WHEN family = 'recent' THEN recent ELSE last END AS value
+        WHEN feature = 'volume_ratio' THEN 1 + (last - 1) * pow(0.95e0, k) WHEN family = 'oscillator' THEN last * pow(0.95e0, k) WHEN family = 'recent' THEN recent ELSE last END AS value
    FROM facts JOIN ends USING (symbol), generate_series(1, 168) AS g(k))"""
 
 
 def _future(t: Tables) -> DataFrame:
-    b = number_rows(t.hourly(), by=["symbol"], step_seconds=HOUR)
-    b = indicators.sma(b, n=14, name="sma14", step_seconds=HOUR, full=False)
-    b = indicators.rsi(b, name="rsi14", step_seconds=HOUR, full=False)
-    b = indicators.rate_of_change(b, step_seconds=HOUR)
-    return future_regressors(b.withColumnRenamed("close", "x_close"), _FUTURE, SHORT)
+    b = indicators.indicator_set(t.hourly(), step_seconds=HOUR)
+    return future_regressors(b.withColumnsRenamed({c: x for x, c in _PRICES.items()}), _FUTURE, SHORT)
 
 
-@query("future_regressors", f"WITH {_FUTURE_SQL} SELECT symbol, feature, family, step, ts, sign(value) * ln(1 + abs(value)) AS signed_log FROM future", doubles="signed_log")
+def _digits_sql(value: str) -> str:
+    """Seven significant digits; prices of random data drift over many powers of ten."""
+    return f"CAST(printf('%.6e', {value}) AS DOUBLE)"
+
+
+def _digits(value: Column) -> Column:
+    return F.format_string("%.6e", value).cast("double")
+
+
+@query("future_regressors", f"WITH {_FUTURE_SQL} SELECT symbol, feature, family, step, ts, {_digits_sql('value')} AS value FROM future")
 def future_query(t: Tables) -> DataFrame:
-    """Random data drifts far, so the path is compared on a logarithmic scale."""
-    v = F.col("value")
-    return _future(t).select("symbol", "feature", "family", "step", "ts", (F.signum(v) * F.log(1 + F.abs(v))).alias("signed_log"))
+    """The paths of all columns of the panel."""
+    return _future(t).select("symbol", "feature", "family", "step", "ts", _digits(F.col("value")).alias("value"))
 
 
-@query("future_frame", f"""WITH {_FUTURE_SQL} SELECT symbol, step, ts, max(value) FILTER (WHERE feature = 'rsi14') AS rsi14, max(value) FILTER (WHERE feature = 'volume') AS volume,
+@query("future_frame", f"""WITH {_FUTURE_SQL} SELECT symbol, step, ts, {", ".join(f"{_digits_sql(f'max(value) FILTER (WHERE feature = {chr(39)}{f}{chr(39)})')} AS {f}" for f in _FUTURE)},
   CAST(isodow(ts) - 1 AS INT) AS day_of_week, CAST(month(ts) AS INT) AS month, CAST(quarter(ts) AS INT) AS quarter, CAST(year(ts) AS INT) AS year, CAST(hour(ts) AS INT) AS hour, CAST(isodow(ts) >= 6 AS INT) AS is_weekend
-  FROM future GROUP BY symbol, step, ts""", doubles="rsi14 volume")
+  FROM future GROUP BY symbol, step, ts""")
 def future_frame_query(t: Tables) -> DataFrame:
-    return future_frame(_future(t), ["rsi14", "volume"])
+    """The regressors of every step side by side, with the calendar."""
+    return future_frame(_future(t), _FUTURE).withColumns({f: _digits(F.col(f)) for f in _FUTURE})

@@ -6,10 +6,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.config import DAY, HOUR, LONG, SHORT, Cells, Share
+from barloom.config import DAY, HOUR, LONG, SHORT
 from barloom.models import backtest as bt
 from barloom.models import stored
-from barloom.models.design import features_then_fill, fill_then_features, series_table, training_table
+from barloom.models.design import OHLCV, features_then_fill, fill_then_features, series_table, training_table
 from barloom.models.forecast import Forecaster
 from barloom.models.gram import gram, matrix, solve, vectors
 from barloom.models.windows import Folds
@@ -19,7 +19,7 @@ from barloom.operators.indicators import INDICATORS
 from barloom.sources import store
 from barloom.session import work_path, written
 from barloom.plans.catalog import DB, HB, HOURLY_SYMBOLS, HOURLY_TARGET, TARGETS, Tables, panel_sql, query
-from barloom.plans.windows import SET_SQL
+from barloom.plans.windows import INDICATOR_SELECT, SET_SQL, indicator_ctes
 
 SERIES_FEATURES = ["open", "volume", *INDICATORS]
 SEQUENCE_STEPS = SHORT.sequence_steps
@@ -153,11 +153,8 @@ def model_store(t: Tables) -> DataFrame:
 
 # --- the two orders of filling and indicators -----------------------------------------------------------------------
 
-_KEPT = ["close", "sma_20", "roc"]
+_KEPT = [*OHLCV, *INDICATORS]
 _KEPT_COLS = [f"{s}_{f}" for s in HOURLY_SYMBOLS for f in _KEPT]
-_BY_SYMBOL = "PARTITION BY symbol ORDER BY ts"
-_CALC = f"""CASE WHEN count(close) OVER f20 = 20 THEN avg(close) OVER f20 END AS sma_20, close / nullif(lag(close, 10) OVER ({_BY_SYMBOL}), 0) - 1 AS roc"""
-_F20 = f"WINDOW f20 AS ({_BY_SYMBOL} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
 
 
 def _filled_sql(c: str) -> str:
@@ -174,14 +171,14 @@ def _missing_sql(cols: list[str]) -> str:
 
 @query(
     "features_then_fill",
-    f"""WITH {HB}, ind AS (SELECT *, {_CALC} FROM hb {_F20}), {panel_sql('ind', 'panel', HOURLY_SYMBOLS, _KEPT)},
-    numbered AS (SELECT *, row_number() OVER (ORDER BY ts) AS pos FROM panel WHERE {_missing_sql(_KEPT_COLS)} <= 9)
+    f"""WITH ind AS ({SET_SQL}), {panel_sql('ind', 'panel', HOURLY_SYMBOLS, _KEPT)},
+    numbered AS (SELECT *, row_number() OVER (ORDER BY ts) AS pos FROM panel WHERE {_missing_sql(_KEPT_COLS)} <= {SHORT.max_missing_train.number})
     SELECT ts, CAST(pos AS BIGINT) AS pos, {", ".join(_filled_sql(c) for c in _KEPT_COLS)} FROM numbered""",
     doubles=" ".join(_KEPT_COLS),
 )
 def features_then_fill_query(t: Tables) -> DataFrame:
     """Indicators on each symbol's own bars, then one timeline without gaps."""
-    out = features_then_fill(t.hourly(), HOURLY_SYMBOLS, max_missing=Cells(9), step_seconds=HOUR, names=_KEPT)
+    out = features_then_fill(t.hourly(), HOURLY_SYMBOLS, max_missing=SHORT.max_missing_train, step_seconds=HOUR)
     return out.withColumnRenamed("_pos", "pos")
 
 
@@ -194,14 +191,14 @@ _CELL_COLS = [f"{s}_{f}" for s in HOURLY_SYMBOLS for f in _CELLS]
     f"""WITH {HB}, {panel_sql('hb', 'panel', HOURLY_SYMBOLS, _CELLS)},
     numbered AS (SELECT *, row_number() OVER (ORDER BY ts) AS pos FROM panel WHERE {_missing_sql(_CELL_COLS)} <= 15),
     filled AS (SELECT ts, pos, {", ".join(_filled_sql(c) for c in _CELL_COLS)} FROM numbered),
-    long AS ({" UNION ALL ".join(f"SELECT ts, pos, '{s}' AS symbol, {s}_close AS close FROM filled" for s in HOURLY_SYMBOLS)}),
-    ind AS (SELECT *, {_CALC} FROM long {_F20})
-    SELECT ts, CAST(pos AS BIGINT) AS pos, {", ".join(f"max(CASE WHEN symbol = '{s}' THEN {f} END) AS {s}_{f}" for s in HOURLY_SYMBOLS for f in _KEPT)} FROM ind GROUP BY ts, pos""",
+    long AS ({" UNION ALL ".join(f"SELECT ts, '{s}' AS symbol, {', '.join(f'{s}_{c} AS {c}' for c in OHLCV)} FROM filled" for s in HOURLY_SYMBOLS)}),
+    {indicator_ctes('long')}, ind AS ({INDICATOR_SELECT})
+    SELECT filled.ts, CAST(pos AS BIGINT) AS pos, {", ".join(f"max(CASE WHEN symbol = '{s}' THEN ind.{f} END) AS {s}_{f}" for s in HOURLY_SYMBOLS for f in _KEPT)} FROM filled JOIN ind ON ind.ts = filled.ts GROUP BY filled.ts, pos""",
     doubles=" ".join(_KEPT_COLS),
 )
 def fill_then_features_query(t: Tables) -> DataFrame:
     """One timeline without gaps, then indicators on the filled bars."""
-    out = fill_then_features(t.hourly(), HOURLY_SYMBOLS, max_missing=Share(0.6), step_seconds=HOUR, names=_KEPT)
+    out = fill_then_features(t.hourly(), HOURLY_SYMBOLS, max_missing=SHORT.max_missing_predict, step_seconds=HOUR)
     return out.withColumnRenamed("_pos", "pos")
 
 

@@ -287,20 +287,24 @@ def sequences(t: Tables) -> DataFrame:
     )
 
 
-SET_SQL = f"""WITH {HB},
-a AS (SELECT *, {_ewm_sql('close', 12)} AS ema_12, {_ewm_sql('close', 26)} AS ema_26,
+def indicator_ctes(source: str) -> str:
+    """CTEs up to `c`, from which `INDICATOR_SELECT` takes all indicators of the bars in `source`."""
+    return f"""a AS (SELECT *, {_ewm_sql('close', 12)} AS ema_12, {_ewm_sql('close', 26)} AS ema_26,
    {_strict('avg', 'close', 20)} AS bb_middle, {_strict('stddev_samp', 'close', 20)} AS sd,
    close - lag(close) OVER ({_W}) AS step, lag(close) OVER ({_W}) AS pc, {_STOCH_K},
-   {_strict('avg', 'volume', 20)} AS volume_sma, {_pct(10)} AS roc, {_pct(1)} AS ret FROM hb),
+   {_strict('avg', 'volume', 20)} AS volume_sma, {_pct(10)} AS roc, {_pct(1)} AS ret FROM {source}),
 b AS (SELECT *, ema_12 - ema_26 AS macd, coalesce(greatest(step, 0), 0) AS up, coalesce(greatest(-step, 0), 0) AS down,
    greatest(high - low, abs(high - pc), abs(low - pc)) AS tr FROM a),
 c AS (SELECT *, {_ewm_sql('macd', 9)} AS macd_signal, {_strict('avg', 'up', 14)} AS gain,
    {_strict('avg', 'down', 14)} AS loss, {_strict('avg', 'tr', 14)} AS atr, {_strict('avg', 'stoch_k', 3)} AS stoch_d,
-   {_strict('stddev_samp', 'ret', 20)} AS volatility FROM b)
-SELECT symbol, ts, open, high, low, close, volume, bb_middle AS sma_20, ema_12, ema_26, macd, macd_signal,
+   {_strict('stddev_samp', 'ret', 20)} AS volatility FROM b)"""
+
+
+INDICATOR_SELECT = f"""SELECT symbol, ts, open, high, low, close, volume, bb_middle AS sma_20, ema_12, ema_26, macd, macd_signal,
    macd - macd_signal AS macd_hist, {_RSI} AS rsi, bb_middle, bb_middle + 2 * sd AS bb_upper,
    bb_middle - 2 * sd AS bb_lower, (bb_middle + 2 * sd) - (bb_middle - 2 * sd) AS bb_width, atr, stoch_k, stoch_d, volume_sma,
    volume / nullif(volume_sma, 0) AS volume_ratio, roc, volatility FROM c"""
+SET_SQL = f"WITH {HB}, {indicator_ctes('hb')} {INDICATOR_SELECT}"
 
 
 @query("indicator_set", SET_SQL, doubles=" ".join(indicators.INDICATORS))

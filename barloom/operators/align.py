@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import cells_where
-from barloom.operators.blocks import chunk_of, over_blocks
+from barloom.operators.blocks import over_blocks
+from barloom.operators.facts import BROADCAST_FACTS, join_facts
+from barloom.session import written
 
 
 def wide_panel(bars: DataFrame, symbols: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -79,48 +81,46 @@ def calendar_reindex(
 def nearest_rows(
     probes: DataFrame, bars: DataFrame, cols: Sequence[str], *, by: Sequence[str] = ("symbol",), step_seconds: int
 ) -> DataFrame:
-    """For each probe time the bar nearest in time, the earlier one on a tie.
+    """For each probe time the bar nearest in time, the earlier one on a tie; NULL without a time or without bars.
 
-    Probe times and bars form one timeline that is cut into calendar chunks; inside a chunk windows find the bars
-    before and after, across chunks a table with one row per chunk does.
+    Bars of a series are kept in arrays of ASOF_ROWS bar widths (`step_seconds`), each with the last bar before and the first one
+    after it; a gap in the calendar holds just these two. A probe meets the one array of its time and is searched there, so no
+    window runs over probes, and any number of them may fall into one bar.
     """
     by = list(by)
-    keys = [*by, "_chunk"]
-    bar = F.struct(F.col("ts").alias("bar_ts"), *cols)
-    times = probes.select(*by, "ts").distinct().withColumn("_bar", F.lit(None))
-    marks = bars.select(*by, "ts", bar.alias("_bar"))
-    line = marks.withColumn("_probe", F.lit(0)).unionByName(
-        times.withColumn("_bar", F.lit(None).cast(marks.schema["_bar"].dataType)).withColumn("_probe", F.lit(1))
-    ).withColumn("_chunk", chunk_of("ts", step_seconds))
-
-    ends = line.filter(F.col("_probe") == 0).groupBy(*keys).agg(
-        F.max_by("_bar", "ts").alias("_last"), F.min_by("_bar", "ts").alias("_first")
-    )
-    chunks = line.select(*keys).distinct().join(ends, keys, "left")
-    series, inner = Window.partitionBy(*by), Window.partitionBy(*keys)
-    earlier, so_far = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, 0)
-    carry = chunks.select(
-        *keys,
-        F.last("_last", ignorenulls=True).over(series.orderBy("_chunk").rowsBetween(*earlier)).alias("_back"),
-        F.last("_first", ignorenulls=True).over(series.orderBy(F.col("_chunk").desc()).rowsBetween(*earlier)).alias("_ahead"),
-    )
-    upto = inner.orderBy("ts", "_probe").rowsBetween(*so_far)
-    onward = inner.orderBy(F.col("ts").desc(), "_probe").rowsBetween(*so_far)
-    found = (
-        line.withColumn("_l", F.last("_bar", ignorenulls=True).over(upto))
-        .withColumn("_r", F.last("_bar", ignorenulls=True).over(onward))
-        .filter(F.col("_probe") == 1)
-        .join(carry, keys)
-        .withColumn("_l", F.coalesce("_l", "_back"))
-        .withColumn("_r", F.coalesce("_r", "_ahead"))
-    )
+    arrays = written(_candidates(bars, cols, by, step_seconds), "candidates")
+    ends = arrays.groupBy(*by).agg(F.min("_chunk").alias("_from"), F.max("_chunk").alias("_to"))
+    few = (arrays.agg(F.sum(F.size("_bars"))).first()[0] or 0) <= BROADCAST_FACTS
+    at = F.greatest(F.least(_asof_chunk("ts", step_seconds), F.col("_to")), F.col("_from"))
+    placed = join_facts(probes, ends, by, how="left").withColumn("_chunk", at).drop("_from", "_to")
+    met = join_facts(placed, arrays, [*by, "_chunk"], limit=BROADCAST_FACTS if few else 0, how="left")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    nearest = F.array_min(F.transform("_bars", lambda b: F.struct(F.abs(b["us"] - micros).alias("gap"), b.alias("bar"))))["bar"]
+    best = met.withColumn("_best", F.when(F.col("ts").isNotNull(), nearest))
+    return best.select(*probes.columns, "_best.bar_ts", *[f"_best.{c}" for c in cols])
+
 
-    def gap(side: str):
-        return F.abs(F.timestamp_diff("MICROSECOND", F.col(f"{side}.bar_ts"), F.col("ts")))
+ASOF_ROWS = 64
 
-    pick = F.when(F.col("_r").isNull() | (gap("_l") <= gap("_r")), F.col("_l")).otherwise(F.col("_r"))
-    best = found.withColumn("_best", pick).select(*by, "ts", "_best.bar_ts", *[f"_best.{c}" for c in cols])
-    return probes.join(best, [*by, "ts"], "left")
+
+def _asof_chunk(ts: str, step_seconds: int) -> Column:
+    return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / F.lit(step_seconds * ASOF_ROWS)).cast("long")
+
+
+def _candidates(bars: DataFrame, cols: Sequence[str], by: Sequence[str], step_seconds: int) -> DataFrame:
+    """(by, _chunk, _bars): every stretch of the calendar between a series' first and last bar with the bars to search for it."""
+    bar = F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("ts").alias("bar_ts"), *cols)
+    keys = [*by, "_chunk"]
+    own = bars.filter(F.col("ts").isNotNull()).withColumn("_chunk", _asof_chunk("ts", step_seconds))
+    own = own.groupBy(*keys).agg(F.array_sort(F.collect_list(bar)).alias("_own"))
+    series = Window.partitionBy(*by).orderBy("_chunk")
+    before, after = F.lag(F.element_at("_own", -1)).over(series), F.lead(F.element_at("_own", 1)).over(series)
+    linked = own.select(*keys, "_own", before.alias("_b"), after.alias("_a"), F.lead("_chunk").over(series).alias("_next"))
+    present = lambda *xs: F.filter(F.array(*xs), lambda x: x.isNotNull())
+    full = F.struct(F.col("_chunk"), F.concat(present(F.col("_b")), F.col("_own"), present(F.col("_a"))).alias("_bars"))
+    gap = F.when(F.col("_next") > F.col("_chunk") + 1, F.sequence(F.col("_chunk") + 1, F.col("_next") - 1)).otherwise(F.array().cast("array<bigint>"))
+    between = F.transform(gap, lambda c: F.struct(c.alias("_chunk"), present(F.element_at("_own", -1), F.col("_a")).alias("_bars")))
+    return linked.select(*by, F.inline(F.concat(F.array(full), between)))
 
 
 def forecast_times(last: DataFrame, *, steps: int, step_seconds: int, keys: Sequence[str] = ()) -> DataFrame:

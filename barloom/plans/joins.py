@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,9 +72,9 @@ def align_xy(t: Tables) -> DataFrame:
   FROM l JOIN r ON l.event_id = r.event_id""")
 def nearest_row(t: Tables) -> DataFrame:
     """For every tick the nearest hourly bar in the visible range."""
-    visible = t.hourly().filter(F.col("ts").between(F.lit("2024-01-05").cast("timestamp_ntz"), F.lit("2024-01-25").cast("timestamp_ntz")))
+    visible = t.hourly(since=dt.datetime(2024, 1, 5), until=dt.datetime(2024, 1, 25))
     probes = t.table("events").select("event_id", F.col("event_type").alias("symbol"), "ts")
-    out = align.nearest_rows(probes, visible, ["close"], step_seconds=1)
+    out = align.nearest_rows(probes, visible, ["close"], step_seconds=HOUR)
     return out.select("event_id", "symbol", "ts", "bar_ts", "close")
 
 

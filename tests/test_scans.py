@@ -7,6 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.config import HOUR
 from barloom.operators import facts, views
 from barloom.plans.catalog import Tables
 from barloom.sources.ticks import bars, recent_bars, within
@@ -67,3 +68,23 @@ def test_facts_beyond_the_limit_are_salted(spark):
     salted = facts.join_facts(rows, table, ["symbol"], limit=0, salts=8)
     assert sorted(salted.collect()) == wanted == sorted(facts.join_facts(rows, table, ["symbol"]).collect())
     assert "_salt" in salted._jdf.queryExecution().executedPlan().toString() and salted.columns == ["symbol", "id", "top"]
+
+
+def test_nearest_rows_with_all_probes_in_one_hour(spark, monkeypatch):
+    """Probes before, inside and after sparse bars, thousands of them in one gap, broadcast and salted alike."""
+    from barloom.operators import align
+
+    times = sorted({T0 + dt.timedelta(hours=h) for h in (0, 1, 2, 70, 71, 500, 5000)})
+    bars_ = spark.createDataFrame([(s, t, float(k)) for s in "ab" for k, t in enumerate(times)], "symbol STRING, ts TIMESTAMP_NTZ, close DOUBLE")
+    probes = [("a", T0 + dt.timedelta(hours=300, seconds=k % 3600)) for k in range(4000)]
+    probes += [("b", T0 + dt.timedelta(hours=h, minutes=30)) for h in (-900, -1, 0, 1, 35, 70, 285, 2750, 4999, 9000)] + [("a", None), ("none", T0)]
+    table = spark.createDataFrame([(i, *p) for i, p in enumerate(probes)], "id INT, symbol STRING, ts TIMESTAMP_NTZ")
+    want = {}
+    for i, (s, t) in enumerate(probes):
+        want[i] = None if t is None or s == "none" else min(times, key=lambda x: (abs(x - t), x))
+    for limit in (100_000, 0):
+        monkeypatch.setattr(align, "BROADCAST_FACTS", limit)
+        got = align.nearest_rows(table, bars_, ["close"], step_seconds=HOUR)
+        assert got.columns == ["id", "symbol", "ts", "bar_ts", "close"]
+        assert {r["id"]: r["bar_ts"] for r in got.collect()} == want
+        assert "Window" not in got._jdf.queryExecution().executedPlan().toString()

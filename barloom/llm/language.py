@@ -1,6 +1,6 @@
 """Language ID by hyperdimensional profiles.
 
-Every letter has a random vector of +-1. A letter n-gram is the product of its letters' vectors, each rotated by its place; a
+Every letter of every script has a random vector of +-1 of its own. A letter n-gram is the product of its letters' vectors, each rotated by its place; a
 document is the sum of its n-grams' vectors; a language's prototype is the sum of the unit vectors of its training documents.
 The language whose prototype has the largest cosine with the document wins (ties: the first in order of name).
 
@@ -24,67 +24,72 @@ from barloom.llm.registry import query, table
 
 SIZE = 1024
 GRAM = 3
-LETTERS = 64  # class 0: the gap between words; 1-26: a-z; 27-63: all other letters by code point
+LETTER_BITS = 21  # of a code point
 UNKNOWN = "und"
 TRAIN_PER_LANGUAGE = 8000  # expected bound of the training documents of one language
 MIN_SCORE = 0.05
+GRAMS = 4096  # n-grams whose vectors are laid out at once
 
 
 @lru_cache(maxsize=1)
-def letter_classes() -> np.ndarray:
-    """The letter class of each code point below 65,536, 0 for what is no letter."""
-    out = np.zeros(1 << 16, np.uint8)
-    for c in range(1 << 16):
-        if chr(c).isalpha():
-            out[c] = letter_class(c)
-    return out
+def letter_codes() -> np.ndarray:
+    """The lower-case letter of each code point below 65,536, 0 for what is no letter."""
+    return np.array([letter_code(c) for c in range(1 << 16)], np.uint32)
 
 
-def letter_class(c: int) -> int:
-    low = ord(chr(c).lower()[0])
-    return low - 96 if 97 <= low <= 122 else 27 + low % 37
+def letter_code(c: int) -> int:
+    return ord(chr(c).lower()[0]) if chr(c).isalpha() else 0
 
 
-@lru_cache(maxsize=1)
-def letter_vectors() -> np.ndarray:
-    bits = texts.constants(LETTERS * SIZE, 11) >> np.uint64(40) & np.uint64(1)
-    return (2 * bits.astype(np.int8) - 1).reshape(LETTERS, SIZE)
+def letter_vectors(letters: np.ndarray) -> np.ndarray:
+    """A random vector of +-1 for each letter, drawn from a hash of its code point; 0 is the gap between words."""
+    draws = texts.mix(letters.astype(np.uint64)[:, None] ^ texts.constants(SIZE // 64, 11)[None, :])
+    bits = np.unpackbits(np.ascontiguousarray(draws).view(np.uint8), axis=1)
+    return 2 * bits.astype(np.int8) - 1
 
 
 def gram_vectors(codes: np.ndarray) -> np.ndarray:
-    """Vectors of n-grams, given as numbers with one base-64 digit for each letter."""
-    letters, out = letter_vectors(), np.ones((len(codes), SIZE), np.int8)
+    """Vectors of n-grams, given as numbers with LETTER_BITS bits for each letter."""
+    letters = np.stack([codes >> LETTER_BITS * k & ((1 << LETTER_BITS) - 1) for k in range(GRAM)])
+    known, at = np.unique(letters, return_inverse=True)
+    table_, at, out = letter_vectors(known), at.reshape(letters.shape), np.ones((len(codes), SIZE), np.int8)
     for k in range(GRAM):
-        out *= np.roll(letters, k, axis=1)[codes // LETTERS**k % LETTERS]
+        out *= np.roll(table_, k, axis=1)[at[k]]
     return out
 
 
-def _classes(data: np.ndarray) -> np.ndarray:
+def _letters(data: np.ndarray) -> np.ndarray:
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    classes = letter_classes()[np.minimum(points, 0xFFFF)]
+    letters = letter_codes()[np.minimum(points, 0xFFFF)]
     for c in np.unique(points[points > 0xFFFF]):
-        classes[points == c] = letter_class(int(c)) if chr(c).isalpha() else 0
-    return classes
+        letters[points == c] = letter_code(int(c))
+    return letters
 
 
 def vectors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The document vector of each text of a chunk, and whether it has a letter."""
     points = np.concatenate([[0], np.cumsum(texts.code_points(data))])[offsets]
-    classes = _classes(data)
-    each = []
+    letters = _letters(data)
+    codes, counts, sizes = [], [], []
     for a, b in zip(points[:-1], points[1:]):
-        c = np.concatenate([[0], classes[a:b], [0]]).astype(np.int64)
+        c = np.concatenate([[0], letters[a:b], [0]]).astype(np.int64)
         c = c[np.append(True, (c[1:] != 0) | (c[:-1] != 0))]  # one gap, however wide
-        codes = sum(c[k : len(c) - GRAM + 1 + k] * LETTERS ** (GRAM - 1 - k) for k in range(GRAM))
-        each.append(np.unique(codes[codes > 0], return_counts=True) if c.any() else (np.empty(0, np.int64), np.empty(0, np.int64)))
-    all_codes = np.unique(np.concatenate([e[0] for e in each]))
-    counts = np.zeros((len(each), len(all_codes)), np.float32)
-    for i, (codes, n) in enumerate(each):
-        counts[i, np.searchsorted(all_codes, codes)] = n
-    out = np.zeros((len(each), SIZE), np.float32)
-    for k in range(0, len(all_codes), 4096):
-        out += counts[:, k : k + 4096] @ gram_vectors(all_codes[k : k + 4096]).astype(np.float32)
-    return out, np.array([len(e[0]) > 0 for e in each])
+        grams = sum(c[k : len(c) - GRAM + 1 + k] << LETTER_BITS * (GRAM - 1 - k) for k in range(GRAM)) if c.any() else c[:0]
+        found, n = np.unique(grams[grams > 0], return_counts=True)
+        codes.append(found)
+        counts.append(n)
+        sizes.append(len(found))
+    owner, n = np.repeat(np.arange(len(sizes)), sizes), np.concatenate(counts)
+    all_codes, at = np.unique(np.concatenate(codes), return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    owner, n, at = owner[order], n[order], at[order]
+    out = np.zeros((len(sizes), SIZE), np.float32)
+    for k in range(0, len(all_codes), GRAMS):
+        part = slice(*np.searchsorted(at, [k, k + GRAMS]))
+        block = np.zeros((len(sizes), len(all_codes[k : k + GRAMS])), np.float32)
+        block[owner[part], at[part] - k] = n[part]
+        out += block @ gram_vectors(all_codes[k : k + GRAMS]).astype(np.float32)
+    return out, np.array(sizes) > 0
 
 
 def unit(x: np.ndarray) -> np.ndarray:

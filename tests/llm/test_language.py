@@ -9,13 +9,13 @@ from barloom.llm import language, registry
 
 def plain_vector(text: str) -> np.ndarray:
     """Letter by letter, without tables."""
-    vectors = language.letter_vectors().astype(np.int64)
     classes = [0]
     for c in text:
-        k = language.letter_class(ord(c)) if c.isalpha() else 0
+        k = ord(c.lower()[0]) if c.isalpha() else 0
         if k or classes[-1]:
             classes.append(k)
     classes += [0] if classes[-1] else []
+    vectors = {k: language.letter_vectors(np.array([k]))[0].astype(np.int64) for k in classes}
     total = np.zeros(language.SIZE)
     for a, b, c in zip(classes, classes[1:], classes[2:]):
         if a or b or c:
@@ -24,7 +24,7 @@ def plain_vector(text: str) -> np.ndarray:
 
 
 def test_vectors_equal_plain_python():
-    texts = [t for t in ODD if t and any(c.isalpha() for c in t) and len(t) < 4000] + ["The quick, brown fox.", "Straße İstanbul 𝒜b"]
+    texts = [t for t in ODD if t and any(c.isalpha() for c in t) and len(t) < 4000] + ["The quick, brown fox.", "Straße İstanbul 𝒜b", "한국어 문장 하나", "漢字 𠀀𠀁 कखग"]
     raw = [t.encode() for t in texts]
     offsets = np.cumsum([0, *map(len, raw)])
     got, letters = language.vectors(np.frombuffer(b"".join(raw), np.uint8), offsets)
@@ -33,6 +33,24 @@ def test_vectors_equal_plain_python():
         assert np.array_equal(v, plain_vector(t)), t
 
 
+def test_letters_of_all_scripts_have_vectors_of_their_own():
+    """Letters that agree modulo small numbers, and two languages that share a script of many letters."""
+    points = [ord(c) for c in "azабвαβ"] + list(range(0xAC00, 0xAC00 + 11_172, 37)) + list(range(0x4E00, 0x4E00 + 20_991, 37))
+    v = language.letter_vectors(np.array(points)).astype(np.float32)
+    close = np.abs(v @ v.T / language.SIZE)
+    np.fill_diagonal(close, 0)
+    assert close.max() < 0.25 and np.abs(v.mean(axis=0)).max() < 0.2
+
+
+def test_scripts_of_many_letters(spark):
+    rng = np.random.default_rng(5)
+    words = {name: ["".join(chr(0xAC00 + 37 * int(k) + shift) for k in rng.integers(0, 300, 4)) for _ in range(80)] for name, shift in (("x", 0), ("y", 37))}
+    rows = [(i, " ".join(rng.choice(words[name], 30)), name) for i in range(400) for name in ("xy"[i % 2],)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING")
+    got = language.classified(docs).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) > 0.99 * len(got)
+
+
 def test_texts_without_letters_and_empty_tables(spark):
     docs = spark.createDataFrame(
         [(i, t, "en") for i, t in enumerate(["hello there world", None, "", "12 % 3", "\n"])] + [(None, "hallo welt und so", "de"), (9, "zz", None)],

@@ -1,7 +1,7 @@
 """Licence scan by canonical digests.
 
 A text is made canonical line by line: lower case, equivalent spellings replaced, everything but letters and digits turned into
-single spaces, copyright lines (COPYRIGHT) and empty lines dropped; the lines are joined by spaces, so line breaks do not matter,
+single spaces, copyright lines (`copyright_line`) and empty lines dropped; the lines are joined by spaces, so line breaks do not matter,
 also where a clause of the licence goes on with "copyright" in the next line. The
 SHA-256 of that is looked up among the digests of known licences by a hash join: whole texts against licence texts, single
 lines against licence notices. Known texts are a table (licence, kind, text), so others can be added; it is broadcast after its
@@ -26,9 +26,32 @@ from barloom.llm.registry import query, table
 
 BROADCAST_ROWS = 100_000
 
-#: Equivalent spellings and the form kept, as regular expressions on lower-case text.
+#: Equivalent words of the published matching guidelines, as regular expressions on lower-case text and the form kept.
 SPELLINGS = (
-    (r"licence", "license"), (r"sub-licen[cs]e", "sublicense"), (r"https?://", ""), (r"version 2\.0\b", "version 2"), (r"non-commercial", "noncommercial"),
+    (r"https?://", ""),
+    (r"licence", "license"),
+    (r"\b(analog|catalog)ue(s?)\b", "$1$2"),
+    (r"\banalys(e|ed|er|es|ing)\b", "analyz$1"),
+    (r"\b(author|capital|categor|emphas|initial|maxim|optim|organ|real|recogn|util)is(e|ed|er|es|ing|ation|ations)\b", "$1iz$2"),
+    (r"\b(calib|cent)re(s?)\b", "$1er$2"),
+    (r"\b(cancel|label|model|signal)l(ed|ing)\b", "$1$2"),
+    (r"\b(fav|lab)our", "$1or"),
+    (r"\b(acknowledg|judg)ement", "$1ment"),
+    (r"\bfulfil(s|ment|)\b", "fulfill$1"),
+    (r"\b(artefact)", "artifact"),
+    (r"\boffence", "offense"),
+    (r"\bpractis", "practic"),
+    (r"\bprogramme(s?)\b", "program$1"),
+    (r"\bwhilst\b", "while"),
+    (r"\bwill?full?\b", "willful"),
+)
+#: The same for more than one word, after punctuation has become spaces; a line may break inside.
+PHRASES = (
+    (r"\bcopyright holder", "copyright owner"),
+    (r"\bnon (commercial|infring)", "non$1"),
+    (r"\bsub licen[cs]", "sublicens"),
+    (r"\bper cent\b", "percent"),
+    (r"\bversion 2 0\b", "version 2"),
 )
 #: Words after "copyright" that go on with a clause; a name follows otherwise.
 _CLAUSE = (
@@ -40,11 +63,9 @@ _YEAR = r"((19|20)\d\d|\d\dyy|yyyy|year\b)"
 _MARKED = rf"(\W*({_YEAR}|\(c\)|©)|\s*[\[<{{])"
 #: A copyright line: © or the word or (c) before a year, a placeholder or another mark; the word before a name; (c) in a line that ends in a
 #: year. Wrapped clauses ("copyright notice and ...", "COPYRIGHT HOLDERS BE LIABLE") and clauses lettered (c) are none.
-COPYRIGHT = (
-    rf"^\W*(©|(\(c\)\W*)?copyright\b({_MARKED}|\s*:?\s+(?!({_CLAUSE})\b)[\p{{L}}\p{{N}}])|\(c\)({_MARKED}|\s.*\b(19|20)\d\d\W*$))"
-)
-#: The reference SQL keeps the simpler pattern: every line that begins with the word or a mark.
-_SQL_COPYRIGHT = r"^\W*(copyright\b|\(c\)|©)"
+_MARK = rf"^\W*(©|(\(c\)\W*)?copyright\b{_MARKED}|\(c\)({_MARKED}|\s.*\b(19|20)\d\d\W*$))"
+_NAME = r"^\W*(\(c\)\W*)?copyright\b\s*:?\s+[\p{L}\p{N}]"
+_GOES_ON = rf"^\W*(\(c\)\W*)?copyright\b\s*:?\s+({_CLAUSE})\b"
 
 #: Public licence texts and notices. Only the words count, not their layout.
 _WARRANTY = (
@@ -91,10 +112,14 @@ NOTICES = (
 )
 
 
+def copyright_line(line: Column) -> Column:
+    return F.rlike(line, F.lit(_MARK)) | (F.rlike(line, F.lit(_NAME)) & ~F.rlike(line, F.lit(_GOES_ON)))
+
+
 def canonical_lines(text: Column) -> Column:
-    """The canonical lines of a text."""
+    """The canonical lines of a text, before phrases are replaced."""
     lines = F.split(F.lower(F.coalesce(text, F.lit(""))), "\n", -1)
-    lines = F.filter(lines, lambda x: ~F.rlike(x, F.lit(COPYRIGHT)))
+    lines = F.filter(lines, lambda x: ~copyright_line(x))
 
     def words(x: Column) -> Column:
         for pattern, kept_form in SPELLINGS:
@@ -104,16 +129,26 @@ def canonical_lines(text: Column) -> Column:
     return F.array_remove(F.transform(lines, words), "")
 
 
+def digest(canonical: Column) -> Column:
+    """The digest of canonical lines joined by spaces, phrases replaced."""
+    for pattern, kept_form in PHRASES:
+        canonical = F.regexp_replace(canonical, pattern, kept_form)
+    return F.sha2(canonical, 256)
+
+
 def known_digests(known: DataFrame) -> DataFrame:
     """Columns kind, digest, licence of a table of known texts (licence, kind, text)."""
-    digest = F.sha2(F.array_join(canonical_lines(F.col("text")), " "), 256)
-    return known.groupBy("kind", digest.alias("digest")).agg(F.min("licence").alias("licence"))
+    found = digest(F.array_join(canonical_lines(F.col("text")), " "))
+    return known.groupBy("kind", found.alias("digest")).agg(F.min("licence").alias("licence"))
+
+
+def data_rows() -> list[dict]:
+    return [json.loads(line) for line in (Path(__file__).parent / "known_licences.jsonl").read_text("utf-8").splitlines()]
 
 
 def wordings() -> Iterator[tuple[str, str, str]]:
     """Rows (licence, kind, text) of the data file."""
-    for line in (Path(__file__).parent / "known_licences.jsonl").read_text("utf-8").splitlines():
-        row = json.loads(line)
+    for row in data_rows():
         for title in row.get("titles", []):
             for rights in ("", "All rights reserved.")[: 1 + row["rights_line"]]:
                 yield row["licence"], "text", f"{title}\n{rights}\n{row['text']}"
@@ -135,43 +170,63 @@ def scan(docs: DataFrame, known: DataFrame, *, id_column: str = "doc_id", text_c
     side = F.broadcast if small else (lambda x: x)
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("row"), canonical_lines(F.col(text_column)).alias("lines"))
     parts = rows.select(
-        "id", "row", F.sha2(F.array_join("lines", " "), 256).alias("whole"),
+        "id", "row",
         F.explode_outer(F.concat(F.array(F.struct(F.lit("text").alias("kind"), F.array_join("lines", " ").alias("x"))),
                                  F.transform("lines", lambda x: F.struct(F.lit("notice").alias("kind"), x.alias("x"))))).alias("part"),
     )
-    parts = parts.select("id", "row", "whole", F.col("part.kind").alias("kind"), F.sha2(F.col("part.x"), 256).alias("digest"))
+    parts = parts.select("id", "row", F.col("part.kind").alias("kind"), digest(F.col("part.x")).alias("digest"))
     hits = parts.join(side(digests), ["kind", "digest"]).select("id", "row", "kind", "licence")
     hits = hits.groupBy("id", "row").agg(
         F.min(F.when(F.col("kind") == "text", F.col("licence"))).alias("licence"),
         F.array_join(F.sort_array(F.collect_set(F.when(F.col("kind") == "notice", F.col("licence")))), ",").alias("notices"),
     )
-    slim = rows.select("id", "row", F.sha2(F.array_join("lines", " "), 256).alias("digest"))
+    slim = rows.select("id", "row", digest(F.array_join("lines", " ")).alias("digest"))
     hits = hits.withColumnsRenamed({"id": "_id", "row": "_row"})
     out = slim.join(hits, (F.col("row") == F.col("_row")) & F.col("id").eqNullSafe(F.col("_id")), "left")
     return out.select(F.col("id").alias(id_column), "digest", "licence", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
 def _sql() -> str:
+    """The same over the same known wordings; titles, rights lines, names and notices are crossed in SQL."""
+
     def quoted(x: str) -> str:
         return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
+    def values(rows: list[tuple[str, ...]]) -> str:
+        return "(VALUES " + ", ".join("(" + ", ".join(quoted(x) for x in row) + ")" for row in rows) + ")"
+
+    def replaced(x: str, pairs: tuple[tuple[str, str], ...]) -> str:
+        for pattern, kept_form in pairs:
+            x = f"regexp_replace({x}, '{pattern}', '{kept_form.replace('$', chr(92))}', 'g')"
+        return x
+
     def canonical(x: str) -> str:
-        line = "x"
-        for pattern, kept_form in SPELLINGS:
-            line = f"regexp_replace({line}, '{pattern}', '{kept_form}', 'g')"
-        line = rf"trim(regexp_replace({line}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
-        lines = f"list_filter(string_split(lower(coalesce({x}, '')), chr(10)), lambda y: NOT regexp_matches(y, '{_SQL_COPYRIGHT}'))"
+        line = rf"trim(regexp_replace({replaced('x', SPELLINGS)}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+        right = f"regexp_matches(y, '{_MARK}') OR (regexp_matches(y, '{_NAME}') AND NOT regexp_matches(y, '{_GOES_ON}'))"
+        lines = f"list_filter(string_split(lower(coalesce({x}, '')), chr(10)), lambda y: NOT ({right}))"
         return f"list_filter(list_transform({lines}, lambda x: {line}), lambda z: z <> '')"
 
-    rows = ", ".join(f"({quoted(a)}, {quoted(b)}, {quoted(c)})" for a, b, c in KNOWN)
+    known = data_rows()
+    whole = [(r["licence"], f"{title}\n", rights, r["text"]) for r in known for title in r.get("titles", []) for rights in ("\n", "All rights reserved.\n")[: 1 + r["rights_line"]]]
+    texts_ = {t: str(k) for k, t in enumerate(dict.fromkeys(w[3] for w in whole))}
+    heads = values([(n, title, rights, texts_[t]) for n, title, rights, t in whole])
+    named = values([(r["licence"], name) for r in known for name in r.get("names", [])])
+    spdx = values([(r["licence"], name) for r in known for name in r.get("spdx", [])])
+    notices = values([(n.split("{}")[0], n.split("{}")[1]) for n in NOTICES])
     return f"""
-WITH k AS (
-  SELECT kind, array_to_string({canonical('t')}, ' ') AS c, min(licence) AS licence FROM (VALUES {rows}) v(licence, kind, t) GROUP BY ALL
+WITH v AS (
+  SELECT * FROM {values(KNOWN)} v(licence, kind, t)
+  UNION ALL SELECT h.licence, 'text', h.title || h.rights || b.body FROM {heads} h(licence, title, rights, n)
+    JOIN {values([(k, t) for t, k in texts_.items()])} b(n, body) USING (n)
+  UNION ALL SELECT licence, 'notice', a || name || z FROM {named} l(licence, name), {notices} o(a, z)
+  UNION ALL SELECT licence, 'notice', 'SPDX-License-Identifier: ' || name FROM {spdx} i(licence, name)
+), k AS (
+  SELECT kind, {replaced(f"array_to_string({canonical('t')}, ' ')", PHRASES)} AS c, min(licence) AS licence FROM v GROUP BY ALL
 ), d AS (SELECT doc_id, {canonical('text')} AS ls FROM documents
-), w AS (SELECT doc_id, ls, array_to_string(ls, ' ') AS c FROM d
+), w AS (SELECT doc_id, ls, {replaced("array_to_string(ls, ' ')", PHRASES)} AS c FROM d
 ), n AS (
   SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices
-  FROM (SELECT doc_id, unnest(ls) AS c FROM d) JOIN k USING (c) WHERE kind = 'notice' GROUP BY doc_id
+  FROM (SELECT doc_id, {replaced('l', PHRASES)} AS c FROM (SELECT doc_id, unnest(ls) AS l FROM d)) JOIN k USING (c) WHERE kind = 'notice' GROUP BY doc_id
 )
 SELECT w.doc_id, sha256(w.c) AS digest, k.licence, coalesce(n.notices, '') AS notices
 FROM w LEFT JOIN k ON k.kind = 'text' AND k.c = w.c LEFT JOIN n USING (doc_id)

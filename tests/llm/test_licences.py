@@ -25,6 +25,21 @@ def test_equal_up_to_layout_and_spelling(spark):
     assert licences.scan(frame, licences.known_table(spark).limit(0)).filter("licence IS NOT NULL").count() == 0
 
 
+def test_equivalent_words(spark):
+    """Other spellings of a licence's words, also where a line breaks inside a phrase, and words that only look like them."""
+    pairs = [("noninfringement", "NON-INFRINGEMENT"), ("non-commercial", "noncommercial"), ("sublicense", "sub-licence"), ("copyright owner", "copyright\nholder"),
+             ("organization", "organisation"), ("authorized", "authorised"), ("labor", "labour"), ("center", "centre"), ("fulfillment", "fulfilment"),
+             ("judgment", "judgement"), ("acknowledgment", "acknowledgement"), ("while", "whilst"), ("willful", "wilful"), ("percent", "per\ncent"),
+             ("catalog", "catalogue"), ("modeling", "modelling"), ("program", "programme"), ("practice", "practise"), ("version 2", "Version 2.0"), ("analyze", "analyse")]
+    others = [("emphasis", "emphasize"), ("license", "licensed"), ("programmer", "program"), ("version 2.1", "version 2"), ("central", "center")]
+    body = next(t for n, k, t in licences.KNOWN if (n, k) == ("MIT", "text"))
+    frame = spark.createDataFrame([(f"to {a} it", f"To {b} it.") for a, b in pairs + others], "a STRING, b STRING")
+    form = lambda c: licences.digest(F.array_join(licences.canonical_lines(F.col(c)), " "))
+    assert [r[0] for r in frame.select(form("a") == form("b")).collect()] == [True] * len(pairs) + [False] * len(others)
+    docs = spark.createDataFrame([(1, body.replace("NONINFRINGEMENT", "NON-\nINFRINGEMENT").replace("COPYRIGHT HOLDERS", "COPYRIGHT\nOWNERS"))], "doc_id BIGINT, text STRING")
+    assert [r["licence"] for r in licences.scan(docs, licences.known_table(spark)).collect()] == ["MIT"]
+
+
 def test_wrapped_clauses_are_no_copyright_lines(spark):
     """Known texts wrapped at many widths, one of which starts a line with each of their words."""
     whole = [(n, t) for n, k, t in licences.KNOWN if k == "text"]

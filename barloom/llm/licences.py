@@ -112,6 +112,16 @@ NOTICES = (
 )
 
 
+def _replaced(x: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
+    """All replacements, for the few texts in which any pattern occurs."""
+    out = x
+    for pattern, kept_form in pairs:
+        out = F.regexp_replace(out, pattern, kept_form)
+    free = [p for p, _ in pairs if not p.startswith(r"\b")]
+    words = "|".join(p.removeprefix(r"\b") for p, _ in pairs if p.startswith(r"\b"))
+    return F.when(F.rlike(x, F.lit("|".join([*free, rf"\b({words})"]))), out).otherwise(x)
+
+
 def copyright_line(line: Column) -> Column:
     return F.rlike(line, F.lit(_MARK)) | (F.rlike(line, F.lit(_NAME)) & ~F.rlike(line, F.lit(_GOES_ON)))
 
@@ -122,18 +132,14 @@ def canonical_lines(text: Column) -> Column:
     lines = F.filter(lines, lambda x: ~copyright_line(x))
 
     def words(x: Column) -> Column:
-        for pattern, kept_form in SPELLINGS:
-            x = F.regexp_replace(x, pattern, kept_form)
-        return F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " "))
+        return F.trim(F.regexp_replace(_replaced(x, SPELLINGS), r"[^\p{L}\p{N}]+", " "))
 
     return F.array_remove(F.transform(lines, words), "")
 
 
 def digest(canonical: Column) -> Column:
     """The digest of canonical lines joined by spaces, phrases replaced."""
-    for pattern, kept_form in PHRASES:
-        canonical = F.regexp_replace(canonical, pattern, kept_form)
-    return F.sha2(canonical, 256)
+    return F.sha2(_replaced(canonical, PHRASES), 256)
 
 
 def known_digests(known: DataFrame) -> DataFrame:

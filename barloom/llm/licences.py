@@ -16,7 +16,9 @@ alike, known texts with equal digests once, under the first name. Empty tables g
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,32 +28,33 @@ from barloom.llm.registry import query, table
 
 BROADCAST_ROWS = 100_000
 
-#: Equivalent words of the published matching guidelines, as regular expressions on lower-case text and the form kept.
+#: Equivalent words of the published matching guidelines, as regular expressions on lower-case text, the form kept, and
+#: parts of which every match holds one.
 SPELLINGS = (
-    (r"https?://", ""),
-    (r"licence", "license"),
-    (r"\b(analog|catalog)ue(s?)\b", "$1$2"),
-    (r"\banalys(e|ed|er|es|ing)\b", "analyz$1"),
-    (r"\b(author|capital|categor|emphas|initial|maxim|optim|organ|real|recogn|util)is(e|ed|er|es|ing|ation|ations)\b", "$1iz$2"),
-    (r"\b(calib|cent)re(s?)\b", "$1er$2"),
-    (r"\b(cancel|label|model|signal)l(ed|ing)\b", "$1$2"),
-    (r"\b(fav|lab)our", "$1or"),
-    (r"\b(acknowledg|judg)ement", "$1ment"),
-    (r"\bfulfil(s|ment|)\b", "fulfill$1"),
-    (r"\b(artefact)", "artifact"),
-    (r"\boffence", "offense"),
-    (r"\bpractis", "practic"),
-    (r"\bprogramme(s?)\b", "program$1"),
-    (r"\bwhilst\b", "while"),
-    (r"\bwill?full?\b", "willful"),
+    (r"https?://", "", "://"),
+    (r"licence", "license", "licence"),
+    (r"\b(analog|catalog)ue(s?)\b", "$1$2", "alogue"),
+    (r"\banalys(e|ed|er|es|ing)\b", "analyz$1", "analys"),
+    (r"\b(author|capital|categor|emphas|initial|maxim|optim|organ|real|recogn|util)is(e|ed|er|es|ing|ation|ations)\b", "$1iz$2", "ise|ising|isation"),
+    (r"\b(calib|cent)re(s?)\b", "$1er$2", "calibre|centre"),
+    (r"\b(cancel|label|model|signal)l(ed|ing)\b", "$1$2", "lled|lling"),
+    (r"\b(fav|lab)our", "$1or", "favour|labour"),
+    (r"\b(acknowledg|judg)ement", "$1ment", "dgement"),
+    (r"\bfulfil(s|ment|)\b", "fulfill$1", "fulfil"),
+    (r"\b(artefact)", "artifact", "artefact"),
+    (r"\boffence", "offense", "offence"),
+    (r"\bpractis", "practic", "practis"),
+    (r"\bprogramme(s?)\b", "program$1", "programme"),
+    (r"\bwhilst\b", "while", "whilst"),
+    (r"\bwill?full?\b", "willful", "wilful|willful"),
 )
 #: The same for more than one word, after punctuation has become spaces; a line may break inside.
 PHRASES = (
-    (r"\bcopyright holder", "copyright owner"),
-    (r"\bnon (commercial|infring)", "non$1"),
-    (r"\bsub licen[cs]", "sublicens"),
-    (r"\bper cent\b", "percent"),
-    (r"\bversion 2 0\b", "version 2"),
+    (r"\bcopyright holder", "copyright owner", "copyright holder"),
+    (r"\bnon (commercial|infring)", "non$1", "non commercial|non infring"),
+    (r"\bsub licen[cs]", "sublicens", "sub licen"),
+    (r"\bper cent\b", "percent", "per cent"),
+    (r"\bversion 2 0\b", "version 2", "version 2 0"),
 )
 #: Words after "copyright" that go on with a clause; a name follows otherwise.
 _CLAUSE = (
@@ -112,14 +115,16 @@ NOTICES = (
 )
 
 
-def _replaced(x: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
-    """All replacements, for the few texts in which any pattern occurs."""
-    out = x
-    for pattern, kept_form in pairs:
-        out = F.regexp_replace(out, pattern, kept_form)
-    free = [p for p, _ in pairs if not p.startswith(r"\b")]
-    words = "|".join(p.removeprefix(r"\b") for p, _ in pairs if p.startswith(r"\b"))
-    return F.when(F.rlike(x, F.lit("|".join([*free, rf"\b({words})"]))), out).otherwise(x)
+def _replaced(items: Column, spellings: tuple[tuple[str, str, str], ...]) -> Column:
+    """An array of texts with all replacements; a search for plain parts spares most texts the regular expressions."""
+
+    def one(pattern: str, kept_form: str, parts: str) -> Callable[[Column], Column]:
+        found = [F.lit(p) for p in parts.split("|")]
+        return lambda x: F.when(reduce(or_, (F.contains(x, p) for p in found)), F.regexp_replace(x, pattern, kept_form)).otherwise(x)
+
+    for spelling in spellings:
+        items = F.transform(items, one(*spelling))
+    return items
 
 
 def copyright_line(line: Column) -> Column:
@@ -131,15 +136,13 @@ def canonical_lines(text: Column) -> Column:
     lines = F.split(F.lower(F.coalesce(text, F.lit(""))), "\n", -1)
     lines = F.filter(lines, lambda x: ~copyright_line(x))
 
-    def words(x: Column) -> Column:
-        return F.trim(F.regexp_replace(_replaced(x, SPELLINGS), r"[^\p{L}\p{N}]+", " "))
-
-    return F.array_remove(F.transform(lines, words), "")
+    lines = F.transform(_replaced(lines, SPELLINGS), lambda x: F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " ")))
+    return F.array_remove(lines, "")
 
 
 def digest(canonical: Column) -> Column:
     """The digest of canonical lines joined by spaces, phrases replaced."""
-    return F.sha2(_replaced(canonical, PHRASES), 256)
+    return F.sha2(_replaced(F.array(canonical), PHRASES)[0], 256)
 
 
 def known_digests(known: DataFrame) -> DataFrame:
@@ -170,26 +173,29 @@ def known_table(spark: SparkSession) -> DataFrame:
 
 
 def scan(docs: DataFrame, known: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """A row for each document: id, digest, licence (of the whole text, else null), notices (licences of its lines, sorted)."""
+    """A row for each document: id, digest, licence (of the whole text, else null), notices (licences of its lines, sorted).
+
+    Texts are made canonical once. The parts of a document meet in one task and are combined there, so one row of it is shuffled;
+    repeated rows are counted by partition and written out again, so no group is larger than a partition of the input.
+    """
     digests = known_digests(known)
     small = digests.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     side = F.broadcast if small else (lambda x: x)
-    rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("row"), canonical_lines(F.col(text_column)).alias("lines"))
-    parts = rows.select(
-        "id", "row",
-        F.explode_outer(F.concat(F.array(F.struct(F.lit("text").alias("kind"), F.array_join("lines", " ").alias("x"))),
-                                 F.transform("lines", lambda x: F.struct(F.lit("notice").alias("kind"), x.alias("x"))))).alias("part"),
+    rows = docs.select(
+        F.col(id_column).alias("id"), F.xxhash64(text_column).alias("row"), F.spark_partition_id().alias("part"),
+        canonical_lines(F.col(text_column)).alias("lines"),
     )
-    parts = parts.select("id", "row", F.col("part.kind").alias("kind"), digest(F.col("part.x")).alias("digest"))
-    hits = parts.join(side(digests), ["kind", "digest"]).select("id", "row", "kind", "licence")
-    hits = hits.groupBy("id", "row").agg(
-        F.min(F.when(F.col("kind") == "text", F.col("licence"))).alias("licence"),
-        F.array_join(F.sort_array(F.collect_set(F.when(F.col("kind") == "notice", F.col("licence")))), ",").alias("notices"),
+    whole = F.array(F.struct(F.lit("text").alias("kind"), F.array_join("lines", " ").alias("x")))
+    lines = F.transform("lines", lambda x: F.struct(F.lit("notice").alias("kind"), x.alias("x")))
+    parts = rows.select("id", "row", "part", F.inline(F.concat(whole, lines)))
+    parts = parts.select("id", "row", "part", "kind", digest(F.col("x")).alias("digest")).join(side(digests), ["kind", "digest"], "left")
+    text = F.col("kind") == "text"
+    found = parts.groupBy("id", "row", "part").agg(
+        F.count_if(text).alias("times"), F.min(F.when(text, F.col("digest"))).alias("digest"), F.min(F.when(text, F.col("licence"))).alias("licence"),
+        F.array_join(F.sort_array(F.collect_set(F.when(~text, F.col("licence")))), ",").alias("notices"),
     )
-    slim = rows.select("id", "row", digest(F.array_join("lines", " ")).alias("digest"))
-    hits = hits.withColumnsRenamed({"id": "_id", "row": "_row"})
-    out = slim.join(hits, (F.col("row") == F.col("_row")) & F.col("id").eqNullSafe(F.col("_id")), "left")
-    return out.select(F.col("id").alias(id_column), "digest", "licence", F.coalesce("notices", F.lit("")).alias("notices"))
+    found = found.select("*", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return found.select(F.col("id").alias(id_column), "digest", "licence", "notices")
 
 
 def _sql() -> str:
@@ -201,8 +207,8 @@ def _sql() -> str:
     def values(rows: list[tuple[str, ...]]) -> str:
         return "(VALUES " + ", ".join("(" + ", ".join(quoted(x) for x in row) + ")" for row in rows) + ")"
 
-    def replaced(x: str, pairs: tuple[tuple[str, str], ...]) -> str:
-        for pattern, kept_form in pairs:
+    def replaced(x: str, spellings: tuple[tuple[str, str, str], ...]) -> str:
+        for pattern, kept_form, _ in spellings:
             x = f"regexp_replace({x}, '{pattern}', '{kept_form.replace('$', chr(92))}', 'g')"
         return x
 

@@ -73,3 +73,30 @@ def test_whole_copies_of_common_licences(spark):
     rows = licences.scan(frame, licences.known_table(spark)).collect()
     assert len(rows) == len(docs) and [r["doc_id"] for r in rows if str(r["licence"]) != r["doc_id"].split("/")[0]] == []
     assert {"MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "Unlicense"} <= {n for n, _ in docs}
+
+
+def test_plain_parts_spare_no_match(spark):
+    """Every match of a spelling holds one of its plain parts, so replacements are the same with and without the search for them."""
+    text = (
+        "http://a https://b licence sublicence analogue catalogues analyse analysing authorise capitalised organisation realises utilisations "
+        "calibre centres cancelled modelling signalled favourite labour acknowledgement judgement fulfil fulfils fulfilment artefacts offences "
+        "practised programme programmes whilst wilful wilfull willful willfull copyright holders non commercial non infringing sub licence "
+        "sub licensed per cent version 2 0 realise optimising emphasise recogniser"
+    )
+    words = text.split(" ")
+    samples = [text, *words, *(f"{a} {b}" for a, b in zip(words, words[1:])), *(f"{a} {b} {c}" for a, b, c in zip(words, words[1:], words[2:]))]
+    frame = spark.createDataFrame([(s,) for s in samples], "x STRING")
+    for spellings in (licences.SPELLINGS, licences.PHRASES):
+        plain = F.col("x")
+        for pattern, kept_form, _ in spellings:
+            plain = F.regexp_replace(plain, pattern, kept_form)
+        rows = frame.select("x", plain.alias("want"), licences._replaced(F.array("x"), spellings)[0].alias("got")).collect()
+        assert len(rows) == len(samples) and all(r["want"] == r["got"] for r in rows)
+        assert sum(r["want"] != r["x"] for r in rows) > 10
+
+
+def test_repeated_rows_stay(spark):
+    """Equal rows, also with a null id, come back as often as they were given."""
+    docs = spark.createDataFrame([(1, "Released under the MIT License.")] * 5 + [(None, "x")] * 3 + [(2, None)], "doc_id BIGINT, text STRING")
+    rows = licences.scan(docs.repartition(3), licences.known_table(spark)).collect()
+    assert sorted((r["doc_id"] or 0, r["notices"]) for r in rows) == [(0, "")] * 3 + [(1, "MIT")] * 5 + [(2, "")]

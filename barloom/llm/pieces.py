@@ -298,24 +298,28 @@ def coded(batches: Iterator[pa.RecordBatch], raw: bytes) -> Iterator[tuple[pa.Ar
             yield part.column("id"), texts, ids, [codec.decode(i) for i in ids]
 
 
-def digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, n_pieces, n_bytes (byte pieces), ids_sha256 (little-endian 32-bit ids), decoded_sha256, round_trip."""
+def digests(docs: DataFrame, model: str = MODEL, *, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_pieces, n_bytes (byte pieces), ids_sha256 (little-endian 32-bit ids), decoded_sha256, round_trip.
+
+    `with_ids` adds piece_ids, the ids themselves as little-endian 32-bit numbers (empty for null and empty texts).
+    """
     raw = Path(model).read_bytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = Vocabulary.load(raw).kinds
         for first, texts, ids, decoded in coded(batches, raw):
+            packed = [i.astype("<i4").tobytes() for i in ids]
             yield pa.RecordBatch.from_arrays(
                 [
                     first, pa.array([len(i) for i in ids], pa.int64()), pa.array([int((kinds[i] == BYTE).sum()) for i in ids], pa.int64()),
-                    pa.array([hashlib.sha256(i.astype("<i4").tobytes()).hexdigest() for i in ids], pa.string()),
+                    pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
                     pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded], pa.string()),
-                    pa.array([t == d for t, d in zip(texts, decoded)]),
+                    pa.array([t == d for t, d in zip(texts, decoded)]), *([pa.array(packed, pa.binary())] if with_ids else []),
                 ],
-                ["id", "n_pieces", "n_bytes", "ids_sha256", "decoded_sha256", "round_trip"],
+                ["id", "n_pieces", "n_bytes", "ids_sha256", "decoded_sha256", "round_trip", *(["piece_ids"] if with_ids else [])],
             )
 
-    fields = "id BIGINT, n_pieces BIGINT, n_bytes BIGINT, ids_sha256 STRING, decoded_sha256 STRING, round_trip BOOLEAN"
+    fields = "id BIGINT, n_pieces BIGINT, n_bytes BIGINT, ids_sha256 STRING, decoded_sha256 STRING, round_trip BOOLEAN" + ", piece_ids BINARY" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, fields).withColumnRenamed("id", "doc_id")
 
 

@@ -40,8 +40,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece counts and digests of every text, and whether decoding gives it back."""
-    return pieces.digests(prepared_docs(spark, docs))
+    """Piece ids, counts and digests of every text, and whether decoding gives it back."""
+    return pieces.digests(prepared_docs(spark, docs), with_ids=True)
 
 
 def prepared_docs(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from brute import leaks, line_dedup, near_duplicates
 
@@ -15,7 +16,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2] / "tools"))
 
 import __spark_entry__ as entry_module  # noqa: E402
 import corpus_pipeline  # noqa: E402
-from barloom.llm import language, registry  # noqa: E402
+from barloom.llm import language, pieces, registry  # noqa: E402
 from compare import TABLES, compare  # noqa: E402
 
 registry.load()
@@ -37,7 +38,7 @@ def test_query_equals_sql(spark, con, name, tables):
 
 def test_all_queries_are_registered():
     names = set(entry_module.queries())
-    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14))
 
 
 def corpus() -> tuple[list, list]:
@@ -70,6 +71,9 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
     stay = {i: t for i, t in stay if i not in bad}
     assert bad and set(got) == set(stay)
     assert all(got[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest() and got[i]["round_trip"] for i, t in stay.items())
+    codec = pieces.Codec(Path(pieces.MODEL).read_bytes())
+    assert all(codec.decode(np.frombuffer(got[i]["piece_ids"], "<i4")) == t for i, t in stay.items())
+    assert all(hashlib.sha256(r["piece_ids"]).hexdigest() == r["ids_sha256"] and len(r["piece_ids"]) == 4 * r["n_pieces"] for r in got.values())
 
 
 def test_stages_keep_the_columns_and_bear_empty_tables(spark, tables):

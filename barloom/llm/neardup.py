@@ -31,6 +31,7 @@ from barloom.llm.scratch import kept
 WIDTH = 5
 SLOTS = 100
 ROWS = 4
+PART = 1 << 15  # elements whose permutations are laid out at once, about
 BLOCK = 256  # documents of a block at most
 BLOCK_HASHES = 1 << 19  # hashes of a block, about
 PERCENT = 85
@@ -58,6 +59,13 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 def super_minhash(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
     """A row of `slots` values for each set: rank in the high 32 bits, random fraction in the low ones; all ones if empty."""
+    part = np.cumsum([len(s) for s in sets], dtype=np.int64) // PART
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sets)]
+    return np.concatenate([_signed(sets[a:b], slots) for a, b in zip(cuts, cuts[1:])])
+
+
+def _signed(sets: list[np.ndarray], slots: int) -> np.ndarray:
+    """The rows of some sets; two bytes are held for each slot and element that goes on beyond the first level."""
     values = np.concatenate([*sets, np.empty(0, U64)])
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     out = np.full(len(sets) * slots, ~U64(0))

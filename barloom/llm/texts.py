@@ -66,14 +66,21 @@ def constants(n: int, seed: int) -> np.ndarray:
 BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
-@lru_cache(maxsize=8)
 def _powers(n: int, base: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate([np.ones(1, U64), np.full(n - 1, base, U64)]), dtype=U64)
+    """The first n powers of `base`. The table for ordinary chunks is kept; that of a longer text goes with it."""
+    return _kept_powers(base)[:n] if n <= CHUNK_BYTES + 1 else _new_powers(n, base)
+
 
+@lru_cache(maxsize=4)
+def _kept_powers(base: int) -> np.ndarray:
+    return _new_powers(CHUNK_BYTES + 1, base)
 
-def _grown(n: int) -> int:
-    return max(1 << 21, 1 << int(n + 1).bit_length())
+
+def _new_powers(n: int, base: int) -> np.ndarray:
+    out = np.full(n, base, U64)
+    out[0] = 1
+    with np.errstate(over="ignore"):
+        return np.cumprod(out, dtype=U64, out=out)
 
 
 @lru_cache(maxsize=8)
@@ -140,9 +147,11 @@ class Rolling:
 
     def __init__(self, data: np.ndarray, lower: bool, which: int = 0) -> None:
         n, base = len(data), BASES[which]
+        self.sums = np.zeros(n + 1, U64)
         with np.errstate(over="ignore"):
-            self.sums = np.concatenate([np.zeros(1, U64), np.cumsum(byte_values(lower, which)[data] * _powers(_grown(n), base)[:n], dtype=U64)])
-        self.back = _powers(_grown(n), pow(base, -1, 1 << 64))
+            np.multiply(byte_values(lower, which)[data], _powers(n, base), out=self.sums[1:])
+            np.cumsum(self.sums[1:], out=self.sums[1:])
+        self.back = _powers(n + 1, pow(base, -1, 1 << 64))
         self.data, self.lower, self.which = data, lower, which
 
     def parts(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

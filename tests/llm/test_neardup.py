@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 from brute import ODD, near_duplicates, shingles
@@ -121,3 +122,17 @@ def test_texts_that_a_polynomial_hash_confuses(spark):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs).collect()}
     assert got == near_duplicates(rows, 85)
     assert sorted(r["doc_id"] for r in neardup.without_copies(docs).collect()) == [1, 3, 4, 5]
+
+
+def test_signatures_lay_out_a_bounded_part_at_once(monkeypatch):
+    rng = np.random.default_rng(17)
+    sets = [np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64)) for n in [0, 1, 3, *[300] * 600, 0, 5000]]
+    tracemalloc.start()
+    try:
+        got = neardup.super_minhash(sets)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 32 << 20
+    monkeypatch.setattr(neardup, "PART", 1 << 40)
+    assert (got == neardup.super_minhash(sets)).all()

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -49,3 +50,16 @@ def test_lower_case_and_two_hashes():
     data = np.frombuffer(b"Word wORD w", np.uint8)
     a, b = (texts.Rolling(data, lower=True, which=k).parts(np.array([0, 5, 10]), np.array([4, 9, 11])) for k in (0, 1))
     assert a[0] == a[1] != a[2] and b[0] == b[1] and (a != b).all()
+
+
+def test_long_texts_leave_no_tables_behind():
+    short, long = (np.frombuffer(b"one two " * k + b"end", np.uint8) for k in (3, 1 << 19))
+    at = lambda d: texts.Rolling(d, lower=True).parts(np.array([0, 4, len(d) - 3, len(d)]), np.array([3, 7, len(d), len(d)]))
+    want = at(short).tolist()
+    tracemalloc.start()
+    try:
+        got = at(long).tolist()
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert got == want and held < 1 << 20
